@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import language, mixing, quality_rules, token_counts
 
 
 def queries():
     return {
         "op1_pareto_mix": mixing.op1_pareto_mix,
+        "op4_language": language.op4_language,
         "op7_adaptive_rules": quality_rules.op7_adaptive_rules,
+        "op9_token_counts": token_counts.op9_token_counts,
     }
 
 
