@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_rules, token_counts
+from . import language, mixing, quality_classifier, quality_rules, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_pareto_mix": mixing.op1_pareto_mix,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_language": language.op4_language,
+        "op5_quality": quality_classifier.op5_quality,
         "op7_adaptive_rules": quality_rules.op7_adaptive_rules,
         "op9_token_counts": token_counts.op9_token_counts,
     }
