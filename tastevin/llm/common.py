@@ -49,12 +49,13 @@ def components(edges: DataFrame, label: str, most: int = 60) -> DataFrame:
     state = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # tables of their own, so that a hub's rows are in a plain shuffle, which Spark can split
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{label}-least")
         # large star: every larger neighbour of a moves to the least id around a
-        large = pair(both.join(least, "a").where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        large = stored(pair(both.join(least, "a").where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))), f"{label}-large")
         # small star: the smaller neighbours of b, and b itself, move to the least of them
         down = large.where("a < b").select(F.col("b").alias("k"), F.col("a").alias("v"))
-        low = down.groupBy("k").agg(F.min("v").alias("m"))
+        low = stored(down.groupBy("k").agg(F.min("v").alias("m")), f"{label}-low")
         small = down.join(low, "k").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
         now = stored(pair(small), f"{label}-edges")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_classifier, quality_rules, token_counts, toxicity
+from . import language, mixing, near_dup, quality_classifier, quality_rules, token_counts, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language": language.op4_language,
         "op5_quality": quality_classifier.op5_quality,
+        "op6_dart_minhash": near_dup.op6_dart_minhash,
         "op7_adaptive_rules": quality_rules.op7_adaptive_rules,
         "op9_token_counts": token_counts.op9_token_counts,
     }

@@ -26,12 +26,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of at most limit bytes of text (one row at least), with their bytes and offsets."""
+    """Slices of the batches of at most limit bytes of text and 65,536 rows (one row at least), with their bytes and offsets."""
     for batch in batches:
         data, at = utf8(batch.column(text))
         k = 0
         while k < batch.num_rows:
-            end = max(k + 1, int(np.searchsorted(at, at[k] + limit, "right")) - 1)
+            end = min(max(k + 1, int(np.searchsorted(at, at[k] + limit, "right")) - 1), k + 65536, batch.num_rows)
             yield batch.slice(k, end - k), data[at[k] : at[end]], at[k : end + 1] - at[k]
             k = end
 
@@ -98,3 +98,50 @@ def letter_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def per_text(owner: np.ndarray, n: int, values: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(owner, values, minlength=n)[:n]
+
+
+def shingles(data: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of `width` words of each text (all words where there are fewer): text, 44-bit hash, count; sorted by these."""
+    start, end, owner = words(data, at)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = span_hashes(prefix_sums(data), start, end)
+    n = np.bincount(owner, minlength=len(at) - 1)
+    total = np.zeros(max(len(h) - width + 1, 0), np.uint64)
+    for k in range(width if len(total) else 0):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(total)]
+    whole = owner[: len(total)] == owner[width - 1 :] if len(total) else np.zeros(0, bool)
+    first = np.concatenate([[0], np.cumsum(n)])
+    few = np.flatnonzero((n > 0) & (n < width))
+    short = np.zeros(len(few), np.uint64)
+    for k in range(width - 1):
+        more = n[few] > k
+        short[more] = short[more] * np.uint64(0xD6E8FEB86659FD93) + h[first[few[more]] + k]
+    of = np.concatenate([owner[: len(total)][whole], few]).astype(np.uint64)
+    key = np.sort((of << np.uint64(44)) | (mix(np.concatenate([total[whole], short])) >> np.uint64(20)))
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key = key[edge]
+    return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), np.diff(np.append(edge, len(whole) and int(whole.sum()) + len(few) or len(few)))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, from batches that are sorted by them."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if kept and key != last:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            last = key
+            kept.append(batch.slice(a, b - a))
+    if kept:
+        yield pa.Table.from_batches(kept)
