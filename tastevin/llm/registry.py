@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dup, language, mixing, near_dup, quality_classifier, quality_rules, token_counts, toxicity
+from . import embedding_dup, language, mixing, near_dup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_quality": quality_classifier.op5_quality,
         "op6_dart_minhash": near_dup.op6_dart_minhash,
         "op7_adaptive_rules": quality_rules.op7_adaptive_rules,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_pivot_permutation": embedding_dup.op10_pivot_permutation,
     }
