@@ -120,6 +120,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     )
 
 
+def applied(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with docs' columns."""
+    same = ["doc_id", "source", "size"]
+    turn = F.row_number().over(W.partitionBy(*same).orderBy(*same))
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    chosen = mix(docs.select("doc_id", "source", "text"), **how).withColumn("copies", F.col("certain") + F.col("sampled")).withColumn("turn", turn)
+    rows = docs.withColumn("size", size).withColumn("turn", turn).alias("d")
+    picked = chosen.where("copies > 0 and size > 0").select(*(F.col(c).alias(f"m_{c}") for c in [*same, "turn"]), "copies").alias("m")
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.m_{c}")) for c in [*same, "turn"]]
+    return rows.join(picked, on).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"d.{c}") for c in docs.columns))
+
+
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

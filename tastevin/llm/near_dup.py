@@ -203,6 +203,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(found, rows["near_id"] == found["id"], "left").withColumn("component", F.coalesce("component", "near_id")).withColumn("kept", F.col("component") == F.col("near_id")).drop("id", "near_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each class, that of the smallest doc_id, with docs' columns."""
+    found = classes(docs)
+    rows = docs.withColumn("near_id", document_id())
+    first = rows.join(found.where("id <> component").select("id"), rows["near_id"] == F.col("id"), "left_anti")
+    return first.dropDuplicates(["near_id"]).select(*docs.columns)
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("component").alias("class_id"), "kept")

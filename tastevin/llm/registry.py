@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dup, language, mixing, near_dup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from . import embedding_dup, language, mixing, near_dup, quality_classifier, quality_rules, spm, suffix_dedup, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_pareto_mix": mixing.op1_pareto_mix,
+        "op2_sentencepiece": spm.op2_sentencepiece,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language": language.op4_language,
         "op5_quality": quality_classifier.op5_quality,
