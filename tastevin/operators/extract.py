@@ -93,7 +93,8 @@ def carried_headers(lines: DataFrame, key: str, pos: str, is_header: Column, rea
 def section_rows(lines: DataFrame, key: str, tokens: list[str], reach: int = 30) -> DataFrame:
     """Rows under a header that has all tokens, until a row that looks like another header: a state machine for each document.
 
-    Rows arrive sorted in documents' order and are handled as a stream, so that a document never has to fit in memory."""
+    Rows arrive sorted in documents' order and are handled as a stream, so that a document never has to fit in memory. They are dealt by a hash of the key, which no partitioning of the input can
+    stand for: a union of inputs dealt by the key itself need not keep a key together."""
 
     def machine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = (None, None, 0)
@@ -118,7 +119,7 @@ def section_rows(lines: DataFrame, key: str, tokens: list[str], reach: int = 30)
 
     row = F.col("line").rlike("(?i)\\b(?:NV|MV|N/V|(?:19|20)\\d{2})\\b") & F.col("line").rlike("\\d{2,6}\\s*$")
     header = ~row & (F.length("line") <= 90) & ~F.col("line").rlike("\\d{2}")
-    ready = lines.select(key, "pos", "line", text.fold("line").alias("folded"), row.alias("is_row"), header.alias("is_header")).repartition(key).sortWithinPartitions(key, "pos")
+    ready = lines.select(key, "pos", "line", text.fold("line").alias("folded"), row.alias("is_row"), header.alias("is_header")).repartition(F.xxhash64(key)).sortWithinPartitions(key, "pos")
     kind = dict(lines.dtypes)[key]
     return ready.mapInPandas(machine, f"`{key}` {kind}, pos int, text string")
 

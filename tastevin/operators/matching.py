@@ -107,5 +107,5 @@ def reconcile(index: DataFrame, other: DataFrame, group: str, least: float = 0.5
             yield pd.DataFrame(out, columns=["_group", "id", "other_id", "score"])
 
     kept = pairs.where(F.col("score") >= least).select(F.col("_group").cast("long").alias("_group"), "id", "other_id", "score")
-    ordered = kept.repartition("_group").sortWithinPartitions("_group", "id", F.desc("score"), "other_id")
+    ordered = kept.repartition(F.xxhash64("_group")).sortWithinPartitions("_group", "id", F.desc("score"), "other_id")
     return ordered.mapInPandas(greedy, "_group long, id long, other_id long, score double").withColumnRenamed("_group", group)
