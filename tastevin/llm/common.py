@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: it cuts the lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tastevin/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,8 @@ that share a band are candidates. At similarity 0.8 a pair shares none of 16 ban
 No bucket is expanded into its pairs. Exact copies are one row from the start. In each bucket the member that shares most
 (the largest sum of the sizes of its buckets) leads, and every member is compared with its leaders alone, in groups of at
 most about GROUP members, on whole texts. Where a bucket's members end in different components, its pairs of
-different components are compared exhaustively in blocks, so no link between candidates is lost. Components come from
+different components are taken exhaustively in blocks, and those whose signatures agree on LIKELY of the coordinates are
+compared on whole texts, so no link between candidates is lost. Components come from
 star contraction on tables in the shared folder.
 
 Edge cases: null and empty texts have no elements: copies of each other, they are never linked to others; rows that share a
@@ -36,7 +37,9 @@ COORDINATES = 64
 BANDS = 16
 DARTS = COORDINATES * (float(np.log(COORDINATES)) + 3)
 GROUP = 200
-BLOCK = 128
+BLOCK = 512
+#: Agreement below which a pair isn't compared: at similarity 0.8 a pair is below with a chance of 0.0002.
+LIKELY = 0.62
 _U = np.uint64
 
 
@@ -88,7 +91,7 @@ def _signed(batches):
         owner, element, count = shingles(data, at, WIDTH)
         signature, filled = signatures(owner, element, count.astype(float), len(at) - 1)
         bands = pa.FixedSizeListArray.from_arrays(pa.array(band_hashes(signature).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.record_batch({"id": batch.column("id"), "h1": batch.column("h1"), "h2": batch.column("h2"), "bands": bands, "filled": filled})
+        yield pa.record_batch({"id": batch.column("id"), "h1": batch.column("h1"), "h2": batch.column("h2"), "bands": bands, "sketch": pa.array([r.tobytes() for r in signature.astype(np.uint16)], pa.binary()), "filled": filled})
 
 
 def _sets(texts: pa.Array):
@@ -122,38 +125,53 @@ def _led(batches):
 
 
 def _blocked(batches):
-    """Links between different components of a block's rows (side 0) and another's (side 1), or within one block."""
+    """Pairs of different components in a block's rows (side 0) and another's (side 1), or within one block, whose signatures agree on LIKELY of the coordinates."""
     for group in grouped(batches, ["bucket", "left", "right"]):
         rows = group.combine_chunks()
         ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
-        bands = np.array(rows.column("bands").combine_chunks().flatten()).reshape(len(ids), -1) if len(ids) else np.zeros((0, BANDS))
-        here = (bands == rows.column("bucket")[0].as_py()).argmax(1)[0]
-        sets = _sets(rows.column("text").combine_chunks())
+        bands = np.array(rows.column("bands").combine_chunks().flatten()).reshape(len(ids), BANDS)
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(ids), COORDINATES)
+        here = int((bands[0] == rows.column("bucket")[0].as_py()).argmax())
         same = rows.column("left")[0] == rows.column("right")[0]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 0 if same else side == 1)
         a, b = [], []
-        for i in np.flatnonzero(side == 0) if not same else range(len(ids)):
-            for j in np.flatnonzero(side == 1) if not same else range(i + 1, len(ids)):
-                # a pair that shares several bands is compared in the first of them
-                if comp[i] != comp[j] and (bands[i] == bands[j]).argmax() == here and similarity(sets[i], sets[j]) >= SIMILAR:
-                    a.append(int(ids[i]))
-                    b.append(int(ids[j]))
+        for i in left.tolist():
+            j = right[right > i] if same else right
+            j = j[(comp[j] != comp[i]) & ((sketch[j] == sketch[i]).mean(1) >= LIKELY)]
+            # a pair that shares several bands is taken from the first of them
+            j = j[(bands[j] == bands[i]).argmax(1) == here]
+            a += [ids[i]] * len(j)
+            b += ids[j].tolist()
         if a:
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            yield pa.record_batch({"leader": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64())})
 
 
 def document_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text_or_empty()), 2))
 
 
+def verified(pairs: DataFrame, bodies: DataFrame, label: str) -> DataFrame:
+    """Links (a, b) among the pairs (leader, id), by exact similarity of whole texts; bodies: (id, text).
+
+    A leader's pairs are dealt to parts of about GROUP, each with a copy of its text, so that no leader's pairs are one task's."""
+    pairs = stored(pairs, f"{label}-pairs")
+    parts = stored(pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), f"{label}-parts")
+    lists = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.lit(False).alias("leads"))
+    heads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("id"), F.lit(True).alias("leads"))
+    wanted = stored(lists.unionByName(heads), f"{label}-lists").join(bodies, "id")
+    return stored(wanted.repartition("leader", "part").sortWithinPartitions("leader", "part", F.desc("leads")).mapInArrow(_led, "a long, b long"), label)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """id and component for each document id; component is the smallest document id of the class."""
     text = docs.select(document_id().alias("id"), text_or_empty().alias("text"))
     hashed = text.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    signed = stored(hashed.mapInArrow(_signed, "id long, h1 long, h2 long, bands array<long>, filled boolean"), "near-signed")
+    signed = stored(hashed.mapInArrow(_signed, "id long, h1 long, h2 long, bands array<long>, sketch binary, filled boolean"), "near-signed")
     copies = signed.groupBy("h1", "h2").agg(F.min("id").alias("copy_of"))
     copies = stored(copies, "near-copies")
-    same = signed.join(copies, ["h1", "h2"]).select("id", "copy_of", "bands", "filled")
-    one = stored(same.where("id = copy_of and filled").dropDuplicates(["id", "bands"]).select("id", "bands"), "near-texts")
+    same = stored(signed.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "h1", "h2", "copy_of").distinct(), "near-same")
+    first = same.where("id = copy_of").select("id", "h1", "h2")
+    one = stored(signed.where("filled").join(first, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"]).select("id", "bands", "sketch"), "near-texts")
 
     placed = one.select("id", F.explode("bands").alias("bucket"))
     sizes = stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
@@ -161,32 +179,23 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
     ranked = members.join(shared, "id").groupBy("bucket").agg(F.max(F.struct("shared", (-F.col("id")).alias("id"))).alias("top"))
     leaders = stored(ranked.select("bucket", (-F.col("top.id")).alias("leader")), "near-leaders")
-    pairs = stored(members.select("bucket", "id").join(leaders, "bucket").where("id <> leader").select("leader", "id").distinct(), "near-pairs")
-
-    parts = stored(pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), "near-parts")
-    lists = (
-        pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.lit(False).alias("leads"))
-        .unionByName(parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("id"), F.lit(True).alias("leads")))
-    )
-    lists = stored(lists, "near-lists")
-    # one text for each copy: rows of the same id and different texts stay
-    wanted = lists.join(text, "id")
-    links = stored(wanted.repartition("leader", "part").sortWithinPartitions("leader", "part", F.desc("leads")).mapInArrow(_led, "a long, b long"), "near-links")
+    # texts of those that have candidates, once for both comparisons
+    bodies = stored(text.join(members.select("id").distinct(), "id"), "near-bodies")
 
+    pairs = members.select("bucket", "id").join(leaders, "bucket").where("id <> leader").select("leader", "id").distinct()
+    links = verified(pairs, bodies, "near-led")
     found = components(links, "near")
     comps = stored(one.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "near-components")
     state = members.join(comps, "id").select("bucket", "id", "component")
-    open_ = state.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("id").alias("n"), F.count("*").alias("size")).where("least < most").select("bucket", "size")
-    # a bucket of two whose pair was compared already has no more to give
-    open_ = stored(open_.where("size > 2"), "near-open")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    inside = state.join(open_, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = inside.withColumn("other", other).select(
+    # in a bucket of two the only pair was compared already
+    parts = state.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least < most and size > 2")
+    open_ = stored(parts.select("bucket", "size"), "near-open")
+    inside = state.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    paired = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", "id", "component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    rest = paired.join(one, "id").join(text, "id")
-    more = rest.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").select("bucket", "left", "right", "side", "id", "component", "bands", "text").mapInArrow(_blocked, "a long, b long")
-    more = stored(more, "near-more")
+    spread = paired.join(one, "id").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    likely = spread.select("bucket", "left", "right", "side", "id", "component", "bands", "sketch").mapInArrow(_blocked, "leader long, id long")
+    more = verified(likely.distinct(), bodies, "near-more")
 
     # an id with several texts ties these together; all other copies just follow their text
     several = same.groupBy("id").agg(F.min("copy_of").alias("a"), F.max("copy_of").alias("b")).where("a < b")
