@@ -118,19 +118,19 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, versio
     """All tables written under a new version, then the pointer file is replaced in one rename: readers see all or none."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    jvm = spark._jvm
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    staged, current = path(f"{root}/_current.{version}"), path(f"{root}/_current")
-    out = fs.create(staged, True)
+    staged, current = path(f"{root}/CURRENT.{version}"), path(f"{root}/CURRENT")
+    out = staged.getFileSystem(conf).create(staged, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(current, False)
-    if not fs.rename(staged, current):
-        raise OSError(f"{root}: the pointer could not be replaced")
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.getFileSystem(conf).getUri(), conf).rename(staged, current, how)
     return version
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/_current").first()[0]
+    version = spark.read.text(f"{root}/CURRENT").first()[0]
     return spark.read.parquet(f"{root}/{version}/{name}")
