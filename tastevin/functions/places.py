@@ -67,3 +67,10 @@ def city_and_country(location: Column) -> Column:
     """struct(city, country) of 'City, ..., Country'."""
     parts = F.filter(F.transform(F.split(F.coalesce(location, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("city"), F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("").alias("country"))
+
+
+def list_country(df: DataFrame, column: str, city: str | None = None, address: str | None = None, us_hint: Column | None = None) -> DataFrame:
+    """with_country for list indexes, which write state codes: they mean the United States where the hint holds, else ISO codes."""
+    state = F.upper(F.trim(F.col(column))).isin(rules.US_STATES)
+    written = F.when(state & (us_hint if us_hint is not None else F.lit(False)), F.lit("US")).otherwise(F.col(column))
+    return with_country(df.withColumn("_written", written), "_written", city=city, address=address).drop("_written")

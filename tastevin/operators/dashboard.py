@@ -130,3 +130,25 @@ def counter_deltas(samples: DataFrame, run: str) -> DataFrame:
 
 def nearby_total(rows: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
     return rows.where(places.haversine_km(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng)) <= km).agg(F.count("*").alias("n"))
+
+
+def stalled(heartbeat: Column, now: Column, minutes: int = 15) -> Column:
+    """A run whose last sign of life is older than that."""
+    return heartbeat < now - F.make_interval(mins=F.lit(minutes))
+
+
+def timing(started: Column, now: Column, total: Column, done: Column) -> list[Column]:
+    """Elapsed seconds, rate a minute and seconds left at the overall rate."""
+    elapsed = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 1e6)
+    rate = F.when((elapsed > 0) & (done > 0), done / elapsed)
+    return [elapsed.alias("elapsed"), (rate * 60).alias("per_minute"), (F.greatest(F.lit(0), total - done) / rate).alias("left")]
+
+
+def phase_eta(samples: DataFrame, run: str, most: int = 30) -> DataFrame:
+    """Seconds left from each run's last samples of its current phase: (ts, processed, total, phase), earliest to latest of them."""
+    latest = samples.groupBy(run).agg(F.max_by(F.struct("phase", "processed", "total", "ts"), "ts").alias("now"))
+    w = W.partitionBy(run).orderBy(F.desc("ts"))
+    near = samples.join(latest, run).where(F.col("phase") == F.col("now.phase")).withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= most) & (F.col("processed") < F.col("now.processed")))
+    first = near.groupBy(run).agg(F.min_by(F.struct("processed", "ts"), "ts").alias("then"), F.first("now").alias("now"))
+    rate = (F.col("now.processed") - F.col("then.processed")) / ((F.unix_micros(F.col("now.ts").cast("timestamp")) - F.unix_micros(F.col("then.ts").cast("timestamp"))) / 1e6)
+    return first.select(run, (rate * 60).alias("per_minute"), (F.greatest(F.lit(0), F.col("now.total") - F.col("now.processed")) / rate).alias("left"))

@@ -136,3 +136,99 @@ def fragments(body: Column, token: str, before: int = 40, after: int = 260) -> C
 def probable_row(line: Column) -> Column:
     commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
     return line.rlike("(?i)^(?:NV|MV|N/V|\\d{4})\\b") | ((commas >= 2) & (F.length(line) <= 180))
+
+
+def product_line(line: Column, structured: Column | bool = False, trusted: Column | bool = False) -> Column:
+    """struct(name, vintage, size_ml, price_value, currency) of a shop line, null for what is no product: no evidence term, a
+    script, too long, neither price nor vintage, or a sentence without a price."""
+    structured, trusted = F.lit(structured) if isinstance(structured, bool) else structured, F.lit(trusted) if isinstance(trusted, bool) else trusted
+    clean = F.trim(F.regexp_replace(line, "\\s+", " "))
+    folded, words = text.fold(clean), F.size(F.split(clean, " "))
+    price, year = money.shop_price(clean), money.shop_vintage(clean)
+    priced = price["price_value"].isNotNull()
+    evidence = trusted | folded.rlike("|".join(rules.EVIDENCE))
+    script = F.lit(False)
+    for mark in rules.SCRIPT_MARKS:
+        script = script | folded.contains(mark)
+    loose = (F.length(clean) > 240) | (words > 38) | script | ~priced & (year == "") | ~priced & (F.length(clean) > 180) | ~priced & (words >= 12) & clean.rlike("[.!?]$")
+    fields = F.struct(F.substring(clean, 1, 500).alias("name"), year.alias("vintage"), money.size_ml(clean).alias("size_ml"), price["price_value"].alias("price_value"), price["currency"].alias("currency"))
+    return F.when((F.length(clean) >= 5) & evidence & (structured | ~loose), fields)
+
+
+def embedded_products(html: Column) -> Column:
+    """Array of struct(producer, name, vintage, region, price) of the records that pages embed as escaped JSON."""
+    plain = F.replace(text.clean_text(html), F.lit('\\"'), F.lit('"'))
+    blocks = F.regexp_extract_all(plain, F.lit('(?s)"fields"\\s*:\\s*\\{(.*?)\\}\\s*\\}'), F.lit(1))
+    value = lambda b, name: F.regexp_extract(b, f'"(?i:{name})"\\s*:\\s*\\[?\\s*"([^"]*)"', 1)
+    records = F.transform(blocks, lambda b: F.struct(
+        value(b, "Producer Name|producer").alias("producer"), value(b, "Name").alias("name"), value(b, "Vintage").alias("vintage"), value(b, "Region Name|region").alias("region"),
+        F.regexp_extract(b, '"Price"\\s*:\\s*(\\d+(?:\\.\\d+)?)', 1).try_cast("double").alias("price")))
+    return F.array_distinct(F.filter(records, lambda r: r["price"] >= 10))
+
+
+def visible_lines(pieces: DataFrame, key: str, least: int = 80) -> DataFrame:
+    """Text pieces (key, pos, line) of a page joined until a line has `least` characters or a price: a stream in order of place."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, doc, first = [], None, 0
+        last = None
+        for pdf in batches:
+            out = []
+            for k, pos, line, priced in pdf[[key, "pos", "line", "priced"]].itertuples(index=False):
+                if doc is not None and k != doc and held:
+                    out.append((doc, first, " ".join(held)))
+                    held = []
+                if not held:
+                    first = pos
+                doc = k
+                held.append(line)
+                if priced or sum(map(len, held)) + len(held) - 1 >= least:
+                    out.append((doc, first, " ".join(held)))
+                    held = []
+            last = pd.DataFrame(out, columns=[key, "pos", "text"])
+            yield last
+        if held:
+            yield pd.DataFrame([(doc, first, " ".join(held))], columns=[key, "pos", "text"])
+
+    kind = dict(pieces.dtypes)[key]
+    ready = pieces.select(key, F.col("pos").cast("int").alias("pos"), "line", money.shop_price(F.col("line"))["price_value"].isNotNull().alias("priced"))
+    return ready.repartition(F.xxhash64(key)).sortWithinPartitions(key, "pos").mapInPandas(join, f"`{key}` {kind}, pos int, text string")
+
+
+def external_site(links: DataFrame, key: str, own: str) -> DataFrame:
+    """Best link (key, href, text) of each page to another site: labelled as website first, then the shortest path; no social hosts."""
+    from ..functions import web
+
+    target = F.coalesce(F.nullif(F.url_decode(F.regexp_extract("href", "[?&](?:url|u|target|redirect)=(https?(?:%3A|:)[^&]+)", 1)), F.lit("")), F.col("href"))
+    fine = links.withColumn("site", web.normalize_url(target)).where(F.col("href").rlike("^https?://") & (web.domain(F.col("site")) != web.domain(F.col(own))) & ~web.domain(F.col("site")).rlike(rules.SOCIAL_HOSTS))
+    score = F.when(F.lower("text").rlike("website|web site|homepage|official"), 0).otherwise(1)
+    path = F.length(F.regexp_extract("site", "^[a-z]+://[^/]*(.*)$", 1))
+    return fine.groupBy(key).agg(F.min(F.struct(score.alias("s"), path.alias("p"), F.col("site"))).alias("x")).select(key, F.col("x.site").alias("site"))
+
+
+def best_first(links: DataFrame, pages: int = 60, depth: int = 5) -> DataFrame:
+    """Crawl order over a recorded link graph (site, source, url, score; a null source is a start): the open page of the highest
+    score is visited next, up to `pages` pages and `depth` links from the start. One site's graph is one task's."""
+
+    def crawl(pdf: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        out: dict = {}
+        for s, u, score in zip(pdf["source"], pdf["url"], pdf["score"], strict=True):
+            out.setdefault(None if pd.isna(s) else s, []).append((-float(score), u))
+        heap = [(p, 0, u) for p, u in out.get(None, [])]
+        heapq.heapify(heap)
+        seen, order = set(), []
+        while heap and len(order) < pages:
+            _, d, u = heapq.heappop(heap)
+            if u in seen:
+                continue
+            seen.add(u)
+            order.append((pdf["site"].iloc[0], u, len(order), d))
+            if d < depth:
+                for p, v in out.get(u, []):
+                    if v not in seen:
+                        heapq.heappush(heap, (p, d + 1, v))
+        return pd.DataFrame(order, columns=["site", "url", "turn", "depth"])
+
+    return links.select("site", "source", "url", "score").groupBy("site").applyInPandas(crawl, "site string, url string, turn int, depth int")
