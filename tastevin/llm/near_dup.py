@@ -12,7 +12,7 @@ that share a band are candidates. At similarity 0.8 a pair shares none of 16 ban
 No bucket is expanded into its pairs. Exact copies are one row from the start. In each bucket the member that shares most
 (the largest sum of the sizes of its buckets) leads, and every member is compared with its leaders alone, in groups of at
 most about GROUP members, on whole texts. Where a bucket's members end in different components, its pairs of
-different components are taken exhaustively in blocks, and those whose signatures agree on LIKELY of the coordinates are
+different components (all but those within the largest) are taken exhaustively in blocks, and those whose signatures agree on LIKELY of the coordinates are
 compared on whole texts, so no link between candidates is lost. Components come from
 star contraction on tables in the shared folder.
 
@@ -125,18 +125,18 @@ def _led(batches):
 
 
 def _blocked(batches):
-    """Pairs of different components in a block's rows (side 0) and another's (side 1), or within one block, whose signatures agree on LIKELY of the coordinates."""
+    """Pairs of different components whose signatures agree on LIKELY of the coordinates, of a block's rows outside the bucket's
+    largest component (side 0) with another block's rows (side 1 in that component, 2 outside it)."""
     for group in grouped(batches, ["bucket", "left", "right"]):
         rows = group.combine_chunks()
         ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
         bands = np.array(rows.column("bands").combine_chunks().flatten()).reshape(len(ids), BANDS)
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(ids), COORDINATES)
         here = int((bands[0] == rows.column("bucket")[0].as_py()).argmax())
-        same = rows.column("left")[0] == rows.column("right")[0]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 0 if same else side == 1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
         a, b = [], []
         for i in left.tolist():
-            j = right[right > i] if same else right
+            j = right[(side[right] == 1) | (ids[right] > ids[i])]
             j = j[(comp[j] != comp[i]) & ((sketch[j] == sketch[i]).mean(1) >= LIKELY)]
             # a pair that shares several bands is taken from the first of them
             j = j[(bands[j] == bands[i]).argmax(1) == here]
@@ -187,12 +187,15 @@ def classes(docs: DataFrame) -> DataFrame:
     found = components(links, "near")
     comps = stored(one.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "near-components")
     state = members.join(comps, "id").select("bucket", "id", "component")
-    # in a bucket of two the only pair was compared already
-    parts = state.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least < most and size > 2")
-    open_ = stored(parts.select("bucket", "size"), "near-open")
-    inside = state.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    paired = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "id", "component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    # in a bucket of two the only pair was compared already; members of a bucket's largest component needn't meet each other
+    groups = state.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"))
+    open_ = groups.where("top.n < size and size > 2").select("bucket", (-F.col("top.c")).alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("lefts"))
+    inside = state.join(stored(open_, "near-open"), "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    others = inside.where("component <> main").select("bucket", "id", "component", F.lit(0).alias("side"), own("lefts").alias("left"), every("rights").alias("right"))
+    members_ = inside.select("bucket", "id", "component", F.when(F.col("component") == F.col("main"), 1).otherwise(2).alias("side"), every("lefts").alias("left"), own("rights").alias("right"))
+    paired = stored(others.unionByName(members_), "near-paired")
     spread = paired.join(one, "id").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
     likely = spread.select("bucket", "left", "right", "side", "id", "component", "bands", "sketch").mapInArrow(_blocked, "leader long, id long")
     more = verified(likely.distinct(), bodies, "near-more")
