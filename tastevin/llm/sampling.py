@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rates of so many values are broadcast at most: a few hundred kilobytes.
+MOST_VALUES = 10_000
+
 
 def held_out(modulus: int, remainder: int) -> Column:
     """crc32 of doc_id as text; a null doc_id counts as the text ''."""
@@ -17,5 +20,8 @@ def at_most(rows: DataFrame, by: str, each: int, key: str = "doc_id") -> DataFra
     The counts are summed over all rows; the choice needs no sort and doesn't depend on the partitions.
     """
     rate = rows.groupBy(by).agg((F.lit(float(each)) / F.count("*")).alias("rate"))
+    # few values: the rates go to the rows, which stay where they are; many (checked): an ordinary join
+    if rate.limit(MOST_VALUES + 1).count() <= MOST_VALUES:
+        rate = F.broadcast(rate)
     drawn = F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(rate, by).where(drawn < F.col("rate")).drop("rate")
