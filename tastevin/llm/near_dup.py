@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, label: str) -> DataFrame:
     parts = stored(pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), f"{label}-parts")
     lists = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.lit(False).alias("leads"))
     heads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("id"), F.lit(True).alias("leads"))
-    wanted = stored(lists.unionByName(heads), f"{label}-lists").join(bodies, "id")
+    wanted = stored(lists.unionByName(heads), f"{label}-lists").join(bodies.hint("merge"), "id")
     return stored(wanted.repartition("leader", "part").sortWithinPartitions("leader", "part", F.desc("leads")).mapInArrow(_led, "a long, b long"), label)
 
 
@@ -180,7 +180,8 @@ def classes(docs: DataFrame) -> DataFrame:
     ranked = members.join(shared, "id").groupBy("bucket").agg(F.max(F.struct("shared", (-F.col("id")).alias("id"))).alias("top"))
     leaders = stored(ranked.select("bucket", (-F.col("top.id")).alias("leader")), "near-leaders")
     # texts of those that have candidates, once for both comparisons
-    bodies = stored(text.join(members.select("id").distinct(), "id"), "near-bodies")
+    # the same plan at every size: a small list of ids would be broadcast, a large one not
+    bodies = stored(text.join(members.select("id").distinct().hint("merge"), "id"), "near-bodies")
 
     pairs = members.select("bucket", "id").join(leaders, "bucket").where("id <> leader").select("leader", "id").distinct()
     links = verified(pairs, bodies, "near-led")
