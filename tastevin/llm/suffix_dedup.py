@@ -413,7 +413,8 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     own = stretches.join(copies, ["id", "h1"], "left_anti").distinct()
     own = stored(own, "suffix-own")
-    sizes = stored(own.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("size"), F.count("*").alias("n")).where("n > 1 or size >= 2 * 100").drop("n"), "suffix-sizes")
+    # a lone stretch can repeat itself as soon as it holds two strings, which may overlap
+    sizes = stored(own.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("size"), F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("size") > LENGTH)).drop("n"), "suffix-sizes")
     dealt = own.join(sizes, "key").withColumn("shards", F.ceil(F.col("size") / (2 * SHARD)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     bytes_ = F.substring(F.col("text").cast("binary"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     cut = dealt.join(long, ["id", "h1"]).select("key", "shard", "shards", "size", "id", "h1", "start", bytes_.alias("bytes"))

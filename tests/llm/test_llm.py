@@ -227,6 +227,23 @@ def test_suffix_dedup_by_brute_force(spark, monkeypatch, shard):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()), k
 
 
+def test_suffix_dedup_of_short_periodic_runs(spark):
+    units = ["a", "ab", "-", "=-", "xyz", "0123456", "ABCDEFGHIJK", "pqrstuvwxyzPQRSTUVWXYZ!", "é", "日本"]
+    texts = []
+    for k, unit in enumerate(units):
+        for n in (100, 101, 110, 123, 150, 199):
+            # each run of its own bytes, so that no other text shares it
+            run = (f"{chr(0x100 + 8 * k + n % 7)}{unit}" * n).encode()[:n].decode("utf-8", "ignore")
+            texts += [run, f"{prose(30, 1000 + n + 200 * k)} {run} {prose(30, 9000 + n + 200 * k)}"]
+    texts += ["c" * 150, "de" * 75, f"{prose(30, 77)} {'~' * 110} {prose(30, 78)}"]
+    got = {r["doc_id"]: r for r in suffix_dedup.strip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id").collect()}
+    raw = [(k, t.encode()) for k, t in enumerate(texts)]
+    for (k, b), gone in zip(raw, brute_repeats(raw), strict=True):
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        assert (got[k]["n_removed"], got[k]["kept_sha256"]) == (sum(gone), hashlib.sha256(kept).hexdigest()), (k, texts[k])
+    assert [got[len(texts) - i]["n_removed"] for i in (3, 2, 1)] == [149, 148, 109]
+
+
 def test_suffix_dedup_on_hard_rows(docs, none):
     rows = suffix_dedup.strip(docs, "doc_id", "lang", keep_text=True).collect()
     assert len(rows) == docs.count() and suffix_dedup.strip(none, "doc_id").count() == 0
