@@ -71,7 +71,8 @@ def _linked(batches):
         p, q = divmod(int(code[0]), 1 << 16)
         shared = mark[left] @ mark[right].T
         upto = mark[left][:, : q + 1] @ mark[right][:, : q + 1].T
-        pairs = (shared >= SHARED) & (upto == 2)  # of the lists of both, this is the first
+        width = near.shape[1]  # a single pivot has one list, which holds every vector
+        pairs = (shared >= min(SHARED, width)) & (upto == min(2, width))  # of the lists of both, this is the first
         if same:
             pairs = np.triu(pairs, 1)
         i, j = np.nonzero(pairs)
@@ -121,7 +122,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     if width >= 2:
         at = F.sort_array("near")
         lists = F.explode(F.array(*(F.get(at, i).cast("long") * (1 << 16) + F.get(at, j) for i, j in combinations(range(width), 2))))
-    else:  # all vectors point the same way
+    else:  # all sampled vectors point the same way: every pair of vectors is verified
         lists = F.explode(F.array(F.lit(0).cast("long")))
     placed = index.select("id", lists.alias("list"))
     sizes = stored(placed.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "vectors-lists")

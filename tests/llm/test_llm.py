@@ -335,6 +335,26 @@ def test_vectors(spark):
     assert embedding_dup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("block", [embedding_dup.BLOCK, 3])
+def test_vectors_of_one_direction(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=16) + rng.normal(size=(11, 16)) * 0.002
+    x = np.concatenate([near, near[:2], near[:1] * 3])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (u @ u.T).min() > 0.999
+    got = embedding_dup.near_vectors(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(k, len(x) - 1, 0, k == 0) for k in range(len(x))]
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_vectors_of_few_pivots(spark, n):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.eye(16)[k] + rng.normal(size=(4, 16)) * 0.002 for k in range(n)])
+    got = embedding_dup.near_vectors(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(k, 3, k // 4 * 4) for k in range(4 * n)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables aren't here")
 def test_vector_recall(spark):
     d = spark.read.parquet("/root/testdata/check_h/embeddings.parquet") if os.path.isdir("/root/testdata/check_h") else None
