@@ -152,9 +152,10 @@ def a18_kpis(lines, merchants):
   select source, count(*) as n, sum(case when coalesce(l.quality, 0) = 1 then 1 else 0 end)::bigint as good, least(sum(len(string_split(text, 'the')) - 1), 400)::bigint as evidence, count(distinct lang) as langs
   from documents d left join labels l on d.doc_id = l.doc_id group by 1""")
 def a19_evidence_counts(docs, labels):
-    the = F.size(F.split("text", "the", -1)) - 1
+    """Rows, good rows, evidence and languages of each source; a document's evidence counts 4 at most."""
+    the = F.least(F.size(F.split(F.coalesce("text", F.lit("")), "the", -1)) - 1, F.lit(4))
     return docs.join(labels, "doc_id", "left").groupBy("source").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.coalesce("quality", F.lit(0)) == 1, 1).otherwise(0)).alias("good"), F.least(F.sum(the), F.lit(400)).alias("evidence"), F.countDistinct("lang").alias("langs"))
+        F.count("*").alias("n"), F.sum(F.when(F.coalesce("quality", F.lit(0)) == 1, 1).otherwise(0)).alias("good"), F.sum(the).alias("evidence"), F.countDistinct("lang").alias("langs"))
 
 
 @query(["v_offers"], """

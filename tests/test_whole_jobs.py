@@ -19,3 +19,11 @@ def test_fanout_counts_of_every_target(spark):
         lists, lines = sum(x == t for _, x in sources), sum(x == t for _, x in entries)
         want.append((t, lists, lines, lines * max(lists, 1)))
     assert sorted(map(tuple, got.select("id", "lists", "entries", "fanned").collect())) == want
+
+
+def test_evidence_is_capped_by_document(spark):
+    docs = [(k, "the " * (k % 9), f"s{k % 2}", "en") for k in range(400)] + [(400, None, "s0", None)]
+    got = aggregates.a19_evidence_counts(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    want = {s: sum(min(t.count("the"), 4) for _, t, x, _ in docs if x == s and t) for s in ("s0", "s1")}
+    assert min(want.values()) > 400
+    assert {r["source"]: r["evidence"] for r in got.collect()} == want
