@@ -52,8 +52,8 @@ def x16_line_score(lines):
   e as (select doc_id, count(*) as n, sum(is_core::int) as c, sum(is_producer::int) as p, sum(is_prestige::int) as g, sum(is_kind::int) as k from x group by 1)
   select doc_id, case when n < 5 then 'few lines' else 'few prices' end as reason, (doc_id % 90)::bigint as score from e where n < 5 or true""")
 def x17_source_confidence(docs):
-    """Reason and score by the decision list; this corpus has no prices, so its sources fail at the second test at the latest."""
-    evidence = extract.source_evidence(extract.document_lines(docs, "doc_id"), "doc_id", vocabulary=_WORDS).withColumn("n_priced", F.lit(0))
+    """Reason and score by the decision list over all evidence, prices included."""
+    evidence = extract.source_evidence(extract.document_lines(docs, "doc_id"), "doc_id", vocabulary=_WORDS)
     out = extract.source_confidence(evidence, F.lit(False), F.lit(True), F.lit(False), F.col("doc_id") % 90)
     return out.select("doc_id", "reason", "score")
 

@@ -27,3 +27,33 @@ def test_evidence_is_capped_by_document(spark):
     want = {s: sum(min(t.count("the"), 4) for _, t, x, _ in docs if x == s and t) for s in ("s0", "s1")}
     assert min(want.values()) > 400
     assert {r["source"]: r["evidence"] for r in got.collect()} == want
+
+
+def test_source_confidence_uses_prices(spark):
+    lines = {
+        1: ["token 2011 EUR 100"] * 9,  # one distinct line
+        2: [f"plain token thing row {chr(97 + k)}" for k in range(9)],
+        3: [f"plain row, EUR {k}00" for k in range(1, 10)],
+        4: [f"that thing row, {k}50" for k in range(1, 10)],
+        5: [f"that thing 201{k}, EUR {k}50" for k in range(1, 10)],
+    }
+    docs = spark.createDataFrame([(k, "\n".join(x)) for k, x in lines.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["reason"], r["score"]) for r in extraction.x17_source_confidence(docs).collect()}
+    assert {k: r for k, (r, _) in got.items() if k < 4} == {1: "few lines", 2: "few prices", 3: "weak identity"}
+    assert got[5] == ("", 5 + 40 + 9 * 12 + 30 + 20 + 20 + 45)
+
+
+def test_source_confidence_reaches_every_branch(spark):
+    names = ("lines", "priced", "core", "producer", "prestige", "kind", "vintage", "currency")
+    rows, want = [], []
+    for k, (n, pdf, signal, generic, link, reason) in enumerate([
+        ((4, 4, 4, 0, 0, 4, 4, 4), False, True, False, 7, "few lines"), ((6, 4, 6, 0, 0, 6, 6, 6), False, True, False, 7, "few prices"), ((6, 6, 1, 2, 0, 6, 6, 6), False, True, False, 7, "weak identity"),
+        ((6, 6, 6, 0, 0, 6, 2, 2), False, True, False, 7, "weak vintage"), ((6, 6, 6, 0, 0, 6, 6, 6), False, True, True, 7, "generic page"), ((6, 6, 6, 0, 0, 6, 6, 6), False, False, False, 7, "no list address"),
+        ((6, 6, 6, 0, 0, 6, 6, 6), True, True, True, 7, ""), ((9, 9, 0, 3, 0, 0, 3, 0), False, False, False, -60, "low score"), ((12, 12, 2, 0, 0, 2, 2, 3), False, False, False, 0, ""),
+    ]):
+        rows.append((k, *n, pdf, signal, generic, link))
+        full = link + 30 * pdf + 40 * signal + 12 * min(n[0], 10) + 30 * (n[0] >= 3) + 20 * (n[7] >= 2) + 20 * (n[6] >= 2) + 45 * (n[2] >= 1) + 35 * (n[5] >= 2)
+        want.append((k, reason, full if reason in ("", "low score") else link))
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"n_{c} int" for c in names) + ", pdf boolean, signal boolean, generic boolean, link int")
+    got = extract.source_confidence(df, *map(F.col, ("pdf", "signal", "generic", "link"))).select("id", "reason", "score")
+    assert sorted(map(tuple, got.collect())) == want
