@@ -126,4 +126,4 @@ def x21_probable_rows(lines):
 def x37_line_tokens(docs):
     from ..operators.matching import line_tokens
 
-    return docs.where("lang = 'en'").select("doc_id", F.size(F.array_distinct(line_tokens(F.col("text")))).cast("long").alias("n"))
+    return docs.select("doc_id", F.size(F.array_distinct(line_tokens(F.coalesce("text", F.lit(""))))).cast("long").alias("n"))

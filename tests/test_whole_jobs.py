@@ -57,3 +57,14 @@ def test_source_confidence_reaches_every_branch(spark):
     df = spark.createDataFrame(rows, "id int, " + ", ".join(f"n_{c} int" for c in names) + ", pdf boolean, signal boolean, generic boolean, link int")
     got = extract.source_confidence(df, *map(F.col, ("pdf", "signal", "generic", "link"))).select("id", "reason", "score")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_line_tokens_of_every_language(spark):
+    docs = [(1, "Grand Cru of the house", "en"), (2, "Été à la forêt, forêt", "fr"), (3, "Straße und Grüße", "de"), (4, "El niño pequeño", "es"), (5, None, None), (6, "", "fr"), (7, "plain words", None)]
+
+    def tokens(s):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", (s or "").casefold()) if not unicodedata.combining(c))
+        return {w for w in re.findall("[a-z0-9]+", plain) if len(w) >= 3 and w not in rules.LINE_STOP_WORDS}
+
+    got = extraction.x37_line_tokens(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert sorted(map(tuple, got.collect())) == [(k, len(tokens(t))) for k, t, _ in docs]
