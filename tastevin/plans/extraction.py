@@ -97,7 +97,7 @@ def s6_links(pages):
   select conv_id, turn, case when turn - h[1] <= 2 then h[2] end as header from h""")
 def x19_sections(conversations):
     """The header that each row inherits: the last one before it, within reach."""
-    rows = conversations.select("conv_id", "turn", F.substring("text", 1, 20).alias("line"), "role")
+    rows = conversations.select("conv_id", "turn", F.col("text").alias("line"), "role")
     return extract.carried_headers(rows, "conv_id", "turn", F.col("role") == "user", 2).select("conv_id", "turn", "header")
 
 

@@ -68,3 +68,9 @@ def test_line_tokens_of_every_language(spark):
 
     got = extraction.x37_line_tokens(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     assert sorted(map(tuple, got.collect())) == [(k, len(tokens(t))) for k, t, _ in docs]
+
+
+def test_section_headers_are_whole(spark):
+    turns = [(1, 0, "user", "the same twenty characters, then one end"), (1, 1, "assistant", "a"), (1, 2, "user", "the same twenty characters, then another"), (1, 3, "assistant", "b")]
+    got = extraction.x19_sections(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert [r["header"] for r in got.orderBy("turn").collect()] == [None, turns[0][3], turns[0][3], turns[2][3]]
