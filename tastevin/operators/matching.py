@@ -65,10 +65,12 @@ def name_score(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def best_names(left: DataFrame, right: DataFrame, block: str, least: float = 0.55) -> DataFrame:
-    """For each left row the best right row of its block by name score, if good enough; bonuses for website and address."""
-    r = right.select(F.col("id").alias("match_id"), F.col(block).alias("_block"), F.col("name").alias("_name"))
+    """For each left row the best right row of its block: of those whose name score is good enough the one of greatest score
+    with bonuses, a quarter for a website and 0.15 for an address (where right has these columns). The score given is the name's."""
+    has = lambda c, k: F.when(F.trim(c) != "", k).otherwise(0.0) if c in right.columns else F.lit(0.0)
+    r = right.select(F.col("id").alias("match_id"), F.col(block).alias("_block"), F.col("name").alias("_name"), (has("website", 0.25) + has("address", 0.15)).alias("_bonus"))
     scored = left.join(r, F.col(block) == F.col("_block")).withColumn("score", name_score(text.normalize_name("name"), text.normalize_name("_name")))
-    return scored.where(F.col("score") >= least).groupBy(left["id"]).agg(F.max_by(F.struct("match_id", "score"), F.struct("score", -F.col("match_id"))).alias("b")).select("id", "b.match_id", "b.score")
+    return scored.where(F.col("score") >= least).groupBy(left["id"]).agg(F.max_by(F.struct("match_id", "score"), F.struct(F.col("score") + F.col("_bonus"), -F.col("match_id"))).alias("b")).select("id", "b.match_id", "b.score")
 
 
 def line_tokens(column: Column) -> Column:

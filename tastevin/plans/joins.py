@@ -79,7 +79,7 @@ def j11_distance(customers):
 def j12_fuzzy_name(targets):
     """Best name of the same country and city by matching blocks."""
     t = targets.withColumn("block", F.col("country"))
-    return matching.best_names(t.where("id % 2 = 0").select("id", "name", "block"), t.where("id % 2 = 1").select("id", "name", "block"), "block")
+    return matching.best_names(t.where("id % 2 = 0").select("id", "name", "block"), t.where("id % 2 = 1").select("id", "name", "block", "website"), "block")
 
 
 @query(["part"], """

@@ -74,3 +74,13 @@ def test_section_headers_are_whole(spark):
     turns = [(1, 0, "user", "the same twenty characters, then one end"), (1, 1, "assistant", "a"), (1, 2, "user", "the same twenty characters, then another"), (1, 3, "assistant", "b")]
     got = extraction.x19_sections(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     assert [r["header"] for r in got.orderBy("turn").collect()] == [None, turns[0][3], turns[0][3], turns[2][3]]
+
+
+def test_bonuses_decide_between_names(spark):
+    left = spark.createDataFrame([(1, "Chez Marie", "fr"), (2, "Zur Post", "de")], "id long, name string, block string")
+    right = "id long, name string, block string, website string, address string"
+    rows = [(10, "Chez Marie", "fr", "", None), (11, "Chez Mario", "fr", "https://m.example.com", None), (12, "Chez Marlo", "fr", None, "1 Road"), (20, "Quux", "de", "https://q.example.com", "2 Road")]
+    best = lambda r: {x["id"]: x["match_id"] for x in matching.best_names(left, spark.createDataFrame(r, right), "block").collect()}
+    assert best(rows) == {1: 11}  # bonuses choose between names that are good enough, and make none good enough
+    assert best([(10, "Chez Marie", "fr", " ", ""), (13, "Chez Mariel", "fr", None, "1 Road"), (14, "Chez Mario", "fr", None, "1 Road")]) == {1: 13}
+    assert best(rows[:1] + rows[2:3]) == {1: 10}  # 0.8 and an address are less than 1
