@@ -25,13 +25,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of at most limit bytes of text and 65,536 rows (one row at least), with their bytes and offsets."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK, rows: int = 65536) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of at most limit bytes of text and so many rows (one row at least), with their bytes and offsets."""
     for batch in batches:
         data, at = utf8(batch.column(text))
         k = 0
         while k < batch.num_rows:
-            end = min(max(k + 1, int(np.searchsorted(at, at[k] + limit, "right")) - 1), k + 65536, batch.num_rows)
+            end = min(max(k + 1, int(np.searchsorted(at, at[k] + limit, "right")) - 1), k + rows, batch.num_rows)
             yield batch.slice(k, end - k), data[at[k] : at[end]], at[k : end + 1] - at[k]
             k = end
 
@@ -124,6 +124,32 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarr
     return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), np.diff(np.append(edge, len(whole) and int(whole.sum()) + len(few) or len(few)))
 
 
+def complete(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Whole groups of rows with equal keys, small ones together until there are `rows`, from batches that are sorted by the keys."""
+    waiting: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = np.concatenate([[0] if last is not None and last != tuple(c[0] for c in columns) else [], np.flatnonzero(change) + 1]).astype(np.int64)
+        at = 0
+        for cut in cuts.tolist():
+            if size + cut - at >= rows:
+                if cut > at:
+                    waiting.append(batch.slice(at, cut - at))
+                yield pa.Table.from_batches(waiting)
+                waiting, size, at = [], 0, cut
+        waiting.append(batch.slice(at))
+        size += batch.num_rows - at
+        last = tuple(c[-1] for c in columns)
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, from batches that are sorted by them."""
     kept: list[pa.RecordBatch] = []
