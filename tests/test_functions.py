@@ -18,6 +18,10 @@ def one(spark, value, expr):
     ("Moulin a Vent, 2021, William Kelley, 300, 100%Gamay", 300.0, None),
     ("Krug Grande Cuvee 750 ml EUR 68423.46", 68423.46, "EUR"),
     ("Corton 2015, price on request", None, None),
+    ('P I N O T, N O I R, 2022, Domaine Bizot Marsannay "Clos du Roy", $1875', 1875.0, "USD"),
+    ("Meursault 2018 p. 12", None, None), ("Meursault 2018, 0.75 l, 120,OO", 120.0, None), ("Chablis 1.5 l 37.5 cl 2020", None, None),
+    ("Volnay 2019, EUR 1950", 1950.0, "EUR"), ("Volnay 2019, 1.950,50 €", 1950.5, "EUR"), ("EUR 80 Volnay 120 2019", 80.0, "EUR"), ("Volnay 5", None, None),
+    ("Volnay 12, upon request", None, None), ("Volnay upon request 12", 12.0, None), ("Volnay 12, upon request now", None, None), ("Volnay 90 ask your sommelier", None, None), ("", None, None), (None, None, None),
 ])
 def test_list_price(spark, line, price, currency):
     got = one(spark, line, money.list_price)
@@ -35,6 +39,27 @@ def test_shop_price(spark, line, price, currency):
     assert (got["price_value"], got["currency"]) == (price, currency)
 
 
+@pytest.mark.parametrize("line, country, price", [
+    ("Corton 2015 35018", "FR", 350.0), ("Corton 2015 EUR 35018", "FR", 35018.0), ("Corton 2015 35018", "JP", 35018.0), ("Corton 2015 350,OO", "FR", 350.0), ("Corton 2015 35099", "FR", 35099.0),
+])
+def test_hosted_price(spark, line, country, price):
+    got = spark.createDataFrame([(line, country)], "x string, c string").select(money.hosted_price(F.col("x"), F.col("c")).alias("y")).first()["y"]
+    assert got["price_value"] == price
+
+
+@pytest.mark.parametrize("line, raw, price, currency", [
+    ("Krug 2008 on request", "", None, ""), ("Krug 2008", "", None, ""), ("Krug EUR 2008", "2008", 2008.0, "EUR"), ("Krug 12 % 1,250", "1,250", 1250.0, ""), ("Krug 9 CHF", "", None, "CHF"),
+])
+def test_guide_price(spark, line, raw, price, currency):
+    got = one(spark, line, money.guide_price)
+    assert (got["price_text"], got["price_value"], got["currency"]) == (raw, price, currency)
+
+
+@pytest.mark.parametrize("raw, value", [("1,234", 1234.0), ("1.234,50", 1234.5), ("12,50", 12.5), ("12.OO", 12.0), ("12, 888", 12888.0), ("1 234 567", 1234567.0), ("85", 85.0), ("x", None), ("", None)])
+def test_numbers(spark, raw, value):
+    assert one(spark, raw, money.number_value) == value
+
+
 def test_sizes_and_vintages(spark):
     assert one(spark, "2021 Vosne-Romanee 750 ml HK$12,888", money.size_ml) == 750
     assert one(spark, "Moulin a Vent 2021 300", money.vintage) == "2021"
