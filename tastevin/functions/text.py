@@ -68,30 +68,48 @@ def transpositions(token: str) -> list[str]:
     return list(dict.fromkeys([token, *swapped]))
 
 
-def joined_runs(words: Column) -> Column:
-    """Concatenations of one to three words in a row: shifted copies zipped, so that the words aren't taken anew for each place."""
-    many = F.greatest(F.size(words), F.lit(1))
-    zipped = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), many).alias("b"), F.slice(words, F.lit(3), many).alias("c"))
-    part = lambda x, k: F.coalesce(x[k], F.lit(""))
-    two = F.transform(zipped, lambda x: F.concat(part(x, "a"), part(x, "b")))
-    three = F.transform(zipped, lambda x: F.concat(part(x, "a"), part(x, "b"), part(x, "c")))
-    return F.concat(words, two, three)
+_GAP = "[^\\p{L}\\p{N}_]+"
 
 
-def matches_all(tokens: list[str], folded: Column, joined: Column | None = None) -> Column:
+def _whole_words(forms: list[str]) -> str:
+    return f"(?<![\\p{{L}}\\p{{N}}_])(?:{'|'.join(forms)})(?![\\p{{L}}\\p{{N}}_])"
+
+
+def run_patterns(token: str) -> tuple[str, str]:
+    """Patterns of the token (or it with a swap of neighbours) written as a run of whole words: of any number of them, which
+    fails early on most texts, and of one to three."""
+    loose, exact = [], []
+    for word in transpositions(token):
+        loose.append(f"(?:{_GAP})?".join(map(re.escape, word)))
+        cuts = [(), *((a,) for a in range(1, len(word))), *((a, b) for a in range(1, len(word)) for b in range(a + 1, len(word)))]
+        exact += [_GAP.join(re.escape(word[x:y]) for x, y in zip((0, *c), (*c, len(word)), strict=True)) for c in cuts]
+    return _whole_words(loose), _whole_words(exact)
+
+
+def matches_all(tokens: list[str], folded: Column) -> Column:
     """Every token is a substring, or (five letters on) is a run of up to three words but for one swap of neighbours.
 
-    joined: the words' runs where the caller has stored them, which saves building them for each token."""
+    A run is looked for by parts that stand with a gap between them, so no list of a text's word runs is made."""
     out = F.lit(True)
     for token in tokens:
         one = folded.contains(token)
         if len(token) >= 5:
-            runs = joined if joined is not None else joined_runs(words_of(folded))
-            one = one | F.arrays_overlap(runs, F.array(*map(F.lit, transpositions(token))))
+            loose, exact = run_patterns(token)
+            one = one | folded.rlike(loose) & folded.rlike(exact)
         out = out & one
     return out
 
 
+def word_pattern(words: list[str], loose_hyphens: bool = True) -> str:
+    """Pattern of any of the words (whole ones), longest first. A blank is any white space; a hyphen may be a blank or nothing."""
+    written = (re.escape(w).replace("\\ ", "\\s+") for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    return "\\b(?:" + "|".join(w.replace("\\-", "[-\\s]?") if loose_hyphens else w for w in written) + ")\\b"
+
+
+def part_pattern(parts: list[str]) -> str:
+    return "|".join(map(re.escape, parts))
+
+
 def normalize_name(column: Column | str) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import clean_text, fold
+from .text import clean_text, fold, word_pattern
 
 
 def normalize_url(column: Column) -> Column:
@@ -41,11 +41,12 @@ def is_safe_url(column: Column) -> Column:
 def link_score(text: Column, host: Column, path: Column) -> Column:
     """Additive score of a link: list files, list hosts, strong and weak words, other menus."""
     hay = F.replace(fold(F.concat_ws(" ", text, F.lower(host), F.lower(path))), F.lit("_"), F.lit("-"))
-    strong = hay.rlike(f"\\b(?:{rules.STRONG_LINK})\\b")
+    has = lambda words: hay.rlike(word_pattern(words, loose_hyphens=False))
+    strong = has(rules.STRONG_LINK)
     add = lambda test, n: F.when(test, n).otherwise(0)
     return (
         add(F.lower(path).endswith(".pdf"), 20) + add(F.lower(host).startswith("wine.") | F.lower(host).contains(".wine."), 120) + add(strong, 80)
-        + add(hay.rlike(f"\\b(?:{rules.WEAK_LINK})\\b"), 10) + add(hay.rlike(f"\\b(?:{rules.OTHER_MENU})\\b") & ~strong, -60)
+        + add(has(rules.WEAK_LINK), 10) + add(has(rules.OTHER_MENU) & ~strong, -60)
     )
 
 
@@ -76,3 +77,8 @@ def json_strings(value: Column) -> Column:
     parsed = F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(F.trim(value)))
     one = F.transform(parsed, lambda x: F.trim(F.when(F.trim(x).startswith("{"), F.coalesce(F.get_json_object(x, "$.value"), F.get_json_object(x, "$.url"), F.get_json_object(x, "$.website"))).otherwise(F.regexp_replace(x, "^\"|\"$", ""))))
     return F.array_distinct(F.filter(F.coalesce(one, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))
+
+
+def is_event_page(path: Column) -> Column:
+    """The address of a page about an event, a story or an offer."""
+    return F.lower(path).rlike(word_pattern(rules.EVENT_PAGE))

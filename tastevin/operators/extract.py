@@ -33,17 +33,18 @@ def candidate_lines(lines: DataFrame, key: str, priced: Column, identity: Column
     return out.groupBy(key, "candidate").agg(F.min(place).alias("at")).select(key, "candidate", F.col("at.kind").alias("kind"), F.col("at.pos").alias("pos"), F.col("at.turn").alias("turn"))
 
 
-def word_test(folded: Column, words: str) -> Column:
-    return folded.rlike(f"\\b(?:{words})\\b")
+def word_test(folded: Column, words: str | list[str]) -> Column:
+    """A whole word of a list, or of a pattern."""
+    return folded.rlike(text.word_pattern(words) if isinstance(words, list) else f"\\b(?:{words})\\b")
 
 
-def line_features(line: Column, vocabulary: dict[str, str] | None = None) -> dict[str, Column]:
-    v = {"core": rules.CORE, "producer": rules.PRODUCER, "prestige": rules.PRESTIGE, "kind": rules.CORE + "|" + rules.KIND} | (vocabulary or {})
+def line_features(line: Column, vocabulary: dict[str, str | list[str]] | None = None) -> dict[str, Column]:
+    v = {"core": rules.CORE, "producer": rules.PRODUCER, "prestige": rules.PRESTIGE, "kind": rules.KIND} | (vocabulary or {})
     folded, price = text.fold(line), money.guide_price(line)
     return {
         "priced": price["price_value"].isNotNull(), "has_currency": price["currency"] != "", "has_vintage": line.rlike("\\b(?:19|20)\\d{2}\\b"), "has_nv": line.rlike("(?i)\\bN\\.?V\\.?\\b"),
         **{f"is_{k}": word_test(folded, words) for k, words in v.items()},
-        "numbers": F.size(F.regexp_extract_all(line, F.lit("((?<!\\d)(?:\\d{1,3}(?:[,\\s.]\\s*\\d{3})+|\\d{2,6})(?:[,.]\\d{2})?(?![\\d%]))"), F.lit(1))),
+        "numbers": F.size(F.filter(money.amounts(line), money.is_money)),
     }
 
 
@@ -55,7 +56,7 @@ def line_score(line: Column, watched: Column | None = None, vocabulary: dict[str
     score = n(watched, 5) + n(f["has_vintage"], 2) + n(f["priced"], 3) + n(f["has_currency"], 2) + n(f["is_kind"], 3) + n(f["is_producer"], 3) + n(f["is_prestige"], 3) + n(f["numbers"] >= 2, 1)
     evidence = n(f["is_core"], 1) + n(f["is_producer"], 1) + n(f["is_prestige"], 1) + n(f["has_vintage"] | f["has_nv"], 1)
     context = f["has_currency"] | (f["has_vintage"] | f["has_nv"]) & (f["numbers"] >= 2)
-    reject = ~F.length(line).between(8, 260) | folded.rlike(rules.BAD_LINE) | word_test(folded, rules.NOT_PRODUCT) | line.rlike("[_{}<>]|['\"]\\s*:")
+    reject = ~F.length(line).between(8, 260) | folded.rlike(text.part_pattern(rules.BAD_PART)) | word_test(folded, rules.BAD_WORD) | word_test(folded, rules.NOT_PRODUCT) | line.rlike("[_{}<>]|['\"]\\s*:")
     named = f["is_core"] | f["is_producer"] | f["is_prestige"] | watched
     return F.when(reject | ~named | ~((score >= 7) & f["priced"] & context & (evidence >= 2)), 0).otherwise(score)
 
