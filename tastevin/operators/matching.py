@@ -78,10 +78,12 @@ def line_tokens(column: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda t: (F.length(t) >= 3) & ~t.isin(rules.LINE_STOP_WORDS))
 
 
-def line_score(index_text: Column, other_text: Column, same_vintage: Column, same_price: Column) -> Column:
+def line_words(column: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text.fold(column), "[^a-z0-9]+", " ")), " ")
+
+
+def line_score(tokens: Column, words: Column, same_vintage: Column, same_price: Column) -> Column:
     """Share of the index line's tokens among the other's words, a quarter for the vintage and a fifth for the price."""
-    tokens = line_tokens(index_text)
-    words = F.split(F.trim(F.regexp_replace(text.fold(other_text), "[^a-z0-9]+", " ")), " ")
     hits = F.size(F.filter(tokens, lambda t: F.array_contains(words, t)))
     bonus = F.when(same_vintage, 0.25).otherwise(0.0) + F.when(same_price, 0.2).otherwise(0.0)
     return F.when(F.size(tokens) > 0, hits / F.size(tokens) + bonus).otherwise(0.0)
@@ -90,9 +92,12 @@ def line_score(index_text: Column, other_text: Column, same_vintage: Column, sam
 def reconcile(index: DataFrame, other: DataFrame, group: str, least: float = 0.55) -> DataFrame:
     """Greedy one-to-one matches within each group: index lines in order take the best other line that is left.
 
-    Scores are computed by the engine; only pairs that reach the threshold go to the greedy step, a group at a time."""
-    o = other.select(F.col(group).alias("_group"), F.col("id").alias("other_id"), F.col("text").alias("_text"), F.col("vintage").alias("_vintage"), F.col("price").alias("_price"))
-    pairs = index.join(o, F.col(group) == F.col("_group")).withColumn("score", line_score(F.col("text"), F.col("_text"), F.col("vintage") == F.col("_vintage"), F.col("price") == F.col("_price")))
+    Each line's words are taken once, before lines meet. As the bonuses don't reach the threshold alone, only lines that share
+    a word are scored, and only pairs that reach it go to the greedy step, a group at a time."""
+    i = index.select(F.col(group).alias("_group"), "id", "vintage", "price", line_tokens(F.col("text")).alias("_tokens"))
+    o = other.select(F.col(group).alias("_group"), F.col("id").alias("other_id"), line_words(F.col("text")).alias("_words"), F.col("vintage").alias("_vintage"), F.col("price").alias("_price"))
+    met = i.join(o, "_group").where(F.arrays_overlap("_tokens", "_words"))
+    pairs = met.withColumn("score", line_score(F.col("_tokens"), F.col("_words"), F.col("vintage") == F.col("_vintage"), F.col("price") == F.col("_price")))
 
     def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows come in order of group, index line and falling score: one pass, the state is the current group's

@@ -1,14 +1,19 @@
-"""Keyword watches against lines: a small broadcast list probes every line once."""
+"""Keyword watches against lines.
+
+A watch can only hit a line that has the first letters of its longest token, so lines and watches meet by an equi-join on
+runs of up to three characters, whatever the number of watches; all tokens and the vintage are tested on the pairs that meet.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Watches are configuration; a list longer than this isn't broadcast but joined on its first token.
-MOST_WATCHES = 10_000
+#: Characters that lines and watches are joined by.
+GRAM = 3
 
 
 def normalized(column: Column) -> Column:
@@ -25,28 +30,47 @@ def plain(column: Column) -> Column:
     return text.normalize_name(column)
 
 
+def _grams(hay: Column, sizes: list[int]) -> Column:
+    """Distinct runs of characters of the sizes."""
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - n + 1, F.lit(1))), lambda k: F.substring(hay, k, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
 def matches(lines: DataFrame, watches: DataFrame, body: str = "text", how: str = "tokens") -> DataFrame:
     """Lines x watches that hit: all tokens as substrings (tokens), or the whole keyword (phrase, plain); and the vintage, if any, in the text."""
     normal = {"tokens": normalized, "phrase": squeezed, "plain": plain}[how]
-    w = watches.withColumn("needle", normal(F.col("keyword"))).withColumnRenamed("vintage", "watch_vintage")
-    if how == "tokens":
-        w = w.withColumn("tokens", F.filter(F.split("needle", " "), lambda t: t != "")).where(F.size("tokens") > 0)
-        test = F.forall("tokens", lambda t: F.contains(F.col("hay"), t))
-    else:
-        test = F.contains(F.col("hay"), F.col("needle")) & (F.col("needle") != "")
-    seen = lines.withColumn("hay", normal(F.col(body)))
+    words = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    w = watches.withColumn("needle", normal(F.col("keyword"))).withColumnRenamed("vintage", "watch_vintage").where("needle <> ''").withColumn("tokens", words(F.col("needle")))
+    longest = F.get(F.array_sort("tokens", lambda x, y: F.length(y) - F.length(x)), F.lit(0))
+    w = w.withColumn("gram", F.substring(longest, 1, GRAM))
+    sizes = sorted(r[0] for r in w.select(F.length("gram")).distinct().collect())  # three values at most
+    if not sizes:
+        return lines.join(w.drop("gram", "needle", "tokens"), F.lit(False))
+    test = F.forall("tokens", lambda t: F.contains(F.col("hay"), t)) if how == "tokens" else F.contains(F.col("hay"), F.col("needle"))
     year = (F.col("watch_vintage") == "") | F.contains(F.col(body), F.col("watch_vintage"))
-    small = watches.limit(MOST_WATCHES + 1).count() <= MOST_WATCHES
-    return seen.join(F.broadcast(w) if small else w, test & year).drop("hay", "needle", "tokens")
+    seen = lines.withColumn("hay", normal(F.col(body)))
+    met = seen.withColumn("gram", F.explode(_grams(F.col("hay"), sizes))).join(w, "gram")
+    return met.where(test & year).drop("hay", "needle", "tokens", "gram")
 
 
 def report(hits: DataFrame, completed_at: Column, running_at: Column, shown: int = 20) -> DataFrame:
-    """For each watch: matches, restaurants, those new since the last completed run, those checked in the running one and not seen again."""
+    """For each watch: matches, restaurants, those new since the last completed run, those checked in the running one and not seen again.
+
+    Hits are summed by restaurant first; the first names are ranked, so no watch's restaurants are one row's array."""
     new = F.col("first_seen") > completed_at
     stale = (F.col("checked_at") >= running_at) & (F.col("last_seen") < running_at)
-    names = lambda test: F.slice(F.sort_array(F.collect_set(F.when(test, F.col("restaurant")))), 1, shown)
-    return hits.groupBy("keyword", "watch_vintage").agg(
-        F.count("*").alias("match_count"), F.countDistinct("restaurant").alias("restaurant_count"),
-        F.countDistinct(F.when(new, F.col("restaurant"))).alias("new_count"), F.countDistinct(F.when(stale, F.col("restaurant"))).alias("stale_count"),
-        F.array_join(names(new), ";").alias("new_restaurants"), F.array_join(names(stale), ";").alias("stale_restaurants"),
-    )
+    watch = ["keyword", "watch_vintage"]
+    flag = lambda test: F.max(F.coalesce(test, F.lit(False)))
+    each = hits.groupBy(*watch, "restaurant").agg(F.count("*").alias("n"), flag(new).alias("new"), flag(stale).alias("stale"))
+    known = F.col("restaurant").isNotNull()
+    counts = each.groupBy(*watch).agg(
+        F.sum("n").alias("match_count"), F.count_if(known).alias("restaurant_count"), F.count_if(known & F.col("new")).alias("new_count"), F.count_if(known & F.col("stale")).alias("stale_count"))
+    kinds = F.explode(F.array(F.struct(F.lit("new").alias("kind"), F.col("new").alias("on")), F.struct(F.lit("stale").alias("kind"), F.col("stale").alias("on")))).alias("k")
+    named = each.where(known).select(*watch, "restaurant", kinds).where("k.on").select(*watch, "restaurant", F.col("k.kind").alias("kind"))
+    first = named.withColumn("rank", F.row_number().over(W.partitionBy(*watch, "kind").orderBy("restaurant"))).where(F.col("rank") <= shown)
+    names = lambda kind: F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("restaurant")))), ";").alias(f"{kind}_restaurants")
+    shown_names = first.groupBy(*watch).agg(names("new"), names("stale"))
+    out = counts.alias("c").join(shown_names.alias("s"), [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in watch], "left")
+    return out.select("c.*", *(F.coalesce(f"{kind}_restaurants", F.lit("")).alias(f"{kind}_restaurants") for kind in ("new", "stale")))

@@ -149,7 +149,7 @@ def a18_kpis(lines, merchants):
 
 
 @query(["documents", "labels"], """
-  select source, count(*) as n, sum(case when coalesce(l.quality, 0) = 1 then 1 else 0 end)::bigint as good, least(sum(len(string_split(text, 'the')) - 1), 400)::bigint as evidence, count(distinct lang) as langs
+  select source, count(*) as n, sum(case when coalesce(l.quality, 0) = 1 then 1 else 0 end)::bigint as good, sum(least(len(string_split(coalesce(text, ''), 'the')) - 1, 4))::bigint as evidence, count(distinct lang) as langs
   from documents d left join labels l on d.doc_id = l.doc_id group by 1""")
 def a19_evidence_counts(docs, labels):
     """Rows, good rows, evidence and languages of each source; a document's evidence counts 4 at most."""

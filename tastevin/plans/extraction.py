@@ -38,35 +38,55 @@ def x17_source_evidence(docs):
     return extract.source_evidence(extract.document_lines(docs, "doc_id"), "doc_id", vocabulary=_WORDS).select("doc_id", "n_lines", "n_core", "n_producer", "n_prestige", "n_kind")
 
 
+_MARKS = {"core": "widget|bolt|gear", "producer": "widget", "prestige": "rod", "kind": "widget|bolt"}
+
+
+def _varied(lines):
+    """Lines without currency, without vintage, without price, or about an event, by id; and what they say."""
+    k, price = F.col("id") % 5, F.col("price").cast("string")
+    year = F.when(k == 1, F.lit(None)).otherwise(F.col("vintage"))
+    paid = F.when(k == 2, price).when(k != 3, F.concat_ws(" ", "currency", price))
+    return lines.withColumn("text", F.concat_ws(", ", year, F.col("name"), F.when(k == 4, "dinner for two"), paid))
+
+
 @query(["v_lines"], """
-  select id, (2 + 3 + 2 + case when contains(text, 'widget') then 3 else 0 end + case when regexp_matches(lower(text), '\\b(?:widget|bolt)\\b') then 3 else 0 end + 1)::int as score
-  from (select *, regexp_matches(lower(text), '\\b(?:widget|bolt|gear)\\b') as core from v_lines) where core or contains(text, 'widget')""")
+  with v as (select id, id % 5 as k, split_part(name, ' ', 2) as noun, id % 5 <> 1 as dated, id % 5 <> 3 as paid, id % 5 not in (2, 3) as coined, price between 1900 and 2099 as yearlike from v_lines where id % 5 <> 4),
+  f as (select id, noun, coined, dated or paid and yearlike as dated, paid and (coined or not yearlike) as priced, dated::int + paid::int as numbers, noun in ('widget', 'bolt', 'gear') as core, noun = 'widget' as producer, noun = 'rod' as prestige, noun in ('widget', 'bolt') as kind from v),
+  s as (select *, 2 * dated::int + 3 * priced::int + 2 * coined::int + 3 * kind::int + 3 * producer::int + 3 * prestige::int + (numbers >= 2)::int as score, core::int + producer::int + prestige::int + dated::int as evidence from f)
+  select id, score from s where (core or producer or prestige) and priced and (coined or dated and numbers >= 2) and evidence >= 2 and score >= 7""")
 def x16_line_score(lines):
     """Product lines and their scores, with this table's own vocabulary."""
-    score = extract.line_score(F.col("text"), vocabulary={"core": "widget|bolt|gear", "producer": "widget", "prestige": "nosuchword", "kind": "widget|bolt"})
-    return lines.select("id", score.alias("score")).where("score > 0")
+    return _varied(lines).select("id", extract.line_score(F.col("text"), vocabulary=_MARKS).alias("score")).where("score > 0")
 
 
-@query(["documents"], f"""
-  with l as (select doc_id, line, {_FOLD.format(c="line")} as f from ({_SPLIT})), x as (select distinct doc_id, line, {_FEATURES} from l),
-  e as (select doc_id, count(*) as n, sum(is_core::int) as c, sum(is_producer::int) as p, sum(is_prestige::int) as g, sum(is_kind::int) as k from x group by 1)
-  select doc_id, case when n < 5 then 'few lines' else 'few prices' end as reason, (doc_id % 90)::bigint as score from e where n < 5 or true""")
-def x17_source_confidence(docs):
-    """Reason and score by the decision list over all evidence, prices included."""
-    evidence = extract.source_evidence(extract.document_lines(docs, "doc_id"), "doc_id", vocabulary=_WORDS)
-    out = extract.source_confidence(evidence, F.lit(False), F.lit(True), F.lit(False), F.col("doc_id") % 90)
-    return out.select("doc_id", "reason", "score")
-
-
-@query(["pages"], """
-  with u as (select page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)([^?#]*)', 1)) as host, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)([^?#]*)', 2)) as path from pages), h as (select *, host || ' ' || path as hay from u),
-  s as (select *, regexp_matches(hay, '\\b(?:wine|wine-list|winelist|wines|cellar|sommelier|champagne|beverages?|drinks?|drink-list|bar-menu|vin|vins|carte-des-vins|cave|boissons?|wein|weine|weinkarte|getranke|vino|vini|carta-dei-vini|bebidas?|bodega|vinhos?|wijn|wijnkaart|vinkort|vinliste|viini|sake)\\b') as strong from h)
-  select page_id, case when path like '%.pdf' then 20 else 0 end + case when starts_with(host, 'wine.') or contains(host, '.wine.') then 120 else 0 end + case when strong then 80 else 0 end + case when regexp_matches(hay, '\\b(?:menu|bar|pairing|tasting|omakase|degustation)\\b') then 10 else 0 end
-    + case when regexp_matches(hay, '\\b(?:food|lunch|dinner|breakfast|brunch|tasting-menu|a-la-carte|dessert)\\b') and not strong then -60 else 0 end as score from s""")
+@query(["v_lines", "v_sources"], """
+  with v as (select distinct list_id, concat_ws(', ', case when id % 5 <> 1 then vintage end, name, case when id % 5 = 4 then 'dinner for two' end, case id % 5 when 2 then price::varchar when 3 then null else currency || ' ' || price end) as text,
+    split_part(name, ' ', 2) as noun, id % 5 <> 1 or price between 1900 and 2099 as dated, id % 5 <> 3 and (id % 5 <> 2 or price not between 1900 and 2099) as priced, id % 5 not in (2, 3) as coined from v_lines),
+  e as (select list_id, count(*) as n, sum(priced::int) as p, sum((noun in ('widget', 'bolt', 'gear'))::int) as c, sum((noun = 'widget')::int) as m, sum((noun = 'rod')::int) as g, sum((noun in ('widget', 'bolt'))::int) as k, sum(dated::int) as v, sum(coined::int) as y from v group by 1),
+  j as (select e.*, source_type = 'pdf' as pdf, contains(url, '/wine/') as signal, id % 5 = 0 as generic, id % 90 as link from e join v_sources on id = list_id),
+  r as (select *, case when n < 5 then 'few lines' when p < 5 then 'few prices' when c < 2 and g < 1 and m < 3 then 'weak identity' when v < 3 and y < 3 then 'weak vintage' when generic and not pdf and n < 8 then 'generic page' when not signal and n < 8 then 'no list address' end as why,
+    link + 30 * pdf::int + 40 * signal::int + 12 * least(n, 10) + 30 * (n >= 3)::int + 20 * (y >= 2)::int + 20 * (v >= 2)::int + 45 * (c >= 1)::int + 35 * (k >= 2)::int as total from j)
+  select list_id, coalesce(why, case when total < 120 then 'low score' else '' end) as reason, (case when why is null then total else link end)::bigint as score from r""")
+def x17_source_confidence(lines, sources):
+    """Reason and score of each list by the decision list over all its evidence."""
+    evidence = extract.source_evidence(_varied(lines), "list_id", "text", vocabulary=_MARKS)
+    facts = sources.select(F.col("id").alias("list_id"), (F.col("source_type") == "pdf").alias("pdf"), F.contains("url", F.lit("/wine/")).alias("signal"), (F.col("id") % 5 == 0).alias("generic"), (F.col("id") % 90).alias("link"))
+    out = extract.source_confidence(evidence.join(facts, "list_id"), *map(F.col, ("pdf", "signal", "generic", "link")))
+    return out.select("list_id", "reason", "score")
+
+
+#: Links and what they score: each row is (label, host, path, score).
+_LINKS = [
+    ("", "a.example.com", "/lista-de-vinos", 80), ("Carte des vins", "a.example.com", "/carte.pdf", 100), ("", "wine.example.com", "/x", 200), ("", "a.example.com", "/menu", 10), ("", "a.example.com", "/lunch-menu", -50), ("Our wines", "a.example.com", "/lunch", 80), ("", "a.example.com", "/dranken", 80), ("Getränke", "a.example.com", "/", 80),
+    ("", "shop.wine.example.com", "/a/b.PDF", 220), ("", "a.example.com", "/winery", 0), ("", "a.example.com", "/degustazione", 10), ("Viinilista", "a.example.com", "/fi", 80), ("", "a.example.com", "/a-la-carte", -60), ("", "a.example.com", "/drink_menu", 90), ("Contact", "a.example.com", "/contact", 0),
+]
+
+
+@query(["pages"], f"select page_id, {[x[3] for x in _LINKS]}[(page_id % {len(_LINKS)} + 1)::int] as score from pages")
 def x26_link_score(pages):
-    u = F.col("url")
-    host, path = F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)([^?#]*)", 1), F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)([^?#]*)", 2)
-    return pages.select("page_id", web.link_score(F.lit(None).cast("string"), host, path).alias("score"))
+    links = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(host).alias("host"), F.lit(path).alias("path")) for label, host, path, _ in _LINKS))
+    link = F.get(links, (F.col("page_id") % len(_LINKS)).cast("int"))
+    return pages.select("page_id", web.link_score(link["label"], link["host"], link["path"]).alias("score"))
 
 
 @query(["pages"], "select page_id, len(list_filter(['nav', 'article', 'footer', 'track(', 'ad 0', 'example.net'], lambda w: contains(lower(html), w))) as signals, len(regexp_extract_all(html, '<p>')) as paragraphs from pages")
@@ -93,7 +113,7 @@ def s6_links(pages):
 
 
 @query(["conversations"], """
-  with h as (select conv_id, turn, role, last_value(case when role = 'user' then (turn, left(text, 20)) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as h from conversations)
+  with h as (select conv_id, turn, role, last_value(case when role = 'user' then (turn, text) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as h from conversations)
   select conv_id, turn, case when turn - h[1] <= 2 then h[2] end as header from h""")
 def x19_sections(conversations):
     """The header that each row inherits: the last one before it, within reach."""
@@ -122,7 +142,7 @@ def x21_probable_rows(lines):
     return lines.where(extract.probable_row(F.col("text"))).select("id")
 
 
-@query(["documents"], "with w as (select doc_id, lang, list_distinct(list_filter(string_split(trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: len(t) >= 3 and t not in ('the', 'and', 'aoc', 'aop', 'auc', 'doc', 'docg', 'cru', 'grand', 'wine', 'list'))) as ws from documents where lang = 'en') select doc_id, len(ws) as n from w")
+@query(["documents"], "with w as (select doc_id, lang, list_distinct(list_filter(string_split(trim(regexp_replace(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: len(t) >= 3 and t not in ('the', 'and', 'aoc', 'aop', 'auc', 'doc', 'docg', 'cru', 'grand', 'wine', 'list'))) as ws from documents) select doc_id, len(ws) as n from w")
 def x37_line_tokens(docs):
     from ..operators.matching import line_tokens
 

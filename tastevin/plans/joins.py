@@ -17,8 +17,7 @@ def j3_left_coalesce(targets, sources):
 
 
 @query(["v_targets", "v_sources", "v_entries"], """
-  with t as (select * from v_targets where id % 10 = 1)
-  select t.id, count(distinct s.id) as lists, count(distinct e.id) as entries, count(e.id) as fanned from t left join v_sources s on s.target_id = t.id left join v_entries e on e.target_id = t.id group by 1""")
+  select t.id, count(distinct s.id) as lists, count(distinct e.id) as entries, count(e.id) as fanned from v_targets t left join v_sources s on s.target_id = t.id left join v_entries e on e.target_id = t.id group by 1""")
 def j4_fanout_counts(targets, sources, entries):
     """Distinct counts over two fanned-out sides, and the product the plain count gives: from pre-aggregates, without the fan-out."""
     s = sources.groupBy("target_id").agg(F.countDistinct("id").alias("lists"))
@@ -48,37 +47,42 @@ def j9_scalar_subq(merchants, products):
     return merchants.join(p, merchants["id"] == p["merchant_id"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "top")
 
 
-_POINTS = "select c_custkey as id, 'Place ' || (c_custkey % 40) as name, 10 + ((c_custkey * 7919) % 400) / 10000e0 as lat, 20 + ((c_custkey * 104729) % 400) / 10000e0 as lng, case c_custkey % 3 when 0 then '' when 1 then 'FR' else 'DE' end as country, case when c_custkey % 4 = 0 then 'Road ' || (c_custkey % 8) else '' end as address from customer"
+_POINTS = "select c_custkey as id, 'Place ' || (c_custkey % 40) as name, 10 + ((c_custkey * 7919 + c_custkey // 40 * 57) % 400) / 10000e0 as lat, 20 + ((c_custkey * 104729 + c_custkey // 40 * 53) % 400) / 10000e0 as lng, case c_custkey % 3 when 0 then '' when 1 then 'FR' else 'DE' end as country, case when c_custkey % 4 = 0 then 'Road ' || (c_custkey % 8) else '' end as address from customer"
 
 
 def _points(customers):
-    return customers.selectExpr("c_custkey as id", "'Place ' || (c_custkey % 40) as name", "10 + ((c_custkey * 7919) % 400) / 10000e0 as lat", "20 + ((c_custkey * 104729) % 400) / 10000e0 as lng", "case c_custkey % 3 when 0 then '' when 1 then 'FR' else 'DE' end as country", "case when c_custkey % 4 = 0 then 'Road ' || (c_custkey % 8) else '' end as address")
+    return customers.selectExpr("c_custkey as id", "'Place ' || (c_custkey % 40) as name", "10 + ((c_custkey * 7919 + c_custkey div 40 * 57) % 400) / 10000e0 as lat", "20 + ((c_custkey * 104729 + c_custkey div 40 * 53) % 400) / 10000e0 as lng", "case c_custkey % 3 when 0 then '' when 1 then 'FR' else 'DE' end as country", "case when c_custkey % 4 = 0 then 'Road ' || (c_custkey % 8) else '' end as address")
+
+
+def _halves(p):
+    """Two sides that share their names: 40 rows for the one, the next 40 for the other."""
+    return p.where("(id div 40) % 2 = 0"), p.where("(id div 40) % 2 = 1")
 
 
 @query(["customer"], f"""
-  with p as ({_POINTS}), j as (select a.id, b.id as match_id, abs(a.lat - b.lat) + abs(a.lng - b.lng) as degrees from p a join p b on a.name = b.name and abs(a.lat - b.lat) <= 0.003 and abs(a.lng - b.lng) <= 0.003 where a.id % 2 = 0 and b.id % 2 = 1)
+  with p as ({_POINTS}), j as (select a.id, b.id as match_id, abs(a.lat - b.lat) + abs(a.lng - b.lng) as degrees from p a join p b on a.name = b.name and abs(a.lat - b.lat) <= 0.003 and abs(a.lng - b.lng) <= 0.003 where (a.id // 40) % 2 = 0 and (b.id // 40) % 2 = 1)
   select id, min_by(match_id, (degrees, match_id)) as match_id, round(min(degrees), 9) as degrees from j group by 1""")
 def j10_nearest(customers):
     """Nearest row of the same name within a small box, through grid cells."""
     p = _points(customers)
-    return matching.nearest_by_name(p.where("id % 2 = 0"), p.where("id % 2 = 1"), "name").withColumn("degrees", F.round("degrees", 9))
+    return matching.nearest_by_name(*_halves(p), "name").withColumn("degrees", F.round("degrees", 9))
 
 
 @query(["customer"], f"""
   with p as ({_POINTS}), j as (select a.id, b.id as match_id, not (a.country <> '' and b.country <> '' and a.country <> b.country) and ((a.address <> '' and a.address = b.address)
     or 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lng) - radians(a.lng)) / 2), 2)))) <= 1.0) as same
-    from p a join p b on a.name = b.name where a.id % 2 = 0 and b.id % 2 = 1)
+    from p a join p b on a.name = b.name where (a.id // 40) % 2 = 0 and (b.id // 40) % 2 = 1)
   select id, min(match_id) as match_id from j where same group by 1""")
 def j11_distance(customers):
     """First row of the same name at the same location: countries agree, and address or distance does."""
     p = _points(customers)
-    return matching.first_at_location(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["name"])
+    return matching.first_at_location(*_halves(p), ["name"])
 
 
 @query(["v_targets"])
 def j12_fuzzy_name(targets):
     """Best name of the same country and city by matching blocks."""
-    t = targets.withColumn("block", F.col("country"))
+    t = targets.withColumn("block", F.concat_ws("|", "country", "city"))
     return matching.best_names(t.where("id % 2 = 0").select("id", "name", "block"), t.where("id % 2 = 1").select("id", "name", "block", "website"), "block")
 
 

@@ -38,7 +38,9 @@ def test_source_confidence_uses_prices(spark):
         5: [f"that thing 201{k}, EUR {k}50" for k in range(1, 10)],
     }
     docs = spark.createDataFrame([(k, "\n".join(x)) for k, x in lines.items()], "doc_id long, text string")
-    got = {r["doc_id"]: (r["reason"], r["score"]) for r in extraction.x17_source_confidence(docs).collect()}
+    evidence = extract.source_evidence(extract.document_lines(docs, "doc_id"), "doc_id", vocabulary=extraction._WORDS)
+    out = extract.source_confidence(evidence, F.lit(False), F.lit(True), F.lit(False), F.col("doc_id") % 90)
+    got = {r["doc_id"]: (r["reason"], r["score"]) for r in out.collect()}
     assert {k: r for k, (r, _) in got.items() if k < 4} == {1: "few lines", 2: "few prices", 3: "weak identity"}
     assert got[5] == ("", 5 + 40 + 9 * 12 + 30 + 20 + 20 + 45)
 
