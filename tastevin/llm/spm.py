@@ -4,18 +4,23 @@ A text is split where a blank follows another character; no piece reaches across
 at the front, or alone), so these units are encoded apart, each distinct one once in a chunk. Units of equal length in
 characters advance together as rows of one matrix; 64-bit hashes of their substrings probe the sorted keys of the pieces.
 
-`viterbi` is the search for the segmentation of the greatest sum of scores: for each end, vectorised maxima over the starts
-store scores and backpointers. It gives the ids of unigram models.
+`viterbi` goes over the ends of a unit; for each end, vectorised maxima over the starts store backpointers. For unigram
+models they are maxima of the sum of scores.
 
-A BPE model's ids are by definition those of its merges, which the greatest sum of scores doesn't give; for such models `merges`
-takes, in all rows at once, the best adjacent pair of each (vectorised maxima again), until none is a piece. The method
-follows the model's type. Characters that no piece covers become byte pieces if the model has them, else unknown.
+A BPE model's ids are by definition those of its merges. These are found by the same search, with a condition in the place
+of the sum: merging the text of two tokens gives these two again if and only if they can stand side by side, and a row of tokens is
+the merged form of its text if and only if each two neighbours can (a merge across a border sees only the two tokens beside
+it until it happens). So of all pieces that end at a place just one can follow the token that ends where it starts, and the
+maximum is over what can. Whether two pieces can stand side by side is found by merging the text of the two (`merges`, in
+batches of equal length again), once for each pair, and kept in a bounded table of the worker. The method follows the
+model's type. Characters that no piece covers become byte pieces if the model has them, else unknown.
 
 Decoding concatenates the pieces' bytes and takes off the blank that encoding put in front.
 
 Edge cases: null and empty texts have no tokens; U+2581 counts as a blank, as in the library (so its round trip isn't exact);
-units of more than LONG characters are encoded one by one; null or repeated doc_id are rows like any other; an empty
-table gives an empty result; further columns are ignored. Whatever the normaliser, it must be the identity with a blank in front.
+units of more than LONG characters are merged one by one; null or repeated doc_id are rows like any other; an empty
+table gives an empty result; carried columns with names of the outputs give way to them; null token_ids decode to the empty
+text. Whatever the normaliser, it must be the identity with a blank in front.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .textbatch import chunks, prefix_sums, span_hashes
+from .common import Carried, table, text_or_empty
+from .textbatch import chunks, mix, prefix_sums, span_hashes
 
 MODEL = "piece_bpe_32k.model"
 LONG = 96
@@ -87,15 +92,21 @@ class Pieces:
             raise ValueError("two pieces share a key")
         self.longest = max(len(x.decode()) for x in spelled)
         self.penalty = min(scores) - 10.0  # of a character that no piece covers, as the library's unigram search has it
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.keys >> np.uint64(44)] = True
+        self.pairs = Pairs()
+        # place of the key of each slot, -1 without one; where several share a slot, binary search finds theirs
+        self.slots, at = np.full(1 << 20, -1, np.int32), (self.keys >> np.uint64(44)).astype(np.int64)
+        self.slots[at] = np.arange(len(at))
+        self.crowded = np.bincount(at, minlength=1 << 20) > 1
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in keys, -1 for what is no piece."""
-        out = np.full(len(h), -1)
-        some = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-        k = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
-        out[some] = np.where(self.keys[k] == h[some], k, -1)
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        out = self.slots[slot]
+        some = np.flatnonzero(out >= 0)
+        found = out[some]
+        many = np.flatnonzero(self.crowded[slot[some]])
+        found[many] = np.minimum(np.searchsorted(self.keys, h[some[many]]), len(self.keys) - 1)
+        out[some] = np.where(self.keys[found] == h[some], found, -1)
         return out
 
     def score(self, h: np.ndarray) -> np.ndarray:
@@ -164,19 +175,89 @@ def merge_long(p: Pieces, sums: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.array([*(start[i] for i in range(n) if alive[i]), cuts[-1]])
 
 
-def viterbi(p: Pieces, sums: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """cuts as in merges. The best segmentations, grouped by their number of pieces, and so in matrices again."""
+class Pairs:
+    """Which pieces can stand side by side, as far as asked: two tables of slots, bounded; a pair whose slots are taken pushes
+    out the later one and is found again when it is asked for."""
+
+    SLOTS = 21
+
+    def __init__(self):
+        self.tables = np.zeros((2, 1 << self.SLOTS), np.uint64)
+
+    def _slots(self, keys: np.ndarray):
+        return (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64), ((keys >> np.uint64(8)) & np.uint64((1 << self.SLOTS) - 1)).astype(np.int64)
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """1 or 0, and -1 for pairs not asked for yet. A key's last bit makes room for the answer."""
+        out, one = np.full(len(keys), -1, np.int8), np.uint64(1)
+        rest = slice(None)
+        for table, slot in zip(self.tables, self._slots(keys), strict=True):
+            held = table[slot[rest]]
+            hit = (held | one) == (keys[rest] | one)
+            out[rest] = np.where(hit, (held & one).astype(np.int8), -1)
+            rest = np.flatnonzero(out < 0)
+        return out
+
+    def add(self, keys: np.ndarray, can: np.ndarray) -> None:
+        value = (keys & ~np.uint64(1)) | can.astype(np.uint64)
+        first, second = self._slots(keys)
+        free = self.tables[0][first] == 0
+        self.tables[0][first[free]] = value[free]
+        late = self.tables[0][first] != value
+        self.tables[1][second[late]] = value[late]
+
+
+def side_by_side(p: Pieces, sums: np.ndarray, cuts: np.ndarray, row: np.ndarray, left: np.ndarray, mid: np.ndarray, end: int) -> np.ndarray:
+    """Whether the piece from place mid to place end of each row can follow that from left to mid; without one (mid 0), whether it
+    is its own merged form."""
+    a, b, c = cuts[row, left], cuts[row, mid], cuts[row, end]
+    h = span_hashes(sums, b, c)
+    key = mix(np.where(mid > 0, span_hashes(sums, a, b), np.uint64(0)) * np.uint64(0xD6E8FEB86659FD93) + h)
+    can = p.pairs.known(key)
+    new = np.flatnonzero(can < 0)
+    if len(new):
+        names, one = np.unique(key[new], return_index=True)
+        one = new[one]
+        found = np.zeros(len(one), bool)
+        size = end - left[one]
+        for n in np.unique(size).tolist():
+            of = np.flatnonzero(size == n)
+            inner = cuts[row[one[of]][:, None], left[one[of]][:, None] + np.arange(n + 1)]
+            for r, ends in merges(p, sums, inner):
+                first = mid[one[of[r]]] == 0
+                if ends.shape[1] == 2:
+                    found[of[r]] = first
+                elif ends.shape[1] == 3:
+                    found[of[r]] = ~first & (ends[:, 1] == b[one[of[r]]])
+        p.pairs.add(names, found)
+        can[new] = found[np.searchsorted(names, key[new])]
+    return can > 0
+
+
+def viterbi(p: Pieces, sums: np.ndarray, cuts: np.ndarray, scores: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """cuts as in merges. The best segmentations (of the greatest sum of scores, or else of pieces that can stand side by
+    side), grouped by their number of pieces, and so in matrices again."""
     n, m = cuts.shape
     best, back = np.full((n, m), _NONE), np.zeros((n, m), np.int64)
     best[:, 0] = 0.0
     for end in range(1, m):
         low = max(0, end - p.longest)
-        spans = span_hashes(sums, cuts[:, low:end].ravel(), np.repeat(cuts[:, end], end - low))
-        score = p.score(spans).reshape(n, end - low)
-        score[:, -1] = np.where(score[:, -1] > _NONE, score[:, -1], p.penalty)
-        total = best[:, low:end] + score
+        at = p.find(span_hashes(sums, cuts[:, low:end].ravel(), np.repeat(cuts[:, end], end - low)))
+        if scores:
+            score = np.where(at >= 0, p.scores[at], _NONE).reshape(n, end - low)
+            score[:, -1] = np.where(score[:, -1] > _NONE, score[:, -1], p.penalty)
+            total = best[:, low:end] + score
+        else:
+            there = (at >= 0).reshape(n, end - low)
+            there[:, -1] = True  # any character alone
+            row, k = np.nonzero(there)
+            can = side_by_side(p, sums, cuts, row, back[row, k + low], k + low, end)
+            total = np.full((n, end - low), _NONE)
+            total[row[can], k[can]] = 0.0
         k = total.argmax(1)
         best[:, end], back[:, end] = total[np.arange(n), k], k + low
+    if not np.isfinite(best[:, -1]).all():
+        raise ValueError("a unit has no segmentation")
     used = np.zeros((n, m), bool)
     at, rows = np.full(n, m - 1), np.arange(n)
     while len(rows):
@@ -205,8 +286,8 @@ def units(data: np.ndarray, at: np.ndarray):
     return data, at, start, end, np.searchsorted(at, start, "right") - 1
 
 
-def segment(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, search: bool) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all the units one after the other, and how many each has. search: viterbi instead of merges."""
+def segment(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all the units one after the other, and how many each has."""
     sums = prefix_sums(data)
     h = span_hashes(sums, start, end)
     _, sample, code = np.unique(h, return_index=True, return_inverse=True)
@@ -221,12 +302,10 @@ def segment(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, sea
         for k in range(0, len(rows), max(1, (1 << 19) // (n + 1))):
             part = rows[k : k + max(1, (1 << 19) // (n + 1))]
             cuts = edges[low[part][:, None] + np.arange(n + 1)]
-            if search:
-                done = viterbi(p, sums, cuts)
-            elif n > LONG:
+            if n > LONG and not p.unigram:
                 done = [(np.array([i]), merge_long(p, sums, c)[None]) for i, c in enumerate(cuts)]
             else:
-                done = merges(p, sums, cuts)
+                done = viterbi(p, sums, cuts, p.unigram)
             found += [(part[r], c) for r, c in done]
     # spans of all distinct units in order of the units
     sizes = np.zeros(len(s), np.int64)
@@ -252,12 +331,12 @@ def segment(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, sea
     return ids[pick], count
 
 
-def encode(p: Pieces, data: np.ndarray, at: np.ndarray, search: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode(p: Pieces, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids of all texts one after the other, and n + 1 offsets."""
     spelled, _, start, end, owner = units(data, at)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    ids, count = segment(p, spelled, start, end, p.unigram if search is None else search)
+    ids, count = segment(p, spelled, start, end)
     return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, count, len(at) - 1).astype(np.int64))])
 
 
@@ -274,8 +353,8 @@ def decode(p: Pieces, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def encoded(docs: DataFrame, path: str, *carry: str) -> DataFrame:
-    """carry, n_tokens, token_ids, exact (the ids decode to the text's bytes) and viterbi_tokens (pieces in the segmentation
-    of the greatest sum of scores) for every row of docs."""
+    """carry, n_tokens, token_ids and exact (the ids decode to the text's bytes) for every row of docs."""
+    carried = Carried(docs, carry, ["n_tokens", "token_ids", "exact"])
 
     def run(batches):
         p = pieces(path)
@@ -290,30 +369,29 @@ def encoded(docs: DataFrame, path: str, *carry: str) -> DataFrame:
                 for k in np.flatnonzero(exact):
                     exact[k] = (back[back_at[k] : back_at[k + 1]] == data[at[k] : at[k + 1]]).all()
             tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.record_batch({**{c: batch.column(c) for c in carry}, "n_tokens": np.diff(ends), "token_ids": tokens, "exact": exact, "viterbi_tokens": np.diff(ends if p.unigram else encode(p, data, at, True)[1])})
+            yield pa.record_batch({**carried.of(batch), "n_tokens": np.diff(ends), "token_ids": tokens, "exact": exact})
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "n_tokens long, token_ids array<int>, exact boolean, viterbi_tokens long"])
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    schema = ", ".join([*carried.schema, "n_tokens long, token_ids array<int>, exact boolean"])
+    return docs.select(*carried.columns, text_or_empty().alias("text")).mapInArrow(run, schema).select(*carried.back, "n_tokens", "token_ids", "exact")
 
 
 def decoded(rows: DataFrame, path: str, *carry: str) -> DataFrame:
     """carry and text for every row of rows (token_ids)."""
+    carried = Carried(rows, carry, ["text"])
 
     def run(batches):
         p = pieces(path)
         for batch in batches:
             column = batch.column("token_ids")
-            ids, ends = np.array(column.flatten(), np.int64), np.concatenate([[0], np.cumsum(np.nan_to_num(np.array(column.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64))])
+            ids, ends = np.array(column.flatten(), np.int64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
             data, at = decode(p, ids, ends)
             raw = data.tobytes()
-            yield pa.record_batch({**{c: batch.column(c) for c in carry}, "text": pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())})
+            yield pa.record_batch({**carried.of(batch), "text": pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())})
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "text string"])
-    return rows.select(*dict.fromkeys([*carry, "token_ids"])).mapInArrow(run, schema)
+    ids = F.coalesce(F.col("token_ids").cast("array<int>"), F.array().cast("array<int>")).alias("token_ids")
+    return rows.select(*carried.columns, ids).mapInArrow(run, ", ".join([*carried.schema, "text string"])).select(*carried.back, "text")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encoded(docs, model_path(), "doc_id")
