@@ -2,19 +2,21 @@
 
 The content of a text is normalised as the tokenizer itself does first (runs of ASCII white space to one blank, none at
 the ends) and digested. The cache is a table (version, digest, n_tokens), version a digest of the tokenizer file. Digests are
-joined to the cache; of the misses, one text for each digest is encoded, and the new counts are appended to the cache.
+made distinct first, with map-side aggregation, so that copies of a text don't travel with it, and joined to the cache; the
+misses are encoded, one text for each digest, and the new counts are appended to the cache.
 
 The encoder counts with the library itself. As the tokenizer drops white space and no piece of it reaches across, a text's
 count is the sum over its blank-separated words, and counts of words are kept in a bounded table in each worker.
 
 Edge cases: null counts as empty (0 tokens); null or repeated doc_id are rows like any other; an empty table gives an
-empty result and leaves the cache as it is; further columns are ignored.
+empty result and leaves the cache as it is; a carried column named n_bytes or n_tokens gives way to the output.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACE, shared_dir, stored, table, text_or_empty
+from .common import SPACE, Carried, removed, shared_dir, stored, table, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
 OVER = 2048
@@ -75,15 +77,12 @@ def encoder(path: str):
 def count_tokens(docs: DataFrame, path: str, cache_dir: str, *carry: str) -> DataFrame:
     """carry, n_bytes, n_tokens for every row of docs; new counts are appended to the table at cache_dir."""
     spark, version = docs.sparkSession, version_of(path)
+    carried = Carried(docs, carry, ["n_bytes", "n_tokens"])
     content = F.trim(F.regexp_replace(text_or_empty(), f"[{SPACE}]+", " "))
-    digested = docs.select(*carry, F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), content.alias("content")).withColumn("digest", F.sha2("content", 256))
-    try:
-        cached = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("version") == version)
-        cached.take(1)
-    except Exception as e:  # noqa: BLE001  a cache that nobody has written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        cached = spark.createDataFrame([], CACHE)
+    digested = docs.select(*carried.columns, F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), content.alias("content")).withColumn("digest", F.sha2("content", 256))
+
+    def cached() -> DataFrame:
+        return spark.read.schema(CACHE).parquet(cache_dir).where(F.col("version") == version)
 
     def encode(batches):
         counts = encoder(path)
@@ -91,18 +90,23 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *carry: str) -> Dat
             found = counts(batch.column("content").to_pylist())
             yield pa.record_batch({"version": pa.array([version] * len(found)), "digest": batch.column("digest"), "n_tokens": pa.array(found, pa.int64())})
 
-    misses = digested.select("digest", "content").join(cached.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    misses.select("digest", "content").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_dir)
-    counted = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    misses = digested.select("digest", "content").dropDuplicates(["digest"])
+    try:
+        cached().take(1)
+        misses = misses.join(cached().select("digest").distinct(), "digest", "left_anti")
+    except Exception as e:  # noqa: BLE001  a cache that nobody has written yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_dir)
+    counted = cached().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # a table of its own, so that both sides of the join are plain shuffles, of which Spark can split a hot digest
     counted = stored(counted, "token-counts")
-    return digested.drop("content").join(counted, "digest").select(*carry, "n_bytes", "n_tokens")
+    return digested.drop("content").join(counted, "digest").select(*carried.back, "n_bytes", "n_tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call starts a cache of its own, so that a run never profits from an earlier one."""
-    import uuid
-
+    """Each call has a cache of its own, so that a run never profits from an earlier one; `count_tokens` keeps the one it is given."""
     cache = f"{shared_dir(spark)}/tastevin/token-cache-{uuid.uuid4().hex}"
     counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), cache, "doc_id")
+    removed(cache, spark=spark)
     return counted.withColumn("over_limit", F.col("n_tokens") > OVER)
