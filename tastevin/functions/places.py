@@ -17,15 +17,33 @@ def country_token(column: Column) -> Column:
     return F.trim(F.regexp_replace(fold(column), "[^\\p{L}\\p{N}]+", " "))
 
 
+def token_py(name: str) -> str:
+    """`country_token` on the driver."""
+    return " ".join("".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFC", fold_py(name))).split())
+
+
+def _names(spark: SparkSession) -> dict[str, str]:
+    locale = spark._jvm.java.util.Locale
+    return {code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()} | rules.COUNTRY_DISPLAY
+
+
+def country_codes(spark: SparkSession) -> dict[str, str]:
+    """Code of every folded name and alias."""
+    return {token_py(name): code for code, name in sorted(_names(spark).items())} | {token_py(a): code for a, code in rules.COUNTRY_ALIASES.items()}
+
+
 def dim_country(spark: SparkSession) -> DataFrame:
     """token, code, name: ISO codes and English names from the platform's locale data, with the engine's own names and aliases.
 
     A few hundred rows whatever the data, so it may be broadcast."""
-    locale = spark._jvm.java.util.Locale
-    names = {code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()} | rules.COUNTRY_DISPLAY
-    strip = lambda name: " ".join("".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFC", fold_py(name))).split())
-    tokens = {strip(name): code for code, name in sorted(names.items())} | {strip(a): code for a, code in rules.COUNTRY_ALIASES.items()}
-    return spark.createDataFrame([(t, c, fold_py(names[c]) and names[c]) for t, c in sorted(tokens.items())], "token string, code string, name string")
+    names = _names(spark)
+    return spark.createDataFrame([(t, c, names[c]) for t, c in sorted(country_codes(spark).items())], "token string, code string, name string")
+
+
+def china_part(*hints: Column) -> Column:
+    """Which of the countries that share a region a city, address or region means."""
+    hint = country_token(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in hints), F.lit("")))
+    return F.when(hint.contains("hong kong"), "HK").when(hint.contains("macau") | hint.contains("macao"), "MO").when(hint.rlike("|".join(rules.TAIWAN_HINTS)), "TW").otherwise("CN")
 
 
 def with_country(df: DataFrame, column: str, city: str | None = None, address: str | None = None, region: str | None = None, prefix: str = "country") -> DataFrame:
@@ -34,8 +52,7 @@ def with_country(df: DataFrame, column: str, city: str | None = None, address: s
     dim = dim_country(spark)
     upper = F.upper(F.trim(F.coalesce(F.col(column), F.lit(""))))
     codes = dim.select("code").distinct().withColumnRenamed("code", "_iso")
-    hints = country_token(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in (city, address, region) if c), F.lit("")))
-    hinted = F.when(hints.contains("hong kong"), "HK").when(hints.contains("macau") | hints.contains("macao"), "MO").when(hints.rlike("|".join(rules.TAIWAN_HINTS)), "TW").otherwise("CN")
+    hinted = china_part(*(F.col(c) for c in (city, address, region) if c))
     named = df.withColumn("_token", country_token(F.col(column))).join(F.broadcast(dim.select(F.col("token").alias("_token"), F.col("code").alias("_code"))), "_token", "left")
     coded = named.join(F.broadcast(codes), upper == F.col("_iso"), "left")
     code = F.coalesce(F.col("_iso"), F.when(F.col("_token") == rules.GREATER_CHINA, hinted), F.col("_code"), F.lit(""))
@@ -47,7 +64,8 @@ def with_country(df: DataFrame, column: str, city: str | None = None, address: s
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), F.lit(2)) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lng2) - F.radians(lng1)) / 2), F.lit(2))
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least leaves out nulls, so a place without coordinates needs its own test
+    return F.when(h.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def located(lat: Column, lng: Column) -> Column:

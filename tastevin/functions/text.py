@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import cache
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,6 +101,15 @@ def matches_all(tokens: list[str], folded: Column) -> Column:
     return out
 
 
+def matches_stripped(tokens: list[str], folded: Column) -> Column:
+    """Every token is a substring of the text without separators: the plain way where there is no index."""
+    bare = F.regexp_replace(folded, "[^\\p{L}\\p{N}]+", "")
+    out = F.lit(True)
+    for token in tokens:
+        out = out & F.concat_ws(" ", bare, folded).contains(token)
+    return out
+
+
 def word_pattern(words: list[str], loose_hyphens: bool = True) -> str:
     """Pattern of any of the words (whole ones), longest first. A blank is any white space; a hyphen may be a blank or nothing."""
     written = (re.escape(w).replace("\\ ", "\\s+") for w in sorted(set(words), key=lambda w: (-len(w), w)))
@@ -125,14 +135,29 @@ def slugify(column: Column | str) -> Column:
     return F.coalesce(F.nullif(out, F.lit("")), F.lit("unknown"))
 
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&euro;": "€", "&pound;": "£", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Character of every named entity of HTML 4, as the standard library has them.
+_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
+def unescaped(column: Column) -> Column:
+    """Entities resolved, named and numeric ones, each once; what is none stays."""
+    named = F.create_map(*(F.lit(x) for pair in sorted(_ENTITIES.items()) for x in pair))
+
+    def one(part: Column) -> Column:
+        name, rest = F.regexp_extract(part, "^(#?\\w{1,8});", 1), F.regexp_extract(part, "(?s)^#?\\w{1,8};(.*)$", 1)
+        code = F.when(name.rlike("^#\\d{1,7}$"), F.substring(name, 2, 8).try_cast("int")).when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 8), 16, 10).try_cast("int"))
+        fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.coalesce(F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")), F.try_element_at(named, name))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+
+    parts = F.split(column, "&", -1)
+    found = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return F.when(column.contains("&"), found).otherwise(column)
 
 
 def clean_text(column: Column | str) -> Column:
-    """Common entities resolved (the ampersand last), white space collapsed."""
-    out = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-    for entity, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    """Entities resolved, white space (no-break blanks too) collapsed."""
+    out = unescaped(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")))
     return F.trim(F.regexp_replace(out, "(?U)\\s+", " "))
 
 

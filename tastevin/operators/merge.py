@@ -114,6 +114,81 @@ def inventory_replace(products: DataFrame, incoming: DataFrame, outcome: DataFra
     return kept.drop("result").unionByName(seen.withColumn("active", F.lit(True)).select(*products.columns))
 
 
+def staged_publish(live: dict[str, DataFrame], staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The live tables after a staged run is taken over: targets that live lacks are added and all others get the staged values
+    of the columns that staged has; sources and entries are replaced whole; runs are replaced by id. `publish` writes the
+    result as one version."""
+    targets = upsert(insert_or_ignore(live["targets"], _widened(staged["targets"], live["targets"]), ["id"]), staged["targets"], ["id"], {c: keep_old for c in live["targets"].columns if c not in staged["targets"].columns})
+    return {
+        "targets": targets,
+        "sources": _widened(staged["sources"], live["sources"]).select(*live["sources"].columns),
+        "entries": _widened(staged["entries"], live["entries"]).select(*live["entries"].columns),
+        "runs": replace_by_key(live["runs"], _widened(staged["runs"], live["runs"]), ["id"]),
+    }
+
+
+def _widened(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with null for what it lacks of another's columns."""
+    return df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema if f.name not in df.columns))
+
+
+def with_parent(children: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
+    """Children whose parent exists, in the same database or another: a semi join either way."""
+    return children.join(parents.select(F.col(parent_key).alias(key)), key, "left_semi")
+
+
+def countries_migrated(rows: DataFrame, city: str | None = None) -> DataFrame:
+    """country as its display name, and what was written kept in country_raw (which a second run doesn't touch)."""
+    from ..functions import places
+
+    raw = F.coalesce("country_raw", "country") if "country_raw" in rows.columns else F.col("country")
+    named = places.with_country(rows.withColumn("country_raw", raw), "country_raw", city=city, prefix="_new")
+    return named.withColumn("country", F.coalesce(F.nullif("_new_name", F.lit("")), "country")).drop("_new_code", "_new_name")
+
+
+def reset(rows: DataFrame, values: dict[str, Column], ids: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """rows with columns set back to the values; only those of the ids where given."""
+    if ids is None:
+        return rows.withColumns(values)
+    marked = rows.join(ids.select(key, F.lit(True).alias("_hit")).distinct(), key, "left")
+    return marked.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}).select(*rows.columns)
+
+
+def restored(rows: DataFrame, backup: DataFrame, key: list[str]) -> DataFrame:
+    """rows and those of the backup that they lack."""
+    return insert_or_ignore(rows, backup.select(*rows.columns), key)
+
+
+def pruned(cache: DataFrame, sources: DataFrame, key: str = "url") -> DataFrame:
+    """Cached files that some source still refers to."""
+    return cache.join(sources.select(key).distinct(), key, "left_semi")
+
+
+def location_audit(targets: DataFrame, resolved: DataFrame, most_km: float = 10.0) -> DataFrame:
+    """targets (id, website, address, lat, lng, status, checked_at, last_error) after a look-up of their places (the same names;
+    error): new values where they aren't blank; changed says that the site's host or the place (by more than most_km) is
+    another, which sets the row back and makes its children void (`orphaned_by`)."""
+    from ..functions import places, text, web
+
+    r = resolved.select("id", *(F.col(c).alias(f"_{c}") for c in ("website", "address", "lat", "lng", "error")), F.lit(True).alias("_looked"))
+    j = targets.join(r, "id", "left")
+    old, new = web.domain(F.col("website")), web.domain(F.col("_website"))
+    moved = places.haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
+    changed = F.coalesce((old != "") & (new != "") & (old != new), F.lit(False)) | F.coalesce(moved > most_km, F.lit(False))
+    site = text.non_empty(F.col("_website"), F.col("website"))
+    looked = F.coalesce("_looked", F.lit(False))
+    out = j.withColumn("changed", changed).select(
+        "id", F.when(looked, site).otherwise(F.col("website")).alias("website"), text.non_empty(F.col("_address"), F.col("address")).alias("address"), F.coalesce("_lat", "lat").alias("lat"), F.coalesce("_lng", "lng").alias("lng"),
+        F.when(F.col("changed"), "not_checked").when(looked & site.isNull(), "missing_website").otherwise(F.col("status")).alias("status"),
+        F.when(~F.col("changed"), F.col("checked_at")).alias("checked_at"), F.when(F.col("changed"), F.lit(None)).when(looked, F.nullif("_error", F.lit(""))).otherwise(F.col("last_error")).alias("last_error"), "changed")
+    return out
+
+
+def orphaned_by(children: DataFrame, audited: DataFrame, key: str) -> DataFrame:
+    """Children that stay after an audit."""
+    return children.join(audited.where("changed").select(F.col("id").alias(key)), key, "left_anti")
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> str:
     """All tables written under a new version, then the pointer file is replaced in one rename: readers see all or none."""
     for name, df in tables.items():

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from .selection import in_country
 
 MOST = 5000
 
@@ -48,7 +49,7 @@ def filtered(df: DataFrame, p: SearchParams, hay: Column, raw: str = "name") ->
     """Rows of the query's tokens, country, city and vintage. A vintage may stand in its column or in the text."""
     out = df.where(text.matches_all(p.tokens, text.fold(hay)))
     if p.country:
-        out = out.where(F.col("country") == p.country)
+        out = in_country(out, p.country, city="city" if "city" in out.columns else None)
     if p.city:
         out = out.where(text.fold("city").contains(text.fold_py(p.city)))
     if p.vintage:

@@ -35,7 +35,7 @@ def query(views: list[str], sql: str | None = None):
 
 
 def _load() -> None:
-    from . import aggregates, extraction, joins, merges, scalars, searches  # noqa: F401
+    from . import aggregates, extraction, joins, merges, scalars, searches, upkeep  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

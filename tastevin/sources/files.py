@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,14 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import web
+from ..functions import money, rules, text, web
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos-free lines: the cells of every row joined by blanks, byte order mark dropped."""
-    raw = spark.read.text(path).withColumn("path", F.input_file_name())
-    cells = F.from_csv(F.regexp_replace("value", "^﻿", ""), F.lit(", ".join(f"c{k} string" for k in range(64))))
-    return raw.select("path", F.trim(F.concat_ws(" ", F.array(*(cells[f"c{k}"] for k in range(64))))).alias("line")).where("line <> ''")
+    """path, row, line: the cells of every row joined by blanks, however many there are and whatever they hold (line breaks in
+    quotes too); the byte order mark is dropped. A file is read as a stream where it lies."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 30)
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                out = []
+                for k, cells in enumerate(csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", "replace", newline=""))):
+                    line = " ".join(" ".join(cells).split())
+                    if line:
+                        out.append((name, k, line))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=["path", "row", "line"])
+                        out = []
+                yield pd.DataFrame(out, columns=["path", "row", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, row int, line string")
 
 
 def xlsx_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +132,104 @@ def catalogue_variants(payloads: DataFrame, column: str = "value") -> DataFrame:
     return product.select(F.col("p.title").alias("title"), F.explode("p.variants").alias("v")).select("title", F.col("v.title").alias("variant"), F.col("v.price").try_cast("double").alias("price"))
 
 
-def place_scan(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame:
-    """A directory's Parquet files as the wanted columns (name: type); what a release lacks is null."""
+def woo_products(payloads: DataFrame, column: str = "value") -> DataFrame:
+    """name, price, currency, url of recorded pages of a shop's store API; prices are whole numbers of minor units."""
+    kind = "array<struct<name:string,permalink:string,prices:struct<price:string,currency_code:string,currency_minor_unit:int>>>"
+    p = payloads.select(F.explode(F.from_json(column, kind)).alias("p")).select("p.*")
+    price = F.col("prices.price").try_cast("double") / F.pow(F.lit(10.0), F.coalesce(F.col("prices.currency_minor_unit"), F.lit(2)))
+    return p.select(text.clean_text("name").alias("name"), price.alias("price"), F.coalesce("prices.currency_code", F.lit("")).alias("currency"), F.col("permalink").alias("url"))
+
+
+def graph_products(payloads: DataFrame, column: str = "value") -> DataFrame:
+    """name, variant, price, available, url of recorded pages of a storefront's graph API: nodes with nested variants; a
+    discount price goes before the price."""
+    variant = "struct<id:string,name:string,price:double,discountPrice:double,pageItemUrl:string,available:boolean>"
+    kind = f"struct<data:struct<searchVariantsV2:struct<nodes:array<struct<productId:string,productName:string,pageItemUrl:string,product:struct<nodes:array<struct<variants:struct<nodes:array<{variant}>>>>>>>>>>"
+    node = payloads.select(F.explode(F.from_json(column, kind)["data"]["searchVariantsV2"]["nodes"]).alias("n"))
+    variants = F.flatten(F.transform(F.col("n.product.nodes"), lambda x: F.coalesce(x["variants"]["nodes"], F.array().cast(f"array<{variant}>"))))
+    v = node.select(F.col("n.productName").alias("name"), F.col("n.pageItemUrl").alias("page"), F.explode(variants).alias("v"))
+    return v.select("name", F.coalesce("v.name", F.lit("")).alias("variant"), F.coalesce("v.discountPrice", "v.price").alias("price"), F.coalesce("v.available", F.lit(False)).alias("available"), F.coalesce("v.pageItemUrl", "page").alias("url")).distinct()
+
+
+def cards(pages: DataFrame, key: str, block: str, fields: dict[str, str], html: str = "html") -> DataFrame:
+    """Cards of guide pages: a row for each part of the page that begins with block, with the first group of every field's
+    pattern (tags dropped, '' where there is none) and its rank on the page."""
+    parts = F.split(F.coalesce(F.col(html), F.lit("")), f"(?i)(?={block})")
+    found = pages.select(key, F.posexplode(F.filter(parts, lambda p: p.rlike(f"(?is)^{block}"))).alias("pos", "card"))
+    value = lambda pattern: text.clean_text(F.regexp_replace(F.regexp_extract("card", f"(?is){pattern}", 1), "<[^>]+>", " "))
+    return found.select(key, (F.col("pos") + 1).alias("rank"), *(value(p).alias(name) for name, p in fields.items()))
+
+
+NODE = "type string, name string, description string, url string, sku string, price string, currency string, availability string, city string, country string, street string, lat double, lng double, position int"
+
+
+def json_ld_nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """Every object of the pages' JSON-LD scripts, however deep, with the fields that places and products have. Scripts that
+    aren't JSON give none. Nesting has no bound, so objects are walked in Python, in batches."""
+
+    def text_of(value) -> str:
+        return "" if value is None or isinstance(value, (dict, list)) else str(value)
+
+    def first(value):
+        return (value[0] if value else None) if isinstance(value, list) else value
+
+    def number(value):
+        try:
+            return float(value)
+        except (TypeError, ValueError):
+            return None
+
+    def row(obj: dict) -> tuple:
+        kind = obj.get("@type") or obj.get("type") or ""
+        offer, address, geo = (x if isinstance(x, dict) else {} for x in (first(obj.get("offers")), obj.get("address"), obj.get("geo")))
+        where = first(obj.get("url") or obj.get("sameAs") or obj.get("website"))
+        rank = number(obj.get("position") or obj.get("rank"))
+        return (
+            " ".join(map(str, kind)) if isinstance(kind, list) else str(kind), text_of(obj.get("name") or obj.get("title")), text_of(obj.get("description")), text_of(offer.get("url")) or text_of(where), text_of(obj.get("sku") or obj.get("productID")),
+            text_of(offer.get("price") or offer.get("lowPrice")), text_of(offer.get("priceCurrency")), text_of(offer.get("availability")).rsplit("/", 1)[-1],
+            text_of(address.get("addressLocality") or address.get("city") or obj.get("city")), text_of(first(address.get("addressCountry")) or address.get("country") or obj.get("country")),
+            text_of(address.get("streetAddress")) or text_of(obj.get("address")), number(geo.get("latitude")), number(geo.get("longitude")), None if rank is None else int(rank))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, body in zip(pdf[key], pdf["body"], strict=True):
+                try:
+                    open_ = [json.loads(body)]
+                except ValueError:
+                    continue
+                while open_:
+                    value = open_.pop()
+                    if isinstance(value, dict):
+                        out.append((k, *row(value)))
+                        open_ += value.values()
+                    elif isinstance(value, list):
+                        open_ += value
+            yield pd.DataFrame(out, columns=[key, *(c.split()[0] for c in NODE.split(", "))])
+
+    bodies = pages.select(key, F.explode(web.json_ld(F.col(html))).alias("body"))
+    return bodies.mapInPandas(walk, f"`{key}` {dict(pages.dtypes)[key]}, {NODE}")
+
+
+def json_ld_places(nodes: DataFrame) -> DataFrame:
+    """Nodes that are places: named, and of a type that says so."""
+    return nodes.where((F.col("name") != "") & F.col("type").rlike("(?i)restaurant|food|venue|place|card|item"))
+
+
+def json_ld_products(nodes: DataFrame) -> DataFrame:
+    """Nodes that are products with a term of evidence, their price as a number."""
+    evidence = text.fold(F.concat_ws(" ", "name", "description")).rlike(text.part_pattern(rules.EVIDENCE))
+    typed = F.array_contains(F.split(F.lower("type"), " "), "product")
+    return nodes.where(typed & evidence).withColumn("price_value", money.shop_number(F.regexp_replace("price", "[^0-9.,]", "")))
+
+
+def place_scan(spark: SparkSession, path: str, wanted: dict[str, str], country: str | None = None, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A directory's Parquet files (a path or glob) as the wanted columns (name: type); what a release lacks is null. Country
+    code and box (west, south, east, north) are tested on the file's own columns, so that they reach its scan."""
     df = spark.read.parquet(path)
+    if country and "country_code" in df.columns:
+        df = df.where(F.col("country_code") == country.upper())
+    if bbox and {"latitude", "longitude"} <= set(df.columns):
+        west, south, east, north = bbox
+        df = df.where(F.col("longitude").between(west, east) & F.col("latitude").between(south, north))
     return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()))

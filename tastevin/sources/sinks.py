@@ -36,9 +36,24 @@ def compact_json(columns: list[Column]) -> Column:
     return F.to_json(F.struct(*kept))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """All fields quoted, quotes doubled, CRLF: what spreadsheets read."""
-    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n", emptyValue="")
+def write_csv(rows: DataFrame, path: str, mark: bool = False) -> None:
+    """All fields quoted, quotes doubled, CRLF: what spreadsheets read; with a byte order mark before the header where wanted."""
+    names = [f"\ufeff{c}" if mark and k == 0 else c for k, c in enumerate(rows.columns)]
+    rows.toDF(*names).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n", emptyValue="")
+
+
+#: Columns of the export of search results: heading and the column it shows.
+EXPORT = {
+    "Place": "place", "Type": "type", "City": "city", "Country": "country", "Updated": "updated", "Matched line": "line", "Vintage": "vintage", "Original price": "price", "KRW": "krw", "Source": "source", "Source URL": "source_url", "PDF URLs": "pdf_urls", "List index URL": "index_url", "Official website URL": "website_url",
+    "Map URL": "map_url",
+}
+
+
+def export_rows(groups: DataFrame, lines: DataFrame, key: str = "group_id") -> DataFrame:
+    """A row of text for each line of each group, in the order of EXPORT; a group without lines has one row without a line."""
+    both = groups.join(lines, key, "left")
+    there = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in both.columns else F.lit("") for c in EXPORT.values()}
+    return both.select(*(there[c].alias(title) for title, c in EXPORT.items()))
 
 
 def pdf_path(country: Column, city: Column, name: Column, key: Column) -> Column:
