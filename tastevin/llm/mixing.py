@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, Carried, Scratch, stored, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,21 +30,29 @@ SEED = "pareto-1"
 _KEY = ["source_null", "source_key"]
 
 
+def _measures() -> dict[str, Column]:
+    """From doc_id, source and text: size in words, source key, random number."""
+    return {
+        "size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"),
+        "source_null": F.col("source").isNull(),
+        "source_key": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "u": _uniform(),
+    }
+
+
+def _class() -> Column:
+    return F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0).cast("int").alias("cls")
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, size class, random odds; one narrow row for each document."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size")).select(
-        "*",
-        F.col("source").isNull().alias("source_null"),
-        F.coalesce("source", F.lit("")).alias("source_key"),
-        F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0).cast("int").alias("cls"),
-        _uniform().alias("u"),
-    )
+    """doc_id, source, size in words, size class, random number; one narrow row for each document."""
+    return docs.select("doc_id", "source", *(c.alias(n) for n, c in _measures().items())).select("*", _class())
 
 
 def _uniform() -> Column:
     """In (0, 1), from 52 bits of a digest of doc_id: the same in every run and on every engine."""
-    digest = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text_or_empty().cast("binary"))))
+    digest = F.md5(F.concat_ws(":", F.lit(SEED), name))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -91,45 +99,71 @@ def copies(classes: DataFrame, goal: DataFrame, most: int = MOST_COPIES) -> Data
     return c.withColumn("budget", F.first("target").over(whole) - F.sum(F.col("words") * F.col("copies")).over(whole)).select(*_KEY, "cls", "copies", "p", "budget")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, bins: int = BINS) -> DataFrame:
-    """One row for each document: size, source_size, target, copies certain and sampled, words taken."""
-    rows = stored(measured(docs), "mix-sizes")
-    classes = rows.groupBy(*_KEY, "cls").agg(F.sum("size").alias("words"))
-    goal = targets(classes.groupBy(*_KEY).agg(F.sum("words").alias("words")), weights, share)
-    rule = copies(classes, goal)
-    ranked = (
-        rows.join(rule, [*_KEY, "cls"], "left")
-        .withColumn("q", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-        .withColumn("v", F.col("q") / (1 + F.col("q")))
-        .withColumn("bin", F.floor(F.col("v") * bins).cast("int"))
-    )
+def _ranked(rows: DataFrame, rule: DataFrame) -> DataFrame:
+    """Rows with their rule; v orders them within their source as the odds do, and is null for what can't be sampled."""
+    q = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    return rows.join(rule, [*_KEY, "cls"], "left").withColumn("q", q).withColumn("v", F.col("q") / (1 + F.col("q")))
+
+
+def _planned(docs: DataFrame, weights, share: float, bins: int, scratch: Scratch):
+    """The measured rows with rank and decision, the rule for each source and class, and each source's target."""
+    rows = scratch.stored(measured(docs), "mix-sizes")
+    classes = scratch.stored(rows.groupBy(*_KEY, "cls").agg(F.sum("size").alias("words")), "mix-classes")
+    goal = scratch.stored(targets(classes.groupBy(*_KEY).agg(F.sum("words").alias("words")), weights, share), "mix-targets")
+    rule = scratch.stored(copies(classes, goal), "mix-rule")
+    ranked = _ranked(rows, rule).withColumn("bin", F.floor(F.col("v") * bins).cast("int"))
     sums = ranked.where("bin is not null").groupBy(*_KEY, "bin").agg(F.sum("size").alias("inside"))
     before = F.coalesce(F.sum("inside").over(W.partitionBy(*_KEY).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edges = sums.withColumn("before", before)
+    edges = scratch.stored(sums.withColumn("before", before), "mix-edges")
     placed = ranked.join(edges, [*_KEY, "bin"], "left")
     split = F.coalesce((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("inside") > F.col("budget")), F.lit(False))
     inside = placed.where(split).withColumn(
         "within", F.coalesce(F.sum("size").over(W.partitionBy(*_KEY, "bin").orderBy("v", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("sampled", (F.col("before") + F.col("within") + F.col("size") / 2 <= F.col("budget")).cast("long"))
-    outside = placed.where(~split).withColumn("within", F.lit(0).cast("long")).withColumn("sampled", F.coalesce((F.col("before") + F.col("inside") <= F.col("budget")).cast("long"), F.lit(0)))
-    out = inside.unionByName(outside).join(goal, _KEY)
-    certain = F.coalesce("copies", F.lit(0))
-    return out.select(
-        "doc_id", "source", "size", F.col("words").alias("source_size"), "target", certain.cast("long").alias("certain"), F.coalesce("p", F.lit(0.0)).alias("inclusion"), "sampled",
-        (F.col("size") * (certain + F.col("sampled"))).alias("taken"),
-    )
+    outside = placed.where(~split).withColumn("sampled", F.coalesce((F.col("before") + F.col("inside") <= F.col("budget")).cast("long"), F.lit(0)))
+    return inside.drop("within").unionByName(outside), rule, goal
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, bins: int = BINS) -> DataFrame:
+    """One row for each document: size, source_size, target, copies certain and sampled, words taken."""
+    with Scratch() as scratch:
+        rows, _, goal = _planned(docs, weights, share, bins, scratch)
+        certain = F.coalesce("copies", F.lit(0))
+        out = rows.join(goal, _KEY).select(
+            "doc_id", "source", "size", F.col("words").alias("source_size"), "target", certain.cast("long").alias("certain"), F.coalesce("p", F.lit(0.0)).alias("inclusion"), "sampled",
+            (F.col("size") * (certain + F.col("sampled"))).alias("taken"),
+        )
+        return stored(out, "mix-taken")
+
+
+#: Rules (one for each source and size class) that are broadcast at most; more go through an ordinary join.
+MOST_RULES = 100_000
 
 
-def applied(docs: DataFrame, **how) -> DataFrame:
+def applied(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, bins: int = BINS) -> DataFrame:
     """The rows of docs as often as the mix takes them, with docs' columns."""
-    same = ["doc_id", "source", "size"]
-    turn = F.row_number().over(W.partitionBy(*same).orderBy(*same))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    chosen = mix(docs.select("doc_id", "source", "text"), **how).withColumn("copies", F.col("certain") + F.col("sampled")).withColumn("turn", turn)
-    rows = docs.withColumn("size", size).withColumn("turn", turn).alias("d")
-    picked = chosen.where("copies > 0 and size > 0").select(*(F.col(c).alias(f"m_{c}") for c in [*same, "turn"]), "copies").alias("m")
-    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.m_{c}")) for c in [*same, "turn"]]
-    return rows.join(picked, on).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"d.{c}") for c in docs.columns))
+    carried = Carried(docs, docs.columns)
+    with Scratch() as scratch:
+        rows, rule, _ = _planned(docs.select("doc_id", "source", "text"), weights, share, bins, scratch)
+        order = F.struct("v", F.col("doc_id").isNotNull().alias("named"), "doc_id", "size")
+        # what is taken last of each source, and how many of the rows just like it (copies of a row under one id) are
+        last = rows.where("sampled = 1").groupBy(*_KEY).agg(F.max(order).alias("cut"))
+        alike = rows.join(last, _KEY).where(order == F.col("cut")).groupBy(*_KEY).agg(F.sum("sampled").alias("cut_taken"), F.count("*").alias("cut_rows"))
+        whole = rule.join(last, _KEY, "left").join(alike, _KEY, "left")
+        rule = stored(whole, "mix-cuts")
+    if rule.limit(MOST_RULES + 1).count() <= MOST_RULES:
+        rule = F.broadcast(rule)
+    facts = docs.select(*carried.columns, "doc_id", "source", "text").withColumns({n: c for n, c in _measures().items()}).drop("source", "text").withColumn("cls", _class())
+    ranked = _ranked(facts, rule).where("size > 0").withColumn("rank", order)
+    sure = F.coalesce((F.col("rank") < F.col("cut")) | (F.col("rank") == F.col("cut")) & (F.col("cut_taken") == F.col("cut_rows")), F.lit(False)) & F.col("v").isNotNull()
+    torn = F.coalesce((F.col("rank") == F.col("cut")) & (F.col("cut_taken") < F.col("cut_rows")), F.lit(False)) & F.col("v").isNotNull()
+    times = F.coalesce("copies", F.lit(0)).cast("int")
+    taken = ranked.where(~torn).withColumn("times", times + sure.cast("int"))
+    if rule.where("cut_taken < cut_rows").limit(1).count():
+        turn = F.row_number().over(W.partitionBy(*_KEY).orderBy("rank"))
+        some = ranked.where(torn).withColumn("turn", turn).withColumn("times", times + (F.col("turn") <= F.col("cut_taken")).cast("int")).drop("turn")
+        taken = taken.unionByName(some)
+    return taken.where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*carried.back)
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +173,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: {docs} is the relation to mix; the same steps in the same order, so that doubles agree to the last bit.
 MIX_SQL = r"""
 m0 as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from {docs}
+  select doc_id, source, coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, ''))) as name, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from {docs}
 ), m1 as (
   select *, source is null as source_null, coalesce(source, '') as source_key, case when size > 0 then length(bin(size)) else 0 end as cls,
-    (('0x' || substr(md5('pareto-1:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+    (('0x' || substr(md5('pareto-1:' || name), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from m0
 ), cl as (select source_null, source_key, cls, sum(size)::bigint as words from m1 group by all),
 sr as (select source_null, source_key, sum(words)::bigint as words from cl group by all),
