@@ -6,8 +6,9 @@ and a document is dropped where a measure lies beyond the far fence of its group
 
 The sketch is a log-linear histogram of whole numbers: values under 64 have a bin of their own, larger ones keep their six
 leading bits (a relative error under 1/32). Bins are counts, so sketches of partitions, sources and languages merge by
-addition, in any order, to the same result. A group of fewer than SMALL documents uses its language's sketch, and that
-of all documents where the language is as small.
+addition, in any order, to the same result. A group's quartiles are drawn towards its language's as by SMALL documents
+more, and the language's in the same way towards those of all documents; so small groups lean on larger ones, without a
+size at which the rule changes.
 
 Edge cases: null text counts as a text without words (base_failed); null lang or source form groups of their own; null or
 repeated doc_id are rows like any other; an empty table gives an empty result; further columns are ignored.
@@ -99,8 +100,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
     pairs = quartiles(cells, "lang", "source").alias("p")
     langs = quartiles(by_lang, "lang").alias("l")
     both = quartiles(by_all).alias("g")
-    pick = lambda c: F.when(F.col("p.docs") >= SMALL, F.col(f"p.{c}")).when(F.col("l.docs") >= SMALL, F.col(f"l.{c}")).otherwise(F.col(f"g.{c}")).alias(c)
-    chosen = pairs.join(langs, F.col("p.lang").eqNullSafe(F.col("l.lang")) & (F.col("p.measure") == F.col("l.measure"))).join(both, F.col("p.measure") == F.col("g.measure")).select("p.lang", "p.source", "p.measure", pick("q25"), pick("q75"))
+    drawn = lambda c: F.expr(f"(p.docs * p.{c} + {SMALL} * ((l.docs * l.{c} + {SMALL} * g.{c}) div (l.docs + {SMALL}))) div (p.docs + {SMALL})").alias(c)
+    chosen = pairs.join(langs, F.col("p.lang").eqNullSafe(F.col("l.lang")) & (F.col("p.measure") == F.col("l.measure"))).join(both, F.col("p.measure") == F.col("g.measure")).select("p.lang", "p.source", "p.measure", drawn("q25"), drawn("q75"))
     least = F.create_map(*(F.lit(x) for m, (_, s, _) in MEASURES.items() for x in (m, s)))
     spread = F.greatest(F.col("q75") - F.col("q25"), least[F.col("measure")]) * FENCE
     fences = chosen.select("lang", "source", "measure", (F.col("q25") - spread).alias("low"), (F.col("q75") + spread).alias("high"))
@@ -162,10 +163,11 @@ g0 as (select measure, bin, sum(n) as n from c group by all),
 g1 as (select *, sum(n) over (partition by measure order by bin) as upto, sum(n) over (partition by measure) as total from g0),
 g as (select measure, min(bin) filter (where upto * 4 >= total) as c25, min(bin) filter (where upto * 4 >= total * 3) as c75 from g1 group by all),
 s0 as (
-  select p.lang, p.source, p.measure, case when p.docs >= 50 then p.c25 when l.docs >= 50 then l.c25 else g.c25 end as c25,
-    case when p.docs >= 50 then p.c75 when l.docs >= 50 then l.c75 else g.c75 end as c75
+  select p.lang, p.source, p.measure, p.docs as pn, l.docs as ln, P25 as p25, L25 as l25, G25 as g25, P75 as p75, L75 as l75, G75 as g75
   from p join l on p.lang is not distinct from l.lang and p.measure = l.measure join g on p.measure = g.measure
-), s1 as (select *, (c25 % 64) * (1::bigint << (c25 // 64)::int) as q25, (c75 % 64) * (1::bigint << (c75 // 64)::int) as q75 from s0),
+), s1 as (
+  select lang, source, measure, (pn * p25 + 50 * ((ln * l25 + 50 * g25) // (ln + 50))) // (pn + 50) as q25, (pn * p75 + 50 * ((ln * l75 + 50 * g75) // (ln + 50))) // (pn + 50) as q75 from s0
+),
 s as (select *, 3 * greatest(q75 - q25, case measure when 'repeats' then 500 when 'word_length' then 50 else 100 end) as spread from s1),
 f as (
   select lang, source, max(q75 + spread) filter (where measure = 'symbols') as s_high, max(q75 + spread) filter (where measure = 'dup_lines') as d_high,
@@ -178,5 +180,8 @@ f as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not beyond as kept from o
 """
+for _t in "plg":
+    for _q in ("25", "75"):
+        SQL = SQL.replace(f"{_t.upper()}{_q} as", f"({_t}.c{_q} % 64) * (1::bigint << ({_t}.c{_q} // 64)::int) as")
 for _m in MEASURES:
     SQL = SQL.replace(f"CODE_{_m}", f"({_CODE.format(m=_m)})")
