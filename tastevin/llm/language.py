@@ -5,10 +5,12 @@ DIMS places. The blended-spectrum presence kernel is the sum over n of |A n B| /
 Nystroem approximation, on which kernel ridge regression is fitted one language against the rest. As the kernel is linear in
 the scaled presence vector, landmarks and coefficients fold into one matrix; scoring is a product of batches with it.
 
-The fit takes at most EACH texts of every language (documented bound); every text is scored whole.
+The fit takes at most EACH distinct texts of every language, ALL in all, of the most frequent languages (documented bounds);
+every text is scored whole. A tie goes to the language first in order of code points.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; rows with null lang are scored, not learned;
-null or repeated doc_id are rows like any other; without a labelled row every text is `und`; further columns are ignored.
+null or repeated doc_id are rows like any other; without a labelled row every text is `und`; an empty table gives an empty
+result. `predict` carries the columns it is told to (lang_pred and score give way to its own), `accepted` all of them.
 """
 
 from __future__ import annotations
@@ -18,17 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .sampling import at_most, held_out
+from .common import Carried, table, text_or_empty
+from .sampling import held_out, texts
 from .textbatch import _LETTER, LOWER, chunks
 
 EACH = 400
+ALL = 3200
 LANDMARKS = 160
 RIDGE = 1e-3
 SHARPNESS = 6.0
 PARTS = (256, 4096, 8192)
 DIMS = sum(PARTS)
 UNKNOWN = "und"
+#: Texts that are worked on at once: each takes five bytes a dimension.
+ROWS = 256
 
 _FOLD = np.where(_LETTER, LOWER, np.uint8(32)).astype(np.uint8)
 
@@ -85,34 +90,48 @@ def fit(bits: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def _sampled(batches):
-    for batch, data, at in chunks(batches):
+    for batch, data, at in chunks(batches, rows=ROWS):
         packed = np.packbits(presence(data, at), axis=1)
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "bits": pa.array([r.tobytes() for r in packed], pa.binary())})
+        yield pa.record_batch({"lang": batch.column("lang"), "digest": batch.column("digest"), "bits": pa.array([r.tobytes() for r in packed], pa.binary())})
 
 
-def predict(docs: DataFrame, labelled: DataFrame, *carry: str) -> DataFrame:
-    """carry, lang_pred, score for every row of docs; learned from labelled (doc_id, text, lang)."""
-    chosen = at_most(labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text"), "lang", EACH)
-    rows = chosen.mapInArrow(_sampled, "doc_id long, lang string, bits binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], bytes(r["bits"])))
-    names, matrix = fit([bytes(r["bits"]) for r in rows], [r["lang"] for r in rows]) if rows else ([], None)
+def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray | None]:
+    """labelled: text, lang. Languages and the matrix of `fit`, from a sample in an order that is always the same."""
+    chosen = texts(labelled.where("lang is not null and text is not null"), "lang", EACH, total=ALL)
+    rows = chosen.mapInArrow(_sampled, "lang string, digest long, bits binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["digest"], bytes(r["bits"])))
+    return fit([bytes(r["bits"]) for r in rows], [r["lang"] for r in rows]) if rows else ([], None)
+
+
+def _scored(docs: DataFrame, labelled: DataFrame, carried: Carried) -> DataFrame:
+    """The carried columns, lang_pred, score."""
+    names, matrix = learn(labelled)
 
     def score(batches):
-        for batch, data, at in chunks(batches):
+        for batch, data, at in chunks(batches, rows=ROWS):
             known = batch.column("letters").to_numpy(zero_copy_only=False)
             pred, best = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
             if names:
                 margin = scaled(presence(data, at)) @ matrix[:-1] + matrix[-1]
                 p = np.exp(SHARPNESS * (margin - margin.max(1, keepdims=True)))
-                k = margin.argmax(1)
-                pred = np.where(known, np.array(names, object)[k], UNKNOWN)
+                pred = np.where(known, np.array(names, object)[margin.argmax(1)], UNKNOWN)
                 best = np.where(known, p.max(1) / p.sum(1), 0.0)
-            yield pa.record_batch({**{c: batch.column(c) for c in carry}, "lang_pred": pa.array(pred, pa.string()), "score": pa.array(best, pa.float64())})
+            yield pa.record_batch({**carried.of(batch), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(best, pa.float64())})
 
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string", "score double"])
-    return docs.select(*dict.fromkeys([*carry, "text"]), letters).mapInArrow(score, schema)
+    return docs.select(*carried.columns, text_or_empty().alias("text"), letters).mapInArrow(score, ", ".join([*carried.schema, "lang_pred string", "score double"]))
+
+
+def predict(docs: DataFrame, labelled: DataFrame, *carry: str) -> DataFrame:
+    """carry, lang_pred, score for every row of docs; learned from labelled (text, lang)."""
+    carried = Carried(docs, carry, ["lang_pred", "score"])
+    return _scored(docs, labelled, carried).select(*carried.back, "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, labelled: DataFrame, least: float) -> DataFrame:
+    """The rows of docs, with docs' columns, whose language is known with a score of `least` or more."""
+    carried = Carried(docs, docs.columns)
+    return _scored(docs, labelled, carried).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*carried.back)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
