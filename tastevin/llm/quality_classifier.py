@@ -1,14 +1,16 @@
 """Quality classifier: random Fourier features over document statistics, ridge regression, isotonic calibration.
 
 Every text gives STATISTICS numbers. Standardised, they pass through RANDOM cosine features whose inner products approximate
-a Gaussian kernel. Each partition of the labelled sample sums its part of the normal equations; the sums (their number and
-size are fixed by the sample's bound) are added and solved. Pool-adjacent-violators turns ridge scores into probabilities.
+a Gaussian kernel. The labelled sample is dealt to PARTS parts by the texts' digests; each sums its normal equations, in order
+of digest (their number and size are fixed, and reruns add in the same order), and the sums are added and solved. Ridge
+scores for the calibration come from the equations without the row's own part, so that no row is calibrated by a fit
+that saw it; pool-adjacent-violators turns them into probabilities.
 
 The fit takes at most EACH texts of each label (documented bound); every text is scored whole.
 
 Edge cases: null counts as empty; an empty text has zero statistics and is scored like any other; null or repeated doc_id are
 rows like any other; without labels of both kinds every score is the labelled share of ones (0.5 without labels); an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; a carried column named score gives way to the output.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .sampling import held_out
-from .textbatch import _LETTER, chunks, mix, per_text, prefix_sums, span_hashes, spans, words
-from .toxicity import labelled_texts
+from .common import Carried, Scratch, table, text_or_empty
+from .sampling import held_out, labelled_texts
+from .textbatch import _LETTER, chunks, grouped, mix, per_text, prefix_sums, span_hashes, spans, words
 
 EACH = 6000
 #: Parts whose normal equations are summed, each RANDOM x RANDOM doubles.
@@ -94,18 +95,22 @@ class Features:
         return np.column_stack([np.cos(z @ self.w + self.b) * np.sqrt(2.0 / (RANDOM - 1)), np.ones(len(x))])
 
 
-def _summed(rows: DataFrame, of, width: int) -> list[np.ndarray]:
-    """Sums over the sample of the flat arrays of `width` numbers that of(x, y) gives for a part's statistics and labels."""
+def _xy(rows) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array(rows.column("x").combine_chunks().flatten()).reshape(rows.num_rows, -1)
+    return x, rows.column("label").to_numpy().astype(float)
+
+
+def _summed(rows: DataFrame, of, width: int) -> np.ndarray:
+    """PARTS x width: sums over each part of the flat arrays that of(x, y) gives for its statistics and labels."""
 
     def part(batches):
-        total = np.zeros(width)
-        for batch in batches:
-            x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, -1)
-            if len(x):
-                total += of(x, np.array(batch.column("label")).astype(float))
-        yield pa.record_batch({"sums": pa.array([total.tobytes()], pa.binary())})
+        for table in grouped(batches, ["part"]):
+            yield pa.record_batch({"part": table.column("part")[:1].combine_chunks(), "sums": pa.array([of(*_xy(table)).tobytes()], pa.binary())})
 
-    return [np.frombuffer(r["sums"]) for r in rows.mapInArrow(part, "sums binary").collect()]
+    out = np.zeros((PARTS, width))
+    for r in rows.repartition(PARTS, "part").sortWithinPartitions("part", "digest", "label").mapInArrow(part, "part int, sums binary").collect():
+        out[r["part"]] = np.frombuffer(r["sums"])
+    return out
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,51 +134,59 @@ def learn(labelled: DataFrame):
     def measure(batches):
         for batch, data, at in chunks(batches):
             x = statistics(data, at)
-            yield pa.record_batch({"label": batch.column("label").cast(pa.int32()), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))})
-
-    rows = stored(labelled.mapInArrow(measure, "label int, x array<double>").repartition(PARTS), "quality-sample")
-    d = STATISTICS
-    moments = np.sum(_summed(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x**2).sum(0)]), 2 + 2 * d) or [np.zeros(2 + 2 * d)], axis=0)
-    n, ones = moments[:2]
-    if not 0 < ones < n:
-        share = ones / n if n else 0.5
-        return lambda x: np.full(len(x), share)
-    mean = moments[2 : 2 + d] / n
-    features = Features(mean, np.sqrt(np.maximum(moments[2 + d :] / n - mean**2, 0)))
-    rate = np.array([n / (2 * (n - ones)), n / (2 * ones)])
-
-    def normal(x, y):
-        z, w = features(x), rate[y.astype(int)]
-        return np.concatenate([((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ (2 * y - 1)])
-
-    sums = np.sum(_summed(rows, normal, RANDOM * RANDOM + RANDOM), axis=0)
-    gram, right = sums[: RANDOM * RANDOM].reshape(RANDOM, RANDOM), sums[RANDOM * RANDOM :]
-    weights = np.linalg.solve(gram / n + RIDGE / RANDOM * np.eye(RANDOM), right / n)
-
-    def ridge_scores(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, -1)
-                yield pa.record_batch({"label": batch.column("label"), "s": features(x) @ weights})
-
-    fitted = rows.mapInArrow(ridge_scores, "label int, s double").collect()  # as many as the sample's bound
-    knots, levels = isotonic(np.array([r["s"] for r in fitted]), np.array([float(r["label"]) for r in fitted]))
+            yield pa.record_batch({"label": batch.column("label").cast(pa.int32()), "digest": batch.column("digest"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))})
+
+    with Scratch() as scratch:
+        rows = labelled.select("text", "label", F.xxhash64("text").alias("digest")).mapInArrow(measure, "label int, digest long, x array<double>")
+        rows = scratch.stored(rows.withColumn("part", F.pmod("digest", F.lit(PARTS)).cast("int")), "quality-sample")
+        d = STATISTICS
+        moments = _summed(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x**2).sum(0)]), 2 + 2 * d).sum(0)
+        n, ones = moments[:2]
+        if not 0 < ones < n:
+            share = ones / n if n else 0.5
+            return lambda x: np.full(len(x), share)
+        mean = moments[2 : 2 + d] / n
+        features = Features(mean, np.sqrt(np.maximum(moments[2 + d :] / n - mean**2, 0)))
+        rate = np.array([n / (2 * (n - ones)), n / (2 * ones)])
+
+        def normal(x, y):
+            z, w = features(x), rate[y.astype(int)]
+            return np.concatenate([((z * w[:, None]).T @ z).ravel(), (z * w[:, None]).T @ (2 * y - 1)])
+
+        def solved(sums):
+            gram, right = sums[: RANDOM * RANDOM].reshape(RANDOM, RANDOM), sums[RANDOM * RANDOM :]
+            return np.linalg.solve(gram / n + RIDGE / RANDOM * np.eye(RANDOM), right / n)
+
+        sums = _summed(rows, normal, RANDOM * RANDOM + RANDOM)
+        weights = solved(sums.sum(0))
+        without = [solved(np.delete(sums, k, 0).sum(0)) for k in range(PARTS)]
+
+        def ridge_scores(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, _ = _xy(pa.Table.from_batches([batch]))
+                    z, part = features(x), batch.column("part").to_numpy()
+                    yield pa.record_batch({"label": batch.column("label"), "s": np.column_stack([z @ w for w in without])[np.arange(len(z)), part]})
+
+        fitted = rows.mapInArrow(ridge_scores, "label int, s double").orderBy("s", "label").toArrow()  # as many as the sample's bound
+    knots, levels = isotonic(fitted.column("s").to_numpy(), fitted.column("label").to_numpy().astype(float))
     return lambda x: np.interp(features(x) @ weights, knots, levels)
 
 
 def score(docs: DataFrame, labelled: DataFrame, *carry: str) -> DataFrame:
     """carry and score for every row of docs."""
     model = learn(labelled)
+    carried = Carried(docs, carry, ["score"])
 
     def run(batches):
         for batch, data, at in chunks(batches):
-            yield pa.record_batch({**{c: batch.column(c) for c in carry}, "score": pa.array(model(statistics(data, at)), pa.float64())})
+            yield pa.record_batch({**carried.of(batch), "score": pa.array(model(statistics(data, at)), pa.float64())})
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "score double"]))
+    return docs.select(*carried.columns, text_or_empty().alias("text")).mapInArrow(run, ", ".join([*carried.schema, "score double"])).select(*carried.back, "score")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(3, 1).alias("held_out"))
-    scored = score(docs, labelled_texts(spark, sf_dir, "quality", EACH), "doc_id", "held_out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = labelled_texts(docs, table(spark, sf_dir, "labels"), "quality", EACH)
+    scored = score(docs.withColumn("held_out", held_out(3, 1)), labelled, "doc_id", "held_out")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
