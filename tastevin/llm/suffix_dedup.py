@@ -1,7 +1,8 @@
 """Suffix-array removal of repeated byte strings.
 
 Every text is its UTF-8 bytes. A byte is removed if a string of LENGTH bytes that covers it also starts earlier: in a document
-of smaller doc_id, or earlier in the same document. The result is exact.
+of smaller doc_id, or earlier in the same document. Within a shard bytes are compared; between shards strings are equal if
+their names are, two independent 64-bit hashes (among 10^12 strings a false match has a chance of about 10^-14).
 
 1. Routing. Of every LENGTH bytes in a row the least of the hashed GRAM-byte strings is an anchor, so equal strings have equal
    anchors. Anchors of about PART bytes of text are a part. Parts send each anchor once, with the place of its first
@@ -17,7 +18,8 @@ of smaller doc_id, or earlier in the same document. The result is exact.
 4. Texts that are copies of an earlier one need none of this: they go whole, if LENGTH bytes long.
 
 Edge cases: null counts as empty; rows of equal doc_id don't repeat each other (each is a document), and a null doc_id counts as a
-negative number made of the text's hash; an empty table gives an empty result; further columns are kept by `strip` and ignored by the query.
+negative number made of the text's hash; an empty table gives an empty result. `strip` carries the columns it is told to (those with
+names of its outputs give way), `stripped` all of them.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import Carried, Scratch, stored, table, text_or_empty
 from .near_dup import document_id
 from .textbatch import chunks, grouped, mix, powers, prefix_sums
 
@@ -392,12 +394,12 @@ def _merged(batches):
                 yield _runs(late["id"][first].tolist(), late["h1"][first].tolist(), late["start"][first].tolist(), (late["start"][last] + LENGTH).tolist())
 
 
-def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows (id, h1, spans) of texts with repeated bytes, spans possibly overlapping; and rows (id, h1) of copies of an earlier text."""
     spark = docs.sparkSession
     text = docs.select(document_id().alias("id"), text_or_empty().alias("text"))
     long = text.where(F.octet_length("text") >= LENGTH).withColumn("h1", F.xxhash64("text"))
-    found = stored(long.mapInArrow(_parts, "part long, ids array<long>, h1s array<long>, counts array<int>, hashes binary, places binary, n long"), "suffix-parts")
+    found = scratch.stored(long.mapInArrow(_parts, "part long, ids array<long>, h1s array<long>, counts array<int>, hashes binary, places binary, n long"), "suffix-parts")
     total = found.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
     sent = found.mapInArrow(_sent(buckets), "bucket long, part long, entries binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -405,33 +407,33 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = lambda kind: F.lit(None).cast(kind)
     both = found.drop("n").select("*", none("binary").alias("again"), none("binary").alias("keys")).unionByName(
         answers.select("part", none("array<long>").alias("ids"), none("array<long>").alias("h1s"), none("array<int>").alias("counts"), none("binary").alias("hashes"), none("binary").alias("places"), "again", "keys"))
-    stretches = stored(both.repartition("part").sortWithinPartitions("part").mapInArrow(_stretches, "id long, h1 long, key long, start long, end long"), "suffix-stretches")
+    stretches = scratch.stored(both.repartition("part").sortWithinPartitions("part").mapInArrow(_stretches, "id long, h1 long, key long, start long, end long"), "suffix-stretches")
 
     names = long.select("id", "h1", F.xxhash64(F.lit(1), "text").alias("h2"))
-    least = stored(names.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "suffix-copies")
-    copies = stored(names.join(least, ["h1", "h2"]).where("id > least").select("id", "h1").distinct(), "suffix-later")
+    least = scratch.stored(names.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "suffix-copies")
+    copies = scratch.stored(names.join(least, ["h1", "h2"]).where("id > least").select("id", "h1").distinct(), "suffix-later")
 
     own = stretches.join(copies, ["id", "h1"], "left_anti").distinct()
-    own = stored(own, "suffix-own")
+    own = scratch.stored(own, "suffix-own")
     # a lone stretch can repeat itself as soon as it holds two strings, which may overlap
-    sizes = stored(own.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("size"), F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("size") > LENGTH)).drop("n"), "suffix-sizes")
+    sizes = scratch.stored(own.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("size"), F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("size") > LENGTH)).drop("n"), "suffix-sizes")
     dealt = own.join(sizes, "key").withColumn("shards", F.ceil(F.col("size") / (2 * SHARD)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     bytes_ = F.substring(F.col("text").cast("binary"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     cut = dealt.join(long, ["id", "h1"]).select("key", "shard", "shards", "size", "id", "h1", "start", bytes_.alias("bytes"))
     spread = cut.repartition("key", "shard").sortWithinPartitions("key", "shard")
-    runs = stored(spread.mapInArrow(_sharded(buckets), RUNS), "suffix-runs")
-    merged = stored(runs.where("bucket is not null").select("bucket", "names").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, RUNS), "suffix-merged")
+    runs = scratch.stored(spread.mapInArrow(_sharded(buckets), RUNS), "suffix-runs")
+    merged = scratch.stored(runs.where("bucket is not null").select("bucket", "names").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, RUNS), "suffix-merged")
     every = runs.where("bucket is null").unionByName(merged).groupBy("id", "h1").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return every, copies
 
 
-def _cleaned(carry, keep_text):
+def _cleaned(carried, keep_text):
     def run(batches):
         for batch in batches:
             spans, copy, texts = batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").to_pylist()
             size, gone, count, digest, left = [], [], [], [], []
             for t, s, c in zip(texts, spans, copy, strict=True):
-                raw = t.encode()
+                raw = (t or "").encode()
                 size.append(len(raw))
                 runs: list[list[int]] = [[0, len(raw)]] if c else []
                 for x in sorted((x["start"], x["end"]) for x in s or ()) if not c else ():
@@ -447,24 +449,53 @@ def _cleaned(carry, keep_text):
                     last = b
                 kept = b"".join([*kept, raw[last:]])
                 digest.append(hashlib.sha256(kept).hexdigest())
-                left.append(kept.decode("utf-8", "ignore") if keep_text else None)
-            out = {**{c: batch.column(c) for c in carry}, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": digest}
+                left.append(None if t is None or not keep_text else kept.decode("utf-8", "ignore"))
+            out = {**carried.of(batch), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": digest}
             yield pa.record_batch(out | ({"kept_text": pa.array(left, pa.string())} if keep_text else {}))
 
     return run
 
 
+def _stripped(docs: DataFrame, carried: Carried, keep_text: bool) -> DataFrame:
+    with Scratch() as scratch:
+        spans, copies = repeated_runs(docs, scratch)
+        marks = spans.select("id", "h1", "spans", F.lit(False).alias("copy")).join(copies, ["id", "h1"], "left_anti").unionByName(copies.select("id", "h1", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(True).alias("copy")))
+        marks = stored(marks, "suffix-marks")
+    rows = docs.select(*carried.columns, F.col("text").cast("string").alias("text"), document_id().alias("id"))
+    rows = rows.withColumn("h1", F.when(F.octet_length("text") >= LENGTH, F.xxhash64("text")))
+    joined = rows.join(marks, ["id", "h1"], "left").select(*carried.all, "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    schema = ", ".join([*carried.schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept_text string"] if keep_text else [])])
+    return joined.mapInArrow(_cleaned(carried, keep_text), schema)
+
+
 def strip(docs: DataFrame, *carry: str, keep_text: bool = False) -> DataFrame:
     """carry, n_bytes, n_removed, n_spans, kept_sha256 for every row; with keep_text also what is left, without characters cut in two."""
-    spans, copies = repeated_runs(docs)
-    marks = stored(spans.select("id", "h1", "spans", F.lit(False).alias("copy")).join(copies, ["id", "h1"], "left_anti").unionByName(copies.select("id", "h1", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(True).alias("copy"))), "suffix-marks")
-    rows = docs.select(*carry, text_or_empty().alias("text"), document_id().alias("id"))
-    rows = rows.withColumn("h1", F.when(F.octet_length("text") >= LENGTH, F.xxhash64("text")))
-    joined = rows.join(marks, ["id", "h1"], "left").select(*carry, "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept_text string"] if keep_text else [])])
-    return joined.mapInArrow(_cleaned(carry, keep_text), schema)
+    out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
+    carried = Carried(docs, carry, out)
+    return _stripped(docs, carried, keep_text).select(*carried.back, *out)
+
+
+def stripped(docs: DataFrame) -> DataFrame:
+    """The rows of docs with docs' columns, text without what is repeated (null stays null), n_chars its length where docs has it."""
+    new = {"text": F.col("kept_text"), "n_chars": F.coalesce(F.length("kept_text"), F.lit(0)).cast("long")}
+    carried = Carried(docs, [c for c in docs.columns if c.lower() not in new])
+    back = dict(zip([c for c in docs.columns if c.lower() not in new], carried.back, strict=True))
+    return _stripped(docs, carried, True).select(*(back[c] if c in back else new[c.lower()].alias(c) for c in docs.columns))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+#: Every string of 100 bytes by its digest, for small tables.
+SQL = r"""
+with d as (select row_number() over (order by doc_id) as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+q as materialized (select r, doc_id, i, case when 2 * i + 200 <= length(h) then md5(substr(h, 2 * i + 1, 200)) end as s, substr(h, 2 * i + 1, 2) as x from (select r, doc_id, h, unnest(range(n)) as i from d)),
+o as (select s, min(doc_id) as first_doc from q where s is not null group by s having count(*) > 1),
+w as (select q.r, q.i, q.doc_id > o.first_doc as later, min(q.i) over (partition by q.r, q.s) as first from q join o on o.s = q.s),
+b as (select r, i from w where later or i > first),
+g as (select q.r, q.i, q.x, coalesce(q.i - max(b.i) over (partition by q.r order by q.i) < 100, false) as gone from q left join b on b.r = q.r and b.i = q.i),
+e as (select *, gone and not coalesce(lag(gone) over (partition by r order by i), false) as opens from g),
+k as (select r, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans, coalesce(string_agg(x, '' order by i) filter (where not gone), '') as kept from e group by r)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join k on k.r = d.r
+"""
