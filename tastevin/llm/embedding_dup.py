@@ -195,3 +195,16 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
 def op10_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: All pairs, for small tables.
+SQL = r"""
+with recursive v as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+f as (select r, vec_id, e, len(e) as d from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+g as (select r, vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as u from f where d = (select d from f group by d order by count(*) desc, d limit 1)),
+l as (select a.r as a, b.r as b from g a join g b on a.r <> b.r where list_dot_product(a.u, b.u) >= 0.95),
+c(r, t) as (select r, r from v union select c.r, l.b from c join l on c.t = l.a),
+k as (select c.r, min(v.vec_id) as component_id from c join v on v.r = c.t group by c.r),
+n as (select a as r, count(*) as n from l group by a)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, k.component_id, coalesce(v.vec_id = k.component_id, false) as kept from v join k on k.r = v.r left join n on n.r = v.r
+"""

@@ -301,3 +301,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("component").alias("class_id"), "kept")
+
+
+#: Every pair that shares a run, for small tables.
+SQL = r"""
+with recursive d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+t as (select text, any_value(w) as w, min(doc_id) as doc_id from d group by text),
+x as (select doc_id as t, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s, len(w) as words from t),
+s as (select t, s, count(*) as n from x group by t, s), z as (select t, sum(n) as n from s group by t),
+p as (select a.t as a, b.t as b, sum(least(a.n, b.n)) as common from s a join s b on a.s = b.s and a.t < b.t group by 1, 2),
+l as (select a, b from p join z y on y.t = a join z q on q.t = b where common >= 0.8::double * (y.n + q.n - common)),
+e as (select a, b from l union select b, a from l),
+c(r, m) as (select doc_id, doc_id from t union select c.r, e.b from c join e on c.m = e.a),
+k as (select r, min(m) as class_id from c group by r)
+select d.doc_id, k.class_id, d.doc_id = k.class_id as kept from d join t on t.text = d.text join k on k.r = t.doc_id
+"""

@@ -57,7 +57,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     spread = np.sqrt(np.maximum(share(per_text(owner, n, (end - start).astype(float) ** 2), count) - mean**2, 0))
 
     def repeats(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Items equal to another of their text."""
+        """Items that their text had before, by hash."""
         if not len(hashes):
             return np.zeros(n)
         key = mix(hashes ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))

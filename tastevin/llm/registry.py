@@ -21,4 +21,10 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.SQL, "op7_adaptive_rules": quality_rules.SQL}
+    return {
+        "op1_pareto_mix": mixing.SQL,
+        "op6_dart_minhash": near_dup.SQL,
+        "op7_adaptive_rules": quality_rules.SQL,
+        "op8_suffix_dedup": suffix_dedup.SQL,
+        "op10_pivot_permutation": embedding_dup.SQL,
+    }
