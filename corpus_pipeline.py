@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, near-duplicates, repeated passages, source mix, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as Parquet and
-read again as the next one's docs. All stages but the last keep the columns of documents.
+read again as the next one's docs. All stages but the last keep the columns of documents, whatever their names. The table
+of a stage goes when the next one's is written.
 """
 
 from __future__ import annotations
@@ -9,10 +10,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tastevin.llm import language, mixing, near_dup, spm, suffix_dedup
-from tastevin.llm.common import shared_dir
+from tastevin.llm.common import removed, shared_dir
 from tastevin.llm.sampling import held_out
 
 #: A document whose best language has less than this share of the belief is rejected, as is one without a letter.
@@ -21,9 +21,7 @@ LEAST_BELIEF = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language (null or without a letter) or in none of the learned ones with any certainty."""
-    columns = docs.columns
-    scored = language.predict(docs, docs.where(~held_out(4, 2)), *columns)
-    return scored.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_BELIEF)).select(*columns)
+    return language.accepted(docs, docs.where(~held_out(4, 2)), LEAST_BELIEF)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what an earlier document or place has; a document that loses everything stays, with an empty text."""
-    others = [c for c in docs.columns if c != "text"]
-    left = suffix_dedup.strip(docs, *others, keep_text=True)
-    return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return suffix_dedup.stripped(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/tastevin/pipeline-{uuid.uuid4().hex}"
+    top, last = f"{shared_dir(spark)}/tastevin/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
-        docs = spark.read.parquet(f"{top}/{name}")
+        if last:
+            removed(last, spark=spark)
+        last = f"{top}/{name}"
+        docs = spark.read.parquet(last)
     return docs
