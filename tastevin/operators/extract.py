@@ -38,34 +38,41 @@ def word_test(folded: Column, words: str | list[str]) -> Column:
     return folded.rlike(text.word_pattern(words) if isinstance(words, list) else f"\\b(?:{words})\\b")
 
 
-def line_features(line: Column, vocabulary: dict[str, str | list[str]] | None = None) -> dict[str, Column]:
+def line_features(line: Column, folded: Column, price: Column, vocabulary: dict[str, str | list[str]] | None = None) -> dict[str, Column]:
+    """What a line has: a price, a currency, a vintage or NV, words of the vocabularies, numbers. folded and price
+    (`money.guide_price`) are the line's own, which the caller computes once."""
     v = {"core": rules.CORE, "producer": rules.PRODUCER, "prestige": rules.PRESTIGE, "kind": rules.KIND} | (vocabulary or {})
-    folded, price = text.fold(line), money.guide_price(line)
     return {
         "priced": price["price_value"].isNotNull(), "has_currency": price["currency"] != "", "has_vintage": line.rlike("\\b(?:19|20)\\d{2}\\b"), "has_nv": line.rlike("(?i)\\bN\\.?V\\.?\\b"),
-        **{f"is_{k}": word_test(folded, words) for k, words in v.items()},
-        "numbers": F.size(F.filter(money.amounts(line), money.is_money)),
+        **{f"is_{k}": word_test(folded, words) for k, words in v.items()}, "numbers": price["amounts"],
     }
 
 
-def line_score(line: Column, watched: Column | None = None, vocabulary: dict[str, str] | None = None) -> Column:
+def line_score(line: Column, watched: Column | None = None, vocabulary: dict[str, str | list[str]] | None = None) -> Column:
     """0 for what is no product line, else the additive score of what it has (7 or more, priced, two kinds of evidence)."""
-    f, folded = line_features(line, vocabulary), text.fold(line)
     watched = F.lit(False) if watched is None else watched
     n = lambda test, k: F.when(test, k).otherwise(0)
-    score = n(watched, 5) + n(f["has_vintage"], 2) + n(f["priced"], 3) + n(f["has_currency"], 2) + n(f["is_kind"], 3) + n(f["is_producer"], 3) + n(f["is_prestige"], 3) + n(f["numbers"] >= 2, 1)
-    evidence = n(f["is_core"], 1) + n(f["is_producer"], 1) + n(f["is_prestige"], 1) + n(f["has_vintage"] | f["has_nv"], 1)
-    context = f["has_currency"] | (f["has_vintage"] | f["has_nv"]) & (f["numbers"] >= 2)
-    reject = ~F.length(line).between(8, 260) | folded.rlike(text.part_pattern(rules.BAD_PART)) | word_test(folded, rules.BAD_WORD) | word_test(folded, rules.NOT_PRODUCT) | line.rlike("[_{}<>]|['\"]\\s*:")
-    named = f["is_core"] | f["is_producer"] | f["is_prestige"] | watched
-    return F.when(reject | ~named | ~((score >= 7) & f["priced"] & context & (evidence >= 2)), 0).otherwise(score)
+
+    def scored(f: Column, folded: Column) -> Column:
+        points = n(watched, 5) + n(f["has_vintage"], 2) + n(f["priced"], 3) + n(f["has_currency"], 2) + n(f["is_kind"], 3) + n(f["is_producer"], 3) + n(f["is_prestige"], 3) + n(f["numbers"] >= 2, 1)
+        evidence = n(f["is_core"], 1) + n(f["is_producer"], 1) + n(f["is_prestige"], 1) + n(f["has_vintage"] | f["has_nv"], 1)
+        context = f["has_currency"] | (f["has_vintage"] | f["has_nv"]) & (f["numbers"] >= 2)
+        named = f["is_core"] | f["is_producer"] | f["is_prestige"] | watched
+        reject = ~F.length(line).between(8, 260) | folded.rlike(text.part_pattern(rules.BAD_PART)) | word_test(folded, rules.BAD_WORD) | word_test(folded, rules.NOT_PRODUCT) | line.rlike("[_{}<>]|['\"]\\s*:")
+        return money.let(points, lambda p: F.when(named & (p >= 7) & f["priced"] & context & (evidence >= 2) & ~reject, p).otherwise(0))
+
+    def featured(x: Column) -> Column:
+        return F.struct(*(c.alias(k) for k, c in line_features(line, x["folded"], x["price"], vocabulary).items()))
+
+    facts = F.struct(text.fold(line).alias("folded"), money.guide_price(line).alias("price"))
+    return money.let(facts, lambda x: money.let(featured(x), lambda f: scored(f, x["folded"])))
 
 
 def source_evidence(lines: DataFrame, key: str, line: str = "line", vocabulary: dict[str, str] | None = None) -> DataFrame:
     """Counts of evidence over the distinct lines of each source."""
-    f = line_features(F.col(line), vocabulary)
     count = lambda test: F.sum(F.when(test, 1).otherwise(0))
-    flagged = lines.select(key, line).distinct().withColumns(f)
+    once = lines.select(key, line).distinct().withColumns({"_folded": text.fold(line), "_price": money.guide_price(F.col(line))})
+    flagged = once.withColumns(line_features(F.col(line), F.col("_folded"), F.col("_price"), vocabulary))
     return flagged.groupBy(key).agg(
         F.count("*").alias("n_lines"), count(F.col("priced")).alias("n_priced"), count(F.col("is_core")).alias("n_core"), count(F.col("is_producer")).alias("n_producer"), count(F.col("is_prestige")).alias("n_prestige"),
         count(F.col("is_kind")).alias("n_kind"), count(F.col("has_vintage") | F.col("has_nv")).alias("n_vintage"), count(F.col("has_currency")).alias("n_currency"))

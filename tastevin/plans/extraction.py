@@ -19,7 +19,7 @@ _FOLD = "strip_accents(replace(lower({c}), 'ß', 'ss'))"
   with l as ({_SPLIT}), n as (select *, regexp_matches(line, '[0-9]{{2}}') as priced, regexp_matches(line, 'license|token') as identity, lag(line) over w as p1, lag(line, 2) over w as p2, lead(line) over w as n1, lead(line, 2) over w as n2 from l window w as (partition by doc_id order by pos)),
   c as (select doc_id, pos, 0 as turn, line as candidate from n union all select doc_id, pos, 1, concat_ws(' ', p1, line) from n where priced and not identity union all select doc_id, pos, 2, concat_ws(' ', p2, p1, line) from n where priced and not identity
     union all select doc_id, pos, 1, concat_ws(' ', line, n1) from n where identity and not priced union all select doc_id, pos, 2, concat_ws(' ', line, n1, n2) from n where identity and not priced)
-  select doc_id, md5(candidate) as candidate, min((case when turn = 0 then 0 else 1 end) * 1000000 + pos * 3 + turn)::bigint as place from c group by 1, md5(candidate)""")
+  select doc_id, md5(candidate) as candidate, min((case when turn = 0 then 0 else 1 end) * 1000000 + pos * 3 + turn)::bigint as place from c group by 1, md5(candidate)""", heavy=True)
 def x18_candidate_lines(docs):
     """Lines joined with neighbours where a price and its product stand apart."""
     lines = extract.document_lines(docs, "doc_id")
@@ -32,7 +32,7 @@ _FEATURES = "regexp_matches(f, '\\b(?:{core})\\b') as is_core, regexp_matches(f,
 
 @query(["documents"], f"""
   with l as (select doc_id, line, {_FOLD.format(c="line")} as f from ({_SPLIT})), x as (select distinct doc_id, line, {_FEATURES} from l)
-  select doc_id, count(*) as n_lines, sum(is_core::int)::bigint as n_core, sum(is_producer::int)::bigint as n_producer, sum(is_prestige::int)::bigint as n_prestige, sum(is_kind::int)::bigint as n_kind from x group by 1""")
+  select doc_id, count(*) as n_lines, sum(is_core::int)::bigint as n_core, sum(is_producer::int)::bigint as n_producer, sum(is_prestige::int)::bigint as n_prestige, sum(is_kind::int)::bigint as n_kind from x group by 1""", heavy=True)
 def x17_source_evidence(docs):
     """Evidence over the distinct lines of each source, with this corpus' own vocabulary."""
     return extract.source_evidence(extract.document_lines(docs, "doc_id"), "doc_id", vocabulary=_WORDS).select("doc_id", "n_lines", "n_core", "n_producer", "n_prestige", "n_kind")
@@ -53,7 +53,7 @@ def _varied(lines):
   with v as (select id, id % 5 as k, split_part(name, ' ', 2) as noun, id % 5 <> 1 as dated, id % 5 <> 3 as paid, id % 5 not in (2, 3) as coined, price between 1900 and 2099 as yearlike from v_lines where id % 5 <> 4),
   f as (select id, noun, coined, dated or paid and yearlike as dated, paid and (coined or not yearlike) as priced, dated::int + paid::int as numbers, noun in ('widget', 'bolt', 'gear') as core, noun = 'widget' as producer, noun = 'rod' as prestige, noun in ('widget', 'bolt') as kind from v),
   s as (select *, 2 * dated::int + 3 * priced::int + 2 * coined::int + 3 * kind::int + 3 * producer::int + 3 * prestige::int + (numbers >= 2)::int as score, core::int + producer::int + prestige::int + dated::int as evidence from f)
-  select id, score from s where (core or producer or prestige) and priced and (coined or dated and numbers >= 2) and evidence >= 2 and score >= 7""")
+  select id, score from s where (core or producer or prestige) and priced and (coined or dated and numbers >= 2) and evidence >= 2 and score >= 7""", heavy=True)
 def x16_line_score(lines):
     """Product lines and their scores, with this table's own vocabulary."""
     return _varied(lines).select("id", extract.line_score(F.col("text"), vocabulary=_MARKS).alias("score")).where("score > 0")
@@ -66,7 +66,7 @@ def x16_line_score(lines):
   j as (select e.*, source_type = 'pdf' as pdf, contains(url, '/wine/') as signal, id % 5 = 0 as generic, id % 90 as link from e join v_sources on id = list_id),
   r as (select *, case when n < 5 then 'few lines' when p < 5 then 'few prices' when c < 2 and g < 1 and m < 3 then 'weak identity' when v < 3 and y < 3 then 'weak vintage' when generic and not pdf and n < 8 then 'generic page' when not signal and n < 8 then 'no list address' end as why,
     link + 30 * pdf::int + 40 * signal::int + 12 * least(n, 10) + 30 * (n >= 3)::int + 20 * (y >= 2)::int + 20 * (v >= 2)::int + 45 * (c >= 1)::int + 35 * (k >= 2)::int as total from j)
-  select list_id, coalesce(why, case when total < 120 then 'low score' else '' end) as reason, (case when why is null then total else link end)::bigint as score from r""")
+  select list_id, coalesce(why, case when total < 120 then 'low score' else '' end) as reason, (case when why is null then total else link end)::bigint as score from r""", heavy=True)
 def x17_source_confidence(lines, sources):
     """Reason and score of each list by the decision list over all its evidence."""
     evidence = extract.source_evidence(_varied(lines), "list_id", "text", vocabulary=_MARKS)
@@ -101,7 +101,7 @@ _ENT = "replace(replace(replace(replace(replace(replace(replace(replace(replace(
 @query(["pages"], f"""
   with b as (select page_id, regexp_split_to_array(regexp_replace(regexp_replace(html, '(?i)<\\s*(?:br|p|div|li|tr|td|th|h[1-6])\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\\r\\n|[\\n\\v\\f\\r]') as ls from pages),
   c as (select page_id, list_filter(list_transform(ls, lambda x: trim(regexp_replace({_ENT.format(x="x")}, '\\s+', ' ', 'g'))), lambda x: x <> '') as ls from b)
-  select page_id, len(ls) as n, md5(array_to_string(ls, chr(10))) as digest from c""")
+  select page_id, len(ls) as n, md5(array_to_string(ls, chr(10))) as digest from c""", heavy=True)
 def s5_html_lines(pages):
     lines = web.html_lines(F.col("html"))
     return pages.select("page_id", F.size(lines).cast("long").alias("n"), F.md5(F.array_join(lines, "\n")).alias("digest"))
@@ -129,7 +129,7 @@ def x19_section_machine(lines):
     return extract.section_rows(rows.unionByName(heads), "list_id", ["cave"], 3).groupBy("list_id").agg(F.count("*").alias("n"))
 
 
-@query(["documents"], f"select doc_id, (length({_FOLD.format(c='text')}) - length(replace({_FOLD.format(c='text')}, 'worthless', ''))) // 9 as n from documents where contains({_FOLD.format(c='text')}, 'worthless')")
+@query(["documents"], f"select doc_id, (length({_FOLD.format(c='text')}) - length(replace({_FOLD.format(c='text')}, 'worthless', ''))) // 9 as n from documents where contains({_FOLD.format(c='text')}, 'worthless')", heavy=True)
 def x20_fragment_counts(docs):
     """Places of a token; the windows around them are one array for each document."""
     found = extract.fragments(F.col("text"), "worthless")
@@ -137,12 +137,12 @@ def x20_fragment_counts(docs):
     return docs.where(F.size(found) > 0).select("doc_id", places.cast("long").alias("n"))
 
 
-@query(["v_lines"], "select id from v_lines where regexp_matches(text, '(?i)^(?:NV|MV|N/V|\\d{4})\\b') or (length(text) - length(replace(text, ',', '')) >= 2 and length(text) <= 180)")
+@query(["v_lines"], "select id from v_lines where regexp_matches(text, '(?i)^(?:NV|MV|N/V|\\d{4})\\b') or (length(text) - length(replace(text, ',', '')) >= 2 and length(text) <= 180)", heavy=True)
 def x21_probable_rows(lines):
     return lines.where(extract.probable_row(F.col("text"))).select("id")
 
 
-@query(["documents"], "with w as (select doc_id, lang, list_distinct(list_filter(string_split(trim(regexp_replace(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: len(t) >= 3 and t not in ('the', 'and', 'aoc', 'aop', 'auc', 'doc', 'docg', 'cru', 'grand', 'wine', 'list'))) as ws from documents) select doc_id, len(ws) as n from w")
+@query(["documents"], "with w as (select doc_id, lang, list_distinct(list_filter(string_split(trim(regexp_replace(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: len(t) >= 3 and t not in ('the', 'and', 'aoc', 'aop', 'auc', 'doc', 'docg', 'cru', 'grand', 'wine', 'list'))) as ws from documents) select doc_id, len(ws) as n from w", heavy=True)
 def x37_line_tokens(docs):
     from ..operators.matching import line_tokens
 

@@ -93,7 +93,7 @@ def j13_variants(part):
     return matching.variants(part, text.normalize_name("p_name"), [F.desc("p_retailprice"), F.col("p_partkey")], ["p_type"]).select("name_key", "rank", "p_partkey")
 
 
-@query(["v_lines"])
+@query(["v_lines"], heavy=True)
 def j14_greedy_match(lines):
     """Greedy one-to-one reconciliation of two halves of each list."""
     rows = lines.select("id", "list_id", "text", "vintage", "price")

@@ -6,21 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import oracle, view
+from ..sources.tables import dealt, oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 
-def query(views: list[str], sql: str | None = None):
-    """Registers a function of the named views' frames; sql is the oracle over the same views (and base tables)."""
+def query(views: list[str], sql: str | None = None, heavy: bool = False):
+    """Registers a function of the named views' frames; sql is the oracle over the same views (and base tables). heavy: the
+    first frame's rows cost so much work that few partitions are dealt to all cores first."""
 
     def add(f):
         name = f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(view(spark, sf_dir, v) for v in views))
+            frames = [view(spark, sf_dir, v) for v in views]
+            if heavy:
+                frames[0] = dealt(frames[0])
+            return f(*frames)
 
         run.__name__, run.__doc__ = name, f.__doc__
         _queries[name] = run

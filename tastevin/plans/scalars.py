@@ -14,37 +14,37 @@ def _hard(lines):
     return lines.withColumn("text", F.concat(F.when(F.col("id") % 3 == 0, paged).otherwise(F.col("text")), F.when(F.col("id") % 5 == 0, ", 100%").otherwise("")))
 
 
-@query(["v_lines"], "select id, case when price >= 10 then price end::double as price_value, currency, case when price >= 10 then price::varchar else '' end as price_text from v_lines")
+@query(["v_lines"], "select id, case when price >= 10 then price end::double as price_value, currency, case when price >= 10 then price::varchar else '' end as price_text from v_lines", heavy=True)
 def x6_price_v2(lines):
     """Prices with their currency, among years, pages, sizes and percentages."""
     p = money.list_price(F.col("text"))
     return _hard(lines).select("id", p["price_value"].alias("price_value"), p["currency"].alias("currency"), p["price_text"].alias("price_text"))
 
 
-@query(["v_lines"], "select id, case when price >= 10 then price end::double as price_value, currency from v_lines")
+@query(["v_lines"], "select id, case when price >= 10 then price end::double as price_value, currency from v_lines", heavy=True)
 def x9_guide_price(lines):
     p = money.guide_price(F.col("text"))
     return _hard(lines).select("id", p["price_value"].alias("price_value"), p["currency"].alias("currency"))
 
 
-@query(["v_lines"], "select id, price::double as price_value, currency from v_lines")
+@query(["v_lines"], "select id, price::double as price_value, currency from v_lines", heavy=True)
 def x10_shop_price(lines):
     p = money.shop_price(F.concat(F.col("text"), F.lit(" 750 ml")))
     return _hard(lines).select("id", p["price_value"].alias("price_value"), p["currency"].alias("currency"))
 
 
-@query(["v_lines"], "select id, currency from v_lines")
+@query(["v_lines"], "select id, currency from v_lines", heavy=True)
 def x11_currency(lines):
     return lines.select("id", money.currency_in(F.col("text")).alias("currency"))
 
 
-@query(["v_lines"], "select id, vintage from v_lines")
+@query(["v_lines"], "select id, vintage from v_lines", heavy=True)
 def x13_vintage(lines):
     return lines.select("id", money.vintage(F.col("text")).alias("vintage"))
 
 
 @query(["v_lines"], """
-  select id, case when price < 10 or price between 1900 and 2099 then null when id % 2 = 0 and price between 10000 and 500099 and price % 100 between 1 and 80 then price // 100 else price end::double as price_value from v_lines""")
+  select id, case when price < 10 or price between 1900 and 2099 then null when id % 2 = 0 and price between 10000 and 500099 and price % 100 between 1 and 80 then price // 100 else price end::double as price_value from v_lines""", heavy=True)
 def x7_hosted_price(lines):
     """Prices without a currency, apart from the glass price that may be written onto them, by country; a bare year is none."""
     bare = F.concat_ws(", ", "vintage", "name", F.col("price").cast("string"))
@@ -52,13 +52,13 @@ def x7_hosted_price(lines):
     return lines.select("id", money.hosted_price(bare, country)["price_value"].alias("price_value"))
 
 
-@query(["v_lines"], "select id, [375, 500, 700, 750, 1000, 1500, 3000, 6000][id % 8 + 1] as size_ml from v_lines")
+@query(["v_lines"], "select id, [375, 500, 700, 750, 1000, 1500, 3000, 6000][id % 8 + 1] as size_ml from v_lines", heavy=True)
 def x14_size(lines):
     sizes = F.array(*map(F.lit, [375, 500, 700, 750, 1000, 1500, 3000, 6000]))
     return lines.select("id", money.size_ml(F.concat_ws(" ", F.col("text"), F.get(sizes, (F.col("id") % 8).cast("int")).cast("string"), F.lit("ML"))).alias("size_ml"))
 
 
-@query(["v_lines"], "select id, case when id % 2 = 0 then floor(price / 100) else price + 0.5 end::double as value from v_lines")
+@query(["v_lines"], "select id, case when id % 2 = 0 then floor(price / 100) else price + 0.5 end::double as value from v_lines", heavy=True)
 def x8_numbers(lines):
     """Written numbers with separators of both kinds and O for 0, back to their values."""
     cents = F.format_string("%.2f", F.floor(F.col("price") / 100).cast("double"))
@@ -76,7 +76,7 @@ def x4_slug(part):
     return part.select("p_partkey", text.slugify(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")"))).alias("slug"))
 
 
-@query(["documents"], "select doc_id, md5(strip_accents(replace(lower(text), 'ß', 'ss'))) as folded from documents")
+@query(["documents"], "select doc_id, md5(strip_accents(replace(lower(text), 'ß', 'ss'))) as folded from documents", heavy=True)
 def t1_fold(docs):
     return docs.select("doc_id", F.md5(text.fold("text")).alias("folded"))
 

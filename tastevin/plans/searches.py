@@ -16,7 +16,7 @@ _FOLD = "strip_accents(replace(lower({c}), 'ß', 'ss'))"
 @query(["v_products", "v_merchants"], """
   select p.id, p.name, m.name as merchant, p.price, p.vintage from v_products p join v_merchants m on p.merchant_id = m.id
   where m.active and contains(lower(concat_ws(' ', m.name, p.name, p.brand)), 'red') and contains(lower(concat_ws(' ', m.name, p.name, p.brand)), 'widget')
-    and contains(lower(m.city), 'city') order by p.price nulls last, p.seen_at desc, m.name, p.id limit 100""")
+    and contains(lower(m.city), 'city') order by p.price nulls last, p.seen_at desc, m.name, p.id limit 100""", heavy=True)
 def t5_shop_search(products, merchants):
     """All tokens over product and merchant, city filter, cheapest first."""
     return search.shop_search(products, merchants, SearchParams("Red WIDGET", city="city", limit=100)).select("id", "name", "merchant", "price", "vintage")
@@ -26,7 +26,7 @@ def t5_shop_search(products, merchants):
   with w as (select doc_id, {_FOLD.format(c="text")} as f from documents),
   x as (select doc_id, f, regexp_extract_all(f, '[\\p{{L}}\\p{{N}}_]+') as ws from w)
   select doc_id from x where (contains(f, 'ofthe') or list_has_any(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ws[i + 1] || ws[i + 2])),
-    ['ofthe', 'fothe', 'otfhe', 'ofhte', 'ofteh'])) and contains(f, 'and')""")
+    ['ofthe', 'fothe', 'otfhe', 'ofhte', 'ofteh'])) and contains(f, 'and')""", heavy=True)
 def t3_fuzzy_tokens(docs):
     """Joined words and one swap of neighbours, without a UDF."""
     return docs.where(text.matches_all(["ofthe", "and"], text.fold("text"))).select("doc_id")
@@ -35,7 +35,7 @@ def t3_fuzzy_tokens(docs):
 @query(["documents"], f"""
   with h as (select source, doc_id, n_chars from documents where contains({_FOLD.format(c="text")}, 'thing')),
   r as (select *, row_number() over (partition by source order by n_chars desc, doc_id) as rn from h)
-  select source, doc_id, n_chars from r where rn = 1""")
+  select source, doc_id, n_chars from r where rn = 1""", heavy=True)
 def t7_first_per_source(docs):
     hits = docs.where(text.matches_all(["thing"], text.fold("text"))).select("source", "doc_id", "n_chars")
     return search.distinct_by(hits, [F.col("source")], [F.desc("n_chars"), F.col("doc_id")])
@@ -45,7 +45,7 @@ def t7_first_per_source(docs):
   select * from (
     (select 0 as arm, id, row_number() over (order by price nulls last, id) as rank from v_lines where contains(lower(text), 'blue') and contains(lower(text), 'bolt') order by price nulls last, id limit 50)
     union all (select 1, id, row_number() over (order by id) from v_entries where contains(lower(text), 'blue') and contains(lower(text), 'bolt') order by id limit 50)
-    union all (select 2, id, row_number() over (order by price nulls last, id) from v_products where contains(lower(name), 'blue') and contains(lower(name), 'bolt') order by price nulls last, id limit 50))""")
+    union all (select 2, id, row_number() over (order by price nulls last, id) from v_products where contains(lower(name), 'blue') and contains(lower(name), 'bolt') order by price nulls last, id limit 50))""", heavy=True)
 def t8_integrated_union(lines, entries, products):
     """Three arms, each with its own order and limit, one after the other."""
     p = SearchParams("blue bolt")
@@ -57,7 +57,7 @@ def t8_integrated_union(lines, entries, products):
     return search.ranked_union(arms, 50).select("arm", "id", "rank")
 
 
-@query(["v_lines"], "select id, text from v_lines where contains(lower(text), 'small') and contains(lower(text), 'ring') and contains(lower(text), 'economy') and (vintage = '1999' or contains(text, '1999'))")
+@query(["v_lines"], "select id, text from v_lines where contains(lower(text), 'small') and contains(lower(text), 'ring') and contains(lower(text), 'economy') and (vintage = '1999' or contains(text, '1999'))", heavy=True)
 def t10_snapshot_search(lines):
     return search.snapshot_search(lines, SearchParams("small-ring ECONOMY", vintage="1999"), F.col("text")).select("id", "text")
 
@@ -72,7 +72,7 @@ def t11_hosted_search(lines):
 
 @query(["v_lines"], """
   with p as (select id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) as term from v_lines)
-  select id from p where term in ('red', 'gear') group by id having count(distinct term) = 2""")
+  select id from p where term in ('red', 'gear') group by id having count(distinct term) = 2""", heavy=True)
 def t4_index_search(lines):
     """Whole words through a posting list."""
     return search.index_search(search.index_terms(lines, "id", "text"), ["red", "gear"], "id")
@@ -80,7 +80,7 @@ def t4_index_search(lines):
 
 @query(["v_lines", "v_watch"], """
   select l.id, w.keyword, w.vintage as watch_vintage from v_lines l join v_watch w
-    on list_bool_and(list_transform(string_split(w.keyword, ' '), lambda t: contains(lower(regexp_replace(l.text, '[^A-Za-z0-9]+', ' ', 'g')), t))) and (w.vintage = '' or contains(l.text, w.vintage))""")
+    on list_bool_and(list_transform(string_split(w.keyword, ' '), lambda t: contains(lower(regexp_replace(l.text, '[^A-Za-z0-9]+', ' ', 'g')), t))) and (w.vintage = '' or contains(l.text, w.vintage))""", heavy=True)
 def w1_watch_match(lines, watches):
     return watch.matches(lines, watches).select("id", "keyword", "watch_vintage")
 
@@ -91,21 +91,21 @@ def w1_watch_match(lines, watches):
   g as (select *, first_seen > timestamp '2000-06-01' as is_new, checked_at >= timestamp '1998-01-01' and last_seen < timestamp '1998-01-01' as is_stale from h)
   select keyword, watch_vintage, count(*) as match_count, count(distinct restaurant) as restaurant_count, count(distinct case when is_new then restaurant end) as new_count, count(distinct case when is_stale then restaurant end) as stale_count,
     array_to_string(coalesce(list_sort(list(distinct restaurant) filter (where is_new))[1:20], []), ';') as new_restaurants, array_to_string(coalesce(list_sort(list(distinct restaurant) filter (where is_stale))[1:20], []), ';') as stale_restaurants
-  from g group by 1, 2""")
+  from g group by 1, 2""", heavy=True)
 def w2_watch_report(entries, targets, watches):
     rows = entries.join(targets.select(F.col("id").alias("target_id"), F.col("name").alias("restaurant")), "target_id").withColumn("checked_at", F.lit("1999-01-01").cast("timestamp"))
     return watch.report(watch.matches(rows, watches), F.lit("2000-06-01").cast("timestamp"), F.lit("1998-01-01").cast("timestamp"))
 
 
 @query(["v_lines", "v_watch"], """
-  select distinct w.keyword, w.vintage as watch_vintage, l.text from v_lines l join v_watch w on contains(lower(l.text), w.keyword) and (w.vintage = '' or contains(l.text, w.vintage))""")
+  select distinct w.keyword, w.vintage as watch_vintage, l.text from v_lines l join v_watch w on contains(lower(l.text), w.keyword) and (w.vintage = '' or contains(l.text, w.vintage))""", heavy=True)
 def w3_watch_export(lines, watches):
     return watch.matches(lines, watches, how="phrase").select("keyword", "watch_vintage", "text").distinct()
 
 
 @query(["v_lines", "v_watch"], """
   select l.id, w.keyword, w.vintage as watch_vintage from v_lines l join v_watch w
-    on contains(trim(regexp_replace(lower(l.text), '[^a-z0-9]+', ' ', 'g')), w.keyword) and (w.vintage = '' or contains(l.text, w.vintage))""")
+    on contains(trim(regexp_replace(lower(l.text), '[^a-z0-9]+', ' ', 'g')), w.keyword) and (w.vintage = '' or contains(l.text, w.vintage))""", heavy=True)
 def w4_watch_collector(lines, watches):
     return watch.matches(lines, watches, how="plain").select("id", "keyword", "watch_vintage")
 

@@ -55,6 +55,13 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give them too few partitions (small files of one row group each), for work that is
+    all CPU. Large inputs have partitions enough and are left as they are, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < 2 * n else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation by name, base table or view."""
     if name in BASE:
