@@ -78,16 +78,21 @@ def source_evidence(lines: DataFrame, key: str, line: str = "line", vocabulary:
         count(F.col("is_kind")).alias("n_kind"), count(F.col("has_vintage") | F.col("has_nv")).alias("n_vintage"), count(F.col("has_currency")).alias("n_currency"))
 
 
-def source_confidence(e: DataFrame, is_pdf: Column, signal: Column, generic: Column, link_score: Column) -> DataFrame:
-    """score and reason for evidence rows: the first test that fails gives the reason; 120 or more is accepted."""
+def source_confidence(e: DataFrame, is_pdf: Column, signal: Column, generic: Column, link_score: Column, event_page: Column | None = None, list_host: Column | None = None) -> DataFrame:
+    """score and reason for evidence rows: the first test that fails gives the reason; 120 or more is accepted. A page about an
+    event is none whatever it holds."""
+    event_page, list_host = (F.lit(False) if c is None else c for c in (event_page, list_host))
     n = {c: F.col(f"n_{c}") for c in ("lines", "priced", "core", "producer", "prestige", "kind", "vintage", "currency")}
     reason = (
-        F.when(n["lines"] < 5, "few lines").when(n["priced"] < 5, "few prices").when((n["core"] < 2) & (n["prestige"] < 1) & (n["producer"] < 3), "weak identity")
+        F.when(event_page, "event page").when(n["lines"] < 5, "few lines").when(n["priced"] < 5, "few prices").when((n["core"] < 2) & (n["prestige"] < 1) & (n["producer"] < 3), "weak identity")
         .when((n["vintage"] < 3) & (n["currency"] < 3), "weak vintage").when(generic & ~is_pdf & (n["lines"] < 8), "generic page").when(~signal & (n["lines"] < 8), "no list address")
     )
     add = lambda test, k: F.when(test, k).otherwise(0)
-    full = link_score + add(is_pdf, 30) + add(signal, 40) + F.least(n["lines"], F.lit(10)) * 12 + add(n["lines"] >= 3, 30) + add(n["currency"] >= 2, 20) + add(n["vintage"] >= 2, 20) + add(n["core"] >= 1, 45) + add(n["kind"] >= 2, 35)
-    score = F.when(reason.isNotNull(), link_score).otherwise(full)
+    full = (
+        link_score + add(is_pdf, 30) + add(list_host, 80) + add(signal, 40) + F.least(n["lines"], F.lit(10)) * 12 + add(n["lines"] >= 3, 30)
+        + add(n["currency"] >= 2, 20) + add(n["vintage"] >= 2, 20) + add(n["core"] >= 1, 45) + add(n["kind"] >= 2, 35)
+    )
+    score = F.when(event_page, 0).when(reason.isNotNull(), link_score).otherwise(full)
     return e.withColumn("score", score.cast("long")).withColumn("reason", F.coalesce(reason, F.when(full < 120, "low score"), F.lit("")))
 
 

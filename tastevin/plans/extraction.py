@@ -63,15 +63,15 @@ def x16_line_score(lines):
   with v as (select distinct list_id, concat_ws(', ', case when id % 5 <> 1 then vintage end, name, case when id % 5 = 4 then 'dinner for two' end, case id % 5 when 2 then price::varchar when 3 then null else currency || ' ' || price end) as text,
     split_part(name, ' ', 2) as noun, id % 5 <> 1 or price between 1900 and 2099 as dated, id % 5 <> 3 and (id % 5 <> 2 or price not between 1900 and 2099) as priced, id % 5 not in (2, 3) as coined from v_lines),
   e as (select list_id, count(*) as n, sum(priced::int) as p, sum((noun in ('widget', 'bolt', 'gear'))::int) as c, sum((noun = 'widget')::int) as m, sum((noun = 'rod')::int) as g, sum((noun in ('widget', 'bolt'))::int) as k, sum(dated::int) as v, sum(coined::int) as y from v group by 1),
-  j as (select e.*, source_type = 'pdf' as pdf, contains(url, '/wine/') as signal, id % 5 = 0 as generic, id % 90 as link from e join v_sources on id = list_id),
-  r as (select *, case when n < 5 then 'few lines' when p < 5 then 'few prices' when c < 2 and g < 1 and m < 3 then 'weak identity' when v < 3 and y < 3 then 'weak vintage' when generic and not pdf and n < 8 then 'generic page' when not signal and n < 8 then 'no list address' end as why,
-    link + 30 * pdf::int + 40 * signal::int + 12 * least(n, 10) + 30 * (n >= 3)::int + 20 * (y >= 2)::int + 20 * (v >= 2)::int + 45 * (c >= 1)::int + 35 * (k >= 2)::int as total from j)
-  select list_id, coalesce(why, case when total < 120 then 'low score' else '' end) as reason, (case when why is null then total else link end)::bigint as score from r""", heavy=True)
+  j as (select e.*, source_type = 'pdf' as pdf, contains(url, '/wine/') as signal, id % 5 = 0 as generic, id % 90 as link, id % 17 = 0 as event, id % 7 = 0 as host from e join v_sources on id = list_id),
+  r as (select *, case when event then 'event page' when n < 5 then 'few lines' when p < 5 then 'few prices' when c < 2 and g < 1 and m < 3 then 'weak identity' when v < 3 and y < 3 then 'weak vintage' when generic and not pdf and n < 8 then 'generic page' when not signal and n < 8 then 'no list address' end as why,
+    link + 30 * pdf::int + 80 * host::int + 40 * signal::int + 12 * least(n, 10) + 30 * (n >= 3)::int + 20 * (y >= 2)::int + 20 * (v >= 2)::int + 45 * (c >= 1)::int + 35 * (k >= 2)::int as total from j)
+  select list_id, coalesce(why, case when total < 120 then 'low score' else '' end) as reason, (case when event then 0 when why is null then total else link end)::bigint as score from r""", heavy=True)
 def x17_source_confidence(lines, sources):
     """Reason and score of each list by the decision list over all its evidence."""
     evidence = extract.source_evidence(_varied(lines), "list_id", "text", vocabulary=_MARKS)
-    facts = sources.select(F.col("id").alias("list_id"), (F.col("source_type") == "pdf").alias("pdf"), F.contains("url", F.lit("/wine/")).alias("signal"), (F.col("id") % 5 == 0).alias("generic"), (F.col("id") % 90).alias("link"))
-    out = extract.source_confidence(evidence.join(facts, "list_id"), *map(F.col, ("pdf", "signal", "generic", "link")))
+    facts = sources.select(F.col("id").alias("list_id"), (F.col("source_type") == "pdf").alias("pdf"), F.contains("url", F.lit("/wine/")).alias("signal"), (F.col("id") % 5 == 0).alias("generic"), (F.col("id") % 90).alias("link"), web.is_event_page(F.when(F.col("id") % 17 == 0, "/en/Events/dinner").otherwise("/en/list")).alias("event"), (F.col("id") % 7 == 0).alias("host"))
+    out = extract.source_confidence(evidence.join(facts, "list_id"), *map(F.col, ("pdf", "signal", "generic", "link", "event", "host")))
     return out.select("list_id", "reason", "score")
 
 

@@ -50,3 +50,21 @@ def test_phase_eta(spark):
 def test_list_country(spark):
     df = spark.createDataFrame([("CA", True), ("CA", False), ("UK", False)], "c string, us boolean")
     assert [r["country_code"] for r in places.list_country(df, "c", us_hint=F.col("us")).orderBy(F.desc("us"), "c").collect()] == ["US", "CA", "GB"]
+
+
+def test_small_helpers(spark):
+    """Titles, stored times, hashes, totals nearby, first hits of sources, targets whose parts are all there."""
+    from tastevin.functions import misc, web
+    from tastevin.operators import search
+    from tastevin.streaming import offers
+
+    one = lambda value, expr: spark.createDataFrame([(value,)], "x string").select(expr(F.col("x"))).first()[0]
+    assert one("<head><title lang=en> A &amp; B\n</title>", web.html_title) == "A & B"
+    assert one("2026-05-16 10:00:00", misc.parse_time) == one("2026-05-16T10:00:00+00:00", misc.parse_time) is not None and one("soon", misc.parse_time) is None
+    assert one("a", lambda c: misc.stable_hash(c, F.lit(None).cast("string").alias("y"))) != one("b", lambda c: misc.stable_hash(c, F.lit(None).cast("string").alias("y")))
+    points = spark.createDataFrame([(48.85, 2.35), (48.86, 2.35), (50.0, 2.35), (None, None)], "lat double, lng double")
+    assert dashboard.nearby_total(points, 48.85, 2.35, 5.0).first()["n"] == 2
+    rows = spark.createDataFrame([(1, "a", "Rayas"), (2, "a", "Rayas"), (3, "b", "Krug"), (4, "b", "rayas 2")], "id long, source string, text string")
+    assert [r["id"] for r in search.first_per_source(rows, search.SearchParams("rayas"), "source", ["id"], "text").collect()] == [1, 4]
+    parts = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "k long, expected int")
+    assert [r["k"] for r in offers.complete_targets(parts, "k", "expected").collect()] == [1]

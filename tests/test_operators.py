@@ -3,6 +3,8 @@
 import base64
 import gzip
 import json
+import re
+import unicodedata
 import zipfile
 
 from pyspark.sql import functions as F
@@ -111,3 +113,33 @@ def test_streamed_offers_equal_the_batch(spark, tmp_path):
         q.awaitTermination(60)
     got = spark.read.parquet(history)
     assert got.count() == 2 == offers.offer_history(df).count()
+
+
+def test_watches_never_meet_all_lines(spark):
+    """20,000 watches: an equi-join, with the hits that all pairs give."""
+    from tastevin.operators import watch
+
+    words = ["red", "blue", "old", "new", "widget", "bolt", "gear", "é8", "x"]
+    lines = [(k, f"{words[k % 9].title()} {words[k % 7]}-{k % 50}, {1990 + k % 20}") for k in range(300)]
+    watches = [(f"{words[k % 9]} {k % 70}", str(1990 + k % 20) if k % 3 == 0 else "") for k in range(20_000)] + [("", ""), ("--", "")]
+    a, b = spark.createDataFrame(lines, "id long, text string"), spark.createDataFrame(watches, "keyword string, vintage string").distinct()
+    for how in ("tokens", "phrase", "plain"):
+        hits = watch.matches(a, b, how=how)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    hits = watch.matches(a, b).select("id", "keyword", "watch_vintage")
+    fold = lambda s: re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFD", s.lower()).encode("ascii", "ignore").decode()).strip()
+    want = {(k, w, v) for k, t in lines for w, v in set(watches) if fold(w) and all(x in fold(t) for x in fold(w).split()) and v in t}
+    assert sorted(map(tuple, hits.collect())) == sorted(want)
+
+
+def test_watch_report_shows_the_first_names(spark):
+    from tastevin.operators import watch
+
+    rows = [("k", "", f"r{j:02d}", j % 2, j) for j in range(60)] + [("k", "", None, 1, 1), ("k", "", "r01", 0, 0), ("z", "1", None, 0, 0)]
+    hits = spark.createDataFrame(rows, "keyword string, watch_vintage string, restaurant string, first_seen int, last_seen int").withColumn("checked_at", F.lit(5))
+    got = {r["keyword"]: r for r in watch.report(hits, F.lit(0), F.lit(5)).collect()}
+    k = got["k"]
+    assert (k["match_count"], k["restaurant_count"], k["new_count"], k["stale_count"]) == (62, 60, 30, 5)
+    assert k["new_restaurants"] == ";".join(f"r{j:02d}" for j in range(1, 40, 2)) and k["stale_restaurants"] == ";".join(f"r{j:02d}" for j in range(5))
+    assert (got["z"]["match_count"], got["z"]["restaurant_count"], got["z"]["new_restaurants"]) == (1, 0, "")
