@@ -40,9 +40,9 @@ BANDS = 16
 DARTS = COORDINATES * (float(np.log(COORDINATES)) + 3)
 #: A group holds about so many rows, or bytes of text, at most (a longer text is a group of its own).
 GROUP = 512
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 BLOCK = 2048
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Agreement below which a pair isn't compared: at similarity 0.8 a pair is below with a chance of 0.0002.
 LIKELY = 0.62
 _U = np.uint64
