@@ -11,9 +11,8 @@ A BPE model's ids are by definition those of its merges. These are found by the
 of the sum: merging the text of two tokens gives these two again if and only if they can stand side by side, and a row of tokens is
 the merged form of its text if and only if each two neighbours can (a merge across a border sees only the two tokens beside
 it until it happens). So of all pieces that end at a place just one can follow the token that ends where it starts, and the
-maximum is over what can. Whether two pieces can stand side by side is found by merging the text of the two (`merges`, in
-batches of equal length again), once for each pair, and kept in a bounded table of the worker. The method follows the
-model's type. Characters that no piece covers become byte pieces if the model has them, else unknown.
+maximum is over what can. Whether two pieces can stand side by side is found by merging the text of the two, once for each
+pair, and kept in a bounded table of the worker. The method follows the model's type. Characters that no piece covers become byte pieces if the model has them, else unknown.
 
 Decoding concatenates the pieces' bytes and takes off the blank that encoding put in front.
 
@@ -37,7 +36,9 @@ from .textbatch import chunks, mix, prefix_sums, span_hashes
 
 MODEL = "piece_bpe_32k.model"
 LONG = 96
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Characters of units that are worked on at once; each takes some ten numbers for every start of a piece.
+CELLS = 1 << 17
 _BLANK = "▁"
 _NONE = -np.inf
 
@@ -92,7 +93,7 @@ class Pieces:
             raise ValueError("two pieces share a key")
         self.longest = max(len(x.decode()) for x in spelled)
         self.penalty = min(scores) - 10.0  # of a character that no piece covers, as the library's unigram search has it
-        self.pairs = Pairs()
+        self.pairs, self.spelled = Pairs(), dict(zip(spelled, scores, strict=True))
         # place of the key of each slot, -1 without one; where several share a slot, binary search finds theirs
         self.slots, at = np.full(1 << 20, -1, np.int32), (self.keys >> np.uint64(44)).astype(np.int64)
         self.slots[at] = np.arange(len(at))
@@ -123,37 +124,8 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def merges(p: Pieces, sums: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """cuts: a row of character places for each unit of one length. Returns (rows, their final cuts) as rows end."""
-    rows, out = np.arange(len(cuts)), []
-    n, m = cuts.shape
-    score = p.score(span_hashes(sums, cuts[:, :-2].ravel(), cuts[:, 2:].ravel())).reshape(n, m - 2) if m > 2 else np.zeros((n, 0))
-    while m > 2 and len(rows):
-        best = score.argmax(1)
-        on = score[np.arange(len(rows)), best] > _NONE
-        if not on.all():
-            out.append((rows[~on], cuts[~on]))
-            rows, cuts, score, best = rows[on], cuts[on], score[on], best[on]
-        if not len(rows):
-            break
-        n, m = len(rows), m - 1
-        keep = np.ones((n, m + 1), bool)
-        keep[np.arange(n), best + 1] = False
-        cuts = cuts[keep].reshape(n, m)
-        keep = np.ones((n, m - 1), bool)
-        keep[np.arange(n), best] = False
-        score = score[keep].reshape(n, m - 2)
-        for side in (best - 1, best):  # the pairs on both sides of the new symbol
-            r = np.flatnonzero((side >= 0) & (side < m - 2))
-            s = side[r]
-            score[r, s] = p.score(span_hashes(sums, cuts[r, s], cuts[r, s + 2]))
-    if len(rows):
-        out.append((rows, cuts))
-    return out
-
-
 def merge_long(p: Pieces, sums: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The same for one long unit, with a heap of pairs: n log n steps."""
+    """Merged form of one long unit, with a heap of pairs: n log n steps. cuts: its characters' places."""
     n = len(cuts) - 1
     before, after, end, alive = list(range(-1, n - 1)), [*range(1, n), -1], cuts[1:].tolist(), [True] * n
     start = cuts[:-1].tolist()
@@ -179,7 +151,7 @@ class Pairs:
     """Which pieces can stand side by side, as far as asked: two tables of slots, bounded; a pair whose slots are taken pushes
     out the later one and is found again when it is asked for."""
 
-    SLOTS = 21
+    SLOTS = 19
 
     def __init__(self):
         self.tables = np.zeros((2, 1 << self.SLOTS), np.uint64)
@@ -207,7 +179,25 @@ class Pairs:
         self.tables[1][second[late]] = value[late]
 
 
-def side_by_side(p: Pieces, sums: np.ndarray, cuts: np.ndarray, row: np.ndarray, left: np.ndarray, mid: np.ndarray, end: int) -> np.ndarray:
+def stays(p: Pieces, raw: bytes, ends: list[int], mid: int) -> bool:
+    """Whether merging a text of characters that begin and end at the places gives two symbols with the border mid (one symbol,
+    if mid is its start)."""
+    ends = list(ends)
+    find, first = p.spelled.get, ends[0]
+    while True:
+        best, at = _NONE, -1
+        for k in range(len(ends) - 2):
+            score = find(raw[ends[k] : ends[k + 2]], _NONE)
+            if score > best:
+                best, at = score, k
+        if at < 0:
+            return len(ends) == (3 if mid > first else 2)
+        if ends[at + 1] == mid:
+            return False
+        del ends[at + 1]
+
+
+def side_by_side(p: Pieces, raw: bytes, sums: np.ndarray, cuts: np.ndarray, row: np.ndarray, left: np.ndarray, mid: np.ndarray, end: int) -> np.ndarray:
     """Whether the piece from place mid to place end of each row can follow that from left to mid; without one (mid 0), whether it
     is its own merged form."""
     a, b, c = cuts[row, left], cuts[row, mid], cuts[row, end]
@@ -216,26 +206,17 @@ def side_by_side(p: Pieces, sums: np.ndarray, cuts: np.ndarray, row: np.ndarray,
     can = p.pairs.known(key)
     new = np.flatnonzero(can < 0)
     if len(new):
-        names, one = np.unique(key[new], return_index=True)
+        # few and short once a worker is warm, so one by one
+        names, one, code = np.unique(key[new], return_index=True, return_inverse=True)
         one = new[one]
-        found = np.zeros(len(one), bool)
-        size = end - left[one]
-        for n in np.unique(size).tolist():
-            of = np.flatnonzero(size == n)
-            inner = cuts[row[one[of]][:, None], left[one[of]][:, None] + np.arange(n + 1)]
-            for r, ends in merges(p, sums, inner):
-                first = mid[one[of[r]]] == 0
-                if ends.shape[1] == 2:
-                    found[of[r]] = first
-                elif ends.shape[1] == 3:
-                    found[of[r]] = ~first & (ends[:, 1] == b[one[of[r]]])
+        found = np.array([stays(p, raw, cuts[r, i : end + 1].tolist(), m) for r, i, m in zip(row[one].tolist(), left[one].tolist(), b[one].tolist(), strict=True)])
         p.pairs.add(names, found)
-        can[new] = found[np.searchsorted(names, key[new])]
+        can[new] = found[code]
     return can > 0
 
 
-def viterbi(p: Pieces, sums: np.ndarray, cuts: np.ndarray, scores: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """cuts as in merges. The best segmentations (of the greatest sum of scores, or else of pieces that can stand side by
+def viterbi(p: Pieces, sums: np.ndarray, cuts: np.ndarray, scores: bool = True, raw: bytes = b"") -> list[tuple[np.ndarray, np.ndarray]]:
+    """cuts: a row of character places for each unit of one length. The best segmentations (of the greatest sum of scores, or else of pieces that can stand side by
     side), grouped by their number of pieces, and so in matrices again."""
     n, m = cuts.shape
     best, back = np.full((n, m), _NONE), np.zeros((n, m), np.int64)
@@ -251,7 +232,7 @@ def viterbi(p: Pieces, sums: np.ndarray, cuts: np.ndarray, scores: bool = True)
             there = (at >= 0).reshape(n, end - low)
             there[:, -1] = True  # any character alone
             row, k = np.nonzero(there)
-            can = side_by_side(p, sums, cuts, row, back[row, k + low], k + low, end)
+            can = side_by_side(p, raw, sums, cuts, row, back[row, k + low], k + low, end)
             total = np.full((n, end - low), _NONE)
             total[row[can], k[can]] = 0.0
         k = total.argmax(1)
@@ -288,7 +269,7 @@ def units(data: np.ndarray, at: np.ndarray):
 
 def segment(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids of all the units one after the other, and how many each has."""
-    sums = prefix_sums(data)
+    sums, raw = prefix_sums(data), data.tobytes()
     h = span_hashes(sums, start, end)
     _, sample, code = np.unique(h, return_index=True, return_inverse=True)
     s, e = start[sample], end[sample]
@@ -299,13 +280,13 @@ def segment(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for n in np.unique(length).tolist():
         rows = np.flatnonzero(length == n)
-        for k in range(0, len(rows), max(1, (1 << 19) // (n + 1))):
-            part = rows[k : k + max(1, (1 << 19) // (n + 1))]
+        for k in range(0, len(rows), max(1, CELLS // (n + 1))):
+            part = rows[k : k + max(1, CELLS // (n + 1))]
             cuts = edges[low[part][:, None] + np.arange(n + 1)]
             if n > LONG and not p.unigram:
                 done = [(np.array([i]), merge_long(p, sums, c)[None]) for i, c in enumerate(cuts)]
             else:
-                done = viterbi(p, sums, cuts, p.unigram)
+                done = viterbi(p, sums, cuts, p.unigram, raw)
             found += [(part[r], c) for r, c in done]
     # spans of all distinct units in order of the units
     sizes = np.zeros(len(s), np.int64)
