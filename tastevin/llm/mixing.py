@@ -56,26 +56,41 @@ def _uniform() -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
+def running(df: DataFrame, order: list[str], sums: dict[str, str], scratch: Scratch) -> DataFrame:
+    """df with turn, its row's number in order (a key), and for each name of sums the sum of that column over the rows before.
+
+    Rows are dealt to ranges of the order, numbered and summed within each, and the ranges' totals are added up: no task sees
+    more than its range, however many rows there are."""
+    ranged = scratch.stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranged")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over a row for each range
+    totals = ranged.groupBy("part").agg(F.count("*").alias("part_n"), *(F.sum(c).alias(f"part_{n}") for n, c in sums.items()))
+    starts = totals.select("part", *(F.coalesce(F.sum(f"part_{n}").over(before), F.lit(0)).alias(f"part_{n}") for n in ("n", *sums)))
+    within = W.partitionBy("part").orderBy(*order)
+    upto = within.rowsBetween(W.unboundedPreceding, -1)
+    rows = ranged.withColumns({"turn": F.row_number().over(within), **{n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}}).join(starts, "part")
+    return rows.withColumns({"turn": F.col("turn") + F.col("part_n"), **{n: F.col(n) + F.col(f"part_{n}") for n in sums}}).drop("part", "part_n", *(f"part_{n}" for n in sums))
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int, scratch: Scratch) -> DataFrame:
     """A row for each source: its words, weight and target. sizes: (source_null, source_key, words), a row for each source.
 
     The share of all words is dealt by weight; a source over its cap (most times its words) keeps the cap and the excess
     is dealt again. In order of cap / weight the capped sources come first, so the level of the others is a prefix sum.
     """
-    by_name = W.orderBy("source_null", "source_key")
-    level = W.orderBy("ratio", "source_null", "source_key")
-    total = W.partitionBy()
+    turn = F.pmod(F.col("turn") - 1, F.lit(len(weights))) + 1
     dealt = (
-        sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
+        running(sizes, _KEY, {}, scratch)
+        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int")).cast("long")).drop("turn")
         .withColumn("cap", F.lit(most) * F.col("words"))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("before", F.coalesce(F.sum("cap").over(level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("after", F.sum("weight").over(level.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("theta", (F.lit(share) * F.sum("words").over(total) - F.col("before")) / F.col("after"))
     )
-    found = dealt.withColumn("level", F.min(F.when(F.col("theta") <= F.col("ratio"), F.struct("ratio", "source_null", "source_key", "theta"))).over(total)["theta"])
-    target = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    return found.select(*_KEY, "words", "weight", target.alias("target"))
+    levelled = scratch.stored(running(dealt, ["ratio", *_KEY], {"caps": "cap", "weighed": "weight"}, scratch), "mix-levels")
+    whole = levelled.agg(F.sum("words").alias("words"), F.sum("weight").alias("weight")).first()
+    theta = (F.lit(share) * F.lit(whole["words"] or 0) - F.col("caps")) / (F.lit(whole["weight"] or 0) - F.col("weighed"))
+    first = levelled.withColumn("theta", theta).where("theta <= ratio").agg(F.min(F.struct("ratio", *_KEY, "theta"))["theta"].alias("level")).first()
+    cap = F.col("cap").cast("double")
+    target = cap if first["level"] is None else F.least(cap, F.lit(first["level"]) * F.col("weight"))
+    return levelled.select(*_KEY, "words", "weight", target.alias("target"))
 
 
 def copies(classes: DataFrame, goal: DataFrame, most: int = MOST_COPIES) -> DataFrame:
@@ -109,7 +124,7 @@ def _planned(docs: DataFrame, weights, share: float, bins: int, scratch: Scratch
     """The measured rows with rank and decision, the rule for each source and class, and each source's target."""
     rows = scratch.stored(measured(docs), "mix-sizes")
     classes = scratch.stored(rows.groupBy(*_KEY, "cls").agg(F.sum("size").alias("words")), "mix-classes")
-    goal = scratch.stored(targets(classes.groupBy(*_KEY).agg(F.sum("words").alias("words")), weights, share), "mix-targets")
+    goal = scratch.stored(targets(classes.groupBy(*_KEY).agg(F.sum("words").alias("words")), weights, share, MOST_COPIES, scratch), "mix-targets")
     rule = scratch.stored(copies(classes, goal), "mix-rule")
     ranked = _ranked(rows, rule).withColumn("bin", F.floor(F.col("v") * bins).cast("int"))
     sums = ranked.where("bin is not null").groupBy(*_KEY, "bin").agg(F.sum("size").alias("inside"))
