@@ -72,6 +72,26 @@ def test_mix_reaches_targets(spark):
         assert abs(r["n"] - r["t"]) <= 30
 
 
+def test_targets_by_brute_force(spark):
+    """Shares dealt by weight, the excess of full sources dealt again until none is above, for more sources than ranges."""
+    rng = random.Random(2)
+    rows = [(k % 50 == 49, f"s{rng.randrange(10**9):09d}", rng.choice([0, 3, 50, 7000, rng.randrange(1, 10**6)])) for k in range(300)]
+    with mixing.Scratch() as scratch:
+        got = {(r["source_null"], r["source_key"]): (r["weight"], r["target"]) for r in mixing.targets(spark.createDataFrame(rows, "source_null boolean, source_key string, words long"), (5, 2, 1), 1.5, 2, scratch).collect()}
+    rows.sort()
+    weight = {r[:2]: (5, 2, 1)[k % 3] for k, r in enumerate(rows)}
+    cap, left, full = {r[:2]: 2 * r[2] for r in rows}, 1.5 * sum(r[2] for r in rows), set()
+    while True:
+        level = (left - sum(cap[k] for k in full)) / sum(w for k, w in weight.items() if k not in full)
+        more = {k for k in cap if k not in full and level * weight[k] > cap[k]}
+        if not more:
+            break
+        full |= more
+    for k in cap:
+        assert got[k][0] == weight[k] and abs(got[k][1] - (cap[k] if k in full else level * weight[k])) < 1e-6 * max(level, 1)
+    assert len(got) == len(rows)
+
+
 def test_rules(docs, none):
     counted = {r["doc_id"]: r for r in quality_rules.rules(docs).collect()}
     assert quality_rules.rules(none).count() == 0
@@ -570,6 +590,17 @@ def test_sentencepiece(docs, none):
     assert all((r["was"] or "") == r["text"] for r in back.collect())
 
 
+def test_decoding_of_nothing(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, [], "b"), (3, [5], None)], "doc_id long, token_ids array<int>, text string")
+    got = {r["doc_id"]: r["text"] for r in spm.decoded(rows, spm.model_path(), "doc_id", "text").collect()}
+    assert got[1] == got[2] == "" and isinstance(got[3], str)
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    df = spark.createDataFrame([(k, "same words here", a) for k in range(6) for a in ("bb", "aa")] + [(9, "same words here", None)], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in language.predict(df, df, "doc_id").collect()} == {("aa", 0.5)}
+
+
 def test_viterbi_by_brute_force():
     p = spm.pieces(spm.model_path())
     scores = {bytes(p.bytes[p.offsets[i] : p.offsets[i + 1]]): s for i, s in zip(p.ids, p.scores, strict=True)}
@@ -654,6 +685,13 @@ def test_vector_recall(spark, n):
     assert (got.loc[range(len(x))].to_numpy() <= want).all() and got.sum() >= 0.97 * want.sum() > 0
 
 
+def test_vectors_whose_pivots_tie(spark):
+    """Vectors along the axes: every other pivot is as far as the next."""
+    x = [np.eye(40)[k % 40] * (1 + k // 40) for k in range(120)]
+    got = {r["vec_id"]: r for r in embedding_dup.near_vectors(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert all((got[k]["n_links"], got[k]["component_id"]) == (2, k % 40) for k in range(120))
+
+
 def test_vectors_of_extreme_length(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(20, 8))
