@@ -98,6 +98,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB's SQL of the CRC-32 of an ASCII string, for oracles."""
+    steps = f"flatten(list_transform(range(length({text})), lambda i: [unicode(substr({text}, i + 1, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {steps}), lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end), 4294967295::bigint)"
+
+
 def components(edges: DataFrame, label: str, scratch: Scratch, most: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b) by alternating large-star and small-star steps.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dup, language, mixing, near_dup, quality_classifier, quality_rules, spm, suffix_dedup, token_counts, toxicity
+from . import embedding_dup, language, mixing, near_dup, periodic, quality_classifier, quality_rules, spm, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_pivot_permutation": embedding_dup.op10_pivot_permutation,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_adaptive_rules": quality_rules.SQL,
         "op8_suffix_dedup": suffix_dedup.SQL,
         "op10_pivot_permutation": embedding_dup.SQL,
+        "op11_periodic_runs": periodic.SQL,
     }
