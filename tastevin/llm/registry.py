@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dup, language, mixing, near_dup, periodic, quality_classifier, quality_rules, spm, suffix_dedup, token_counts, toxicity
+from . import embedding_dup, language, mixing, near_dup, periodic, quality_classifier, quality_rules, spm, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_pivot_permutation": embedding_dup.op10_pivot_permutation,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_warc": warc.op12_warc,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_suffix_dedup": suffix_dedup.SQL,
         "op10_pivot_permutation": embedding_dup.SQL,
         "op11_periodic_runs": periodic.SQL,
+        "op12_warc": warc.SQL,
     }
