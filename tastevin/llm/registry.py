@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dup, language, mixing, near_dup, periodic, quality_classifier, quality_rules, spm, suffix_dedup, token_counts, toxicity, warc
+from . import conversations, embedding_dup, language, mixing, near_dup, periodic, quality_classifier, quality_rules, spm, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_pivot_permutation": embedding_dup.op10_pivot_permutation,
         "op11_periodic_runs": periodic.op11_periodic_runs,
         "op12_warc": warc.op12_warc,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_pivot_permutation": embedding_dup.SQL,
         "op11_periodic_runs": periodic.SQL,
         "op12_warc": warc.SQL,
+        "op13_conversation_repair": conversations.SQL,
     }
