@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import search, watch
+from ..operators import fulltext, search, watch
 from ..operators.search import SearchParams
+from ..sources import shared
 from .registry import query
 
 _FOLD = "strip_accents(replace(lower({c}), 'ß', 'ss'))"
@@ -78,6 +79,50 @@ def t4_index_search(lines):
     return search.index_search(search.index_terms(lines, "id", "text"), ["red", "gear"], "id")
 
 
+def _indexed(rows, label):
+    return fulltext.KeptIndex(rows.sparkSession, shared.scratch_path(rows.sparkSession, label), 16)
+
+
+def _done(index, found):
+    """The result by itself; the query's own index goes."""
+    out = shared.stored(found, "found")
+    shared.removed(index.spark, index.path)
+    return out
+
+
+@query(["documents"], f"""
+  with m as (select doc_id, case when lang = 'de' then 'revised ' || replace(text, 'and', 'und') else text end as text from documents where doc_id is not null and lang is distinct from 'fr'),
+  w as (select doc_id, regexp_extract_all({_FOLD.format(c="coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}_]+') as ws from m)
+  select 'of the' as search, doc_id from w where list_has_all(ws, ['of', 'the']) union all select 'revised und', doc_id from w where list_has_all(ws, ['revised', 'und'])
+  union all select 'and or und', doc_id from w where list_has_any(ws, ['and', 'und']) union all select 'compacted', doc_id from w where list_has_all(ws, ['of', 'the'])""", heavy=True)
+def t4_kept_index(docs):
+    """An index of all documents, then the revision of a language and the end of another, searched before and after compaction."""
+    rows = docs.where("doc_id is not null").select("doc_id", "text", "lang")
+    index = _indexed(docs, "t4").build(rows, "doc_id", "text")
+    revised = rows.where("lang = 'de'").withColumn("text", F.concat(F.lit("revised "), F.replace("text", F.lit("and"), F.lit("und"))))
+    index.merge(revised, "doc_id", "text", deleted=rows.where("lang = 'fr'"))
+    found = [index.search(["of", "the"]).withColumn("search", F.lit("of the")), index.search(["und", "revised"]).withColumn("search", F.lit("revised und")), index.search(["and", "und"], every=False).withColumn("search", F.lit("and or und"))]
+    found.append(index.compact().search(["of", "the"]).withColumn("search", F.lit("compacted")))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return _done(index, out.select("search", F.col("key").alias("doc_id")))
+
+
+@query(["documents", "benchmark"], f"""
+  with d as (select doc_id, {_FOLD.format(c="coalesce(text, '')")} as f from documents), w as (select doc_id, f, regexp_extract_all(f, '[\\p{{L}}\\p{{N}}_]+') as ws from d),
+  q as (select distinct item_id, unnest(regexp_extract_all({_FOLD.format(c="text")}, '[\\p{{L}}\\p{{N}}_]+')) as token from benchmark), k as (select * from q where length(token) >= 2), t as (select distinct token from k),
+  v as (select token, unnest(list_concat([token], list_transform(range(1, length(token)), lambda i: token[1:i - 1] || token[i + 1] || token[i] || token[i + 2:]))) as form from t where length(token) >= 5),
+  r as (select distinct doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ws[i + 1] || ws[i + 2]))) as form from w),
+  h as (select token, doc_id from t join w on contains(f, token) union select token, doc_id from v join r using (form)), n as (select item_id, count(*) as n from k group by 1)
+  select item_id, doc_id from k join h using (token) join n using (item_id) group by item_id, doc_id, n having count(*) = n""")
+def t5_query_batch(docs, benchmark):
+    """Each benchmark item as a query of all its words, over all documents at once, through the kept index."""
+    index = _indexed(docs, "t5").build(docs.where("doc_id is not null"), "doc_id", "text")
+    asked = benchmark.select("item_id", F.explode(F.array_distinct(text.words_of(text.fold("text")))).alias("token")).where(F.length("token") >= 2)
+    return _done(index, index.batch(asked, "item_id", "token").withColumnRenamed("key", "doc_id"))
+
+
 @query(["v_lines", "v_watch"], """
   select l.id, w.keyword, w.vintage as watch_vintage from v_lines l join v_watch w
     on list_bool_and(list_transform(string_split(w.keyword, ' '), lambda t: contains(lower(regexp_replace(l.text, '[^A-Za-z0-9]+', ' ', 'g')), t))) and (w.vintage = '' or contains(l.text, w.vintage))""", heavy=True)
