@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, web
-from ..operators import extract
+from ..operators import extract, html
 from ..sources import files
 from .registry import query
 
@@ -114,6 +114,34 @@ def s6_links(pages):
     return files.html_page_links(pages, "page_id").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
+_BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script)\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<!--.*?-->|<noscript\\b.*?</noscript>', ' ', 'g')"
+
+
+@query(["pages"], f"""
+  with b as (select page_id, string_split(regexp_replace(regexp_replace(replace({_BARE}, chr(10), ' '), '(?i)</?(?:p|div|li|tr|h[1-6])\\b[^>]*>|<br\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), chr(10)) as ls from pages),
+  c as (select page_id, list_filter(list_transform(ls, lambda x: trim(regexp_replace({_ENT.format(x="x")}, '\\s+', ' ', 'g'))), lambda x: x <> '') as ls from b)
+  select page_id, len(ls) as n, md5(array_to_string(ls, chr(10))) as digest from c where len(ls) > 0""", heavy=True)
+def s5_exact_text(pages):
+    """Visible lines by the tokenizer: nothing of scripts, styles and noscripts."""
+    lines = html.page_lines(pages, "page_id").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line")))["line"].alias("ls"))
+    return lines.select("page_id", F.size("ls").cast("long").alias("n"), F.md5(F.array_join("ls", "\n")).alias("digest"))
+
+
+_PLAIN = "trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
+
+
+@query(["pages"], f"""
+  with l as (select page_id, 'link' as kind, unnest(regexp_extract_all(html, '(?is)<a [^>]*href="([^"]+)"[^>]*>.*?</a>', 1)) as name, unnest(regexp_extract_all(html, '(?is)<a [^>]*href="[^"]+"[^>]*>(.*?)</a>', 1)) as value from pages),
+  h as (select page_id, 'heading', 'h1', unnest(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) from pages union all select page_id, 'heading', 'h2', unnest(regexp_extract_all(html, '(?is)<h2[^>]*>(.*?)</h2>', 1)) from pages),
+  t as (select page_id, 'title', '', unnest(regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title>', 1)) from pages),
+  a as (select page_id, kind, replace(name, '&amp;', '&') as name, {_PLAIN.format(e=_ENT.format(x="regexp_replace(value, '<[^>]+>', ' ', 'g')"))} as value from (from l union all from h union all from t))
+  select page_id, kind, name, value, count(*) as n from a where kind = 'link' or value <> '' group by all""", heavy=True)
+def s6_page_facts(pages):
+    """Title, headings and links as rows, by the table function in a lateral join."""
+    found = pages.select("page_id", "html").lateralJoin(html.html_facts(F.col("html").outer())).where("kind in ('title', 'heading', 'link')")
+    return found.groupBy("page_id", "kind", "name", "value").agg(F.count("*").alias("n"))
+
+
 @query(["conversations"], """
   with h as (select conv_id, turn, role, last_value(case when role = 'user' then (turn, text) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as h from conversations)
   select conv_id, turn, case when turn - h[1] <= 2 then h[2] end as header from h""")
