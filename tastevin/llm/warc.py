@@ -202,15 +202,15 @@ def _entries(links: DataFrame, scratch: Scratch) -> DataFrame:
     known = scratch.stored(links.where("start = 0").select("file", "start"), "warc-known")
     entered = links.where("out >= 0").select("file", F.col("out").alias("start")).distinct()
     # only what some split's chain leads to can be jumped to
-    hop = links.where("out >= 0").join(entered.unionByName(known).distinct(), ["file", "start"], "left_semi")
-    hop = scratch.stored(hop.join(entered.withColumnRenamed("start", "out"), ["file", "out"], "left_semi").select("file", "start", "out"), "warc-hop")
+    hop = links.where("out >= 0").join(entered.unionByName(known).distinct().hint("merge"), ["file", "start"], "left_semi")
+    hop = scratch.stored(hop.join(entered.withColumnRenamed("start", "out").hint("merge"), ["file", "out"], "left_semi").select("file", "start", "out"), "warc-hop")
     while True:
-        new = scratch.stored(known.join(hop, ["file", "start"]).select("file", F.col("out").alias("start")), "warc-new")
+        new = scratch.stored(known.join(hop.hint("merge"), ["file", "start"]).select("file", F.col("out").alias("start")), "warc-new")
         if new.isEmpty():
             return known
         last, known = known, scratch.stored(known.unionByName(new).distinct(), "warc-known")
         further = hop.select("file", F.col("start").alias("out"), F.col("out").alias("beyond"))
-        old, hop = hop, scratch.stored(hop.join(further, ["file", "out"]).select("file", "start", F.col("beyond").alias("out")), "warc-hop")
+        old, hop = hop, scratch.stored(hop.join(further.hint("merge"), ["file", "out"]).select("file", "start", F.col("beyond").alias("out")), "warc-hop")
         scratch.drop(last, new, old)
 
 
@@ -248,10 +248,10 @@ def _blocks(spark: SparkSession, path: str, owned: DataFrame, records: DataFrame
     schema = "file string, split long, local long, value binary"
     arrow = pa.schema([("file", pa.string()), ("split", pa.int64()), ("local", pa.int64()), ("value", pa.binary())])
     bytes_ = _pieces(spark, path).withColumn("value", F.col("value").cast("binary")).select("file", "split", "value", "size").mapInArrow(_local(arrow), schema)
-    mine = bytes_.join(owned, ["file", "split", "local"]).groupBy("file", F.col("owner").alias("start")).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("p"))
+    mine = bytes_.join(owned.hint("merge"), ["file", "split", "local"]).groupBy("file", F.col("owner").alias("start")).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("p"))
     joined = F.reduce(F.slice("p", 2, F.size("p")), F.col("p")[0]["value"], lambda done, p: F.concat(done, F.lit(MAGIC.encode()), p["value"]))
     cut = F.substring(joined, (F.col("head") + 1).cast("int"), F.col("content").cast("int"))
-    return records.join(mine, ["file", "start"]).withColumn("block", cut).drop("p")
+    return records.join(mine.hint("merge"), ["file", "start"]).withColumn("block", cut).drop("p")
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -266,14 +266,14 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
         scanned = s.stored(_headed(_pieces(spark, path)).select("file", "split", "size", *_CARRIED).mapInArrow(_placed(arrow), columns), "warc-scanned")
         upto = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)  # over a file's splits
         starts = s.stored(scanned.where("kind = 2").select("file", "split", F.coalesce(F.sum("local").over(upto), F.lit(0)).alias("base")), "warc-splits")
-        based = scanned.join(starts, ["file", "split"])
+        based = scanned.join(starts.hint("merge"), ["file", "split"])
         beyond = F.when(F.col("out") >= 0, F.col("base") + F.col("out"))
         links = s.stored(based.where("kind = 1").select("file", "split", (F.col("base") + F.col("local")).alias("start"), (F.col("base") + F.col("after")).alias("after"), beyond.alias("out")), "warc-links")
-        entries = _entries(links, s).join(links.select("file", "start", "split"), ["file", "start"]).select("file", "split", F.col("start").alias("entry"))
-        walk = links.select("file", "split", "start", "after").join(entries, ["file", "split"])
+        entries = _entries(links, s).join(links.select("file", "start", "split").hint("merge"), ["file", "start"]).select("file", "split", F.col("start").alias("entry"))
+        walk = links.select("file", "split", "start", "after").join(entries.hint("merge"), ["file", "split"])
         found = s.stored(walk.repartition("file", "split").sortWithinPartitions("file", "split", "start").mapInArrow(_walked, "file string, split long, start long"), "warc-reached")
         read = based.where("kind = 0 and content is not null").withColumns({"start": F.col("base") + F.col("local"), "after": F.col("base") + F.col("after")})
-        records = s.stored(read.join(found.select("file", "start"), ["file", "start"], "left_semi").select("file", "split", "start", "after", *_CARRIED), "warc-records")
+        records = s.stored(read.join(found.select("file", "start").hint("merge"), ["file", "start"], "left_semi").select("file", "split", "start", "after", *_CARRIED), "warc-records")
         apart = records if payload else records.where("sha1 is null")
         whole = records.where("sha1 is not null").withColumn("payload", F.lit(None).cast("binary"))
         if not apart.isEmpty():
