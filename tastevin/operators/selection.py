@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import misc, places, rules, text
+from ..sources import shared
 
 #: Statuses that need no more work.
 DONE = ("found", "no_wine_list")
@@ -45,13 +46,22 @@ def by_products(merchants: DataFrame, products: DataFrame, status: str) -> DataF
     return merchants.join(enough.select("id"), "id", "left_semi")
 
 
+def due(rows: DataFrame, stale_before: Column) -> DataFrame:
+    """Active rows with a website that were never checked or not since."""
+    return rows.where(F.col("active") & misc.present(F.col("website")) & (F.col("checked_at").isNull() | (F.col("checked_at") < stale_before)))
+
+
 def work_queue(rows: DataFrame, stale_before: Column, limit: int | None = None) -> DataFrame:
-    """Active rows with a website that were never checked or not since; the longest unchecked first."""
-    due = rows.where(F.col("active") & misc.present(F.col("website")) & (F.col("checked_at").isNull() | (F.col("checked_at") < stale_before)))
-    out = due.orderBy(F.coalesce("checked_at", F.lit("")), "id")
+    """The rows that are due; the longest unchecked first."""
+    out = due(rows, stale_before).orderBy(F.coalesce("checked_at", F.lit("")), "id")
     return out.limit(limit) if limit else out
 
 
+def queue_turns(rows: DataFrame, stale_before: Column) -> DataFrame:
+    """The rows that are due with their turn in the work queue."""
+    return shared.numbered(due(rows, stale_before), [F.coalesce("checked_at", F.lit("")), "id"])
+
+
 def needs_review(kind: str) -> Column:
     """Why a row needs a person: no file, no lines, or a price that is none."""
     return {
@@ -72,6 +82,15 @@ def ordered(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
     return df.orderBy(F.desc(key) if descending else F.asc(key), "id")
 
 
+def turns(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
+    """df with each row's turn in that order; numbers alone may fall."""
+    column, number = ORDERS[by]
+    if descending and not number:
+        raise ValueError("texts are numbered in rising order")
+    key = F.coalesce(F.col(column), F.lit(0)) if number else text.fold(F.col(column).cast("string"))
+    return shared.numbered(df, [-key if descending else key, "id"])
+
+
 def country_names(*columns: DataFrame) -> DataFrame:
     """Distinct names (name) of the countries that the one-column relations write, whatever the spelling."""
     out = None

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import misc, money, places
-from ..operators import dashboard, venues
-from ..sources import sinks
+from ..operators import dashboard, tiles, venues
+from ..sources import shared, sinks
 from ..streaming import offers as stream
 from .registry import query
 
@@ -91,6 +91,46 @@ def a11_grid_clusters(customers):
     return dashboard.grid_clusters(seen, 3).withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
 
 
+_PLACED = "select c_custkey as id, -60 + ((c_custkey * 7919) % 14500) / 100e0 as lat, -180 + ((c_custkey * 104729) % 36000) / 100e0 as lng, case c_custkey % 3 when 0 then 'found' when 1 then 'no_wine_list' else 'review' end as status from customer"
+_TILE = """count(*) as n, round(avg(lat), 6) as lat, round(avg(lng), 6) as lng, count(*) filter (where status = 'found') as found, count(*) filter (where status = 'no_wine_list') as none, count(*) filter (where status = 'review') as pending,
+    case when count(distinct status) > 1 then 'mixed' else max(case status when 'found' then 'found' when 'no_wine_list' then 'none' else 'pending' end) end as kind, case when count(*) = 1 then min(id) end as point_id"""
+
+
+def _placed(customers):
+    return customers.selectExpr("c_custkey as id", "-60 + ((c_custkey * 7919) % 14500) / 100e0 as lat", "-180 + ((c_custkey * 104729) % 36000) / 100e0 as lng", "case c_custkey % 3 when 0 then 'found' when 1 then 'no_wine_list' else 'review' end as status")
+
+
+def _rounded(clusters):
+    return clusters.withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
+
+
+@query(["customer"], f"""
+  with p as ({_PLACED}), z as (select unnest(range(0, 16)) as zoom), c as (select zoom, floor((lat + 90.0) / (180.0 / (8 * (1 << zoom))))::bigint as lat_key, floor((lng + 180.0) / (360.0 / (8 * (1 << zoom))))::bigint as lng_key, p.* from p, z)
+  select zoom, lat_key, lng_key, {_TILE} from c group by 1, 2, 3""")
+def a11_tile_pyramid(customers):
+    """All zooms rolled up from the finest cells."""
+    return _rounded(tiles.clusters(tiles.pyramid(_placed(customers)), "zoom"))
+
+
+#: name, zoom, west, south, east, north: across the date line, a part of the world, a view of few rows.
+_SEEN = [("line", 3, 20, -40, 10, 70), ("part", 5, -30.5, 10.25, 80, 60), ("few", 4, 100, 0, 104, 3)]
+
+
+@query(["customer"], f"""
+  with p as ({_PLACED}), s as (select * from (values {", ".join(f"('{n}', {z}, {w}::double, {s}::double, {e}::double, {t}::double)" for n, z, w, s, e, t in _SEEN)}) v(view, zoom, west, south, east, north)),
+  m as (select * from p, s where lat between south and north and (case when west <= east then lng between west and east else lng >= west or lng <= east end)), t as (select view, count(*) as total from m group by 1),
+  c as (select m.*, total <= 250 as few, floor((lat + 90.0) / (180.0 / (8 * (1 << zoom))))::bigint as lat_key, floor((lng + 180.0) / (360.0 / (8 * (1 << zoom))))::bigint as lng_key from m join t using (view))
+  select view, case when few then null else lat_key end as lat_key, case when few then null else lng_key end as lng_key, {_TILE} from c group by 1, 2, 3, case when few then id end""")
+def a11_views(customers):
+    """Views read from the pyramid, their rims from the points; few rows are shown as points."""
+    points = _placed(customers)
+    pyramid = shared.stored(tiles.pyramid(points, 6), "tiles")
+    out = None
+    for name, *bounds in _SEEN:
+        part = _rounded(tiles.view(pyramid, points, *bounds)).withColumn("view", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 @query(["v_targets"], """
   with r as (select id, country, row_number() over (partition by country order by abs((id * 1103515245 + 12345) % 2147483647), id) as rn from v_targets), s as (select country, count(*) as size from v_targets group by 1),
   t as (select *, count(*) over () as groups, (sum(size) over ())::bigint as total from s), u as (select *, least(200, total) - groups as slots, total - groups as others from t),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import matching
+from ..operators import entities, matching
 from .registry import query
 
 
@@ -79,6 +79,19 @@ def j11_distance(customers):
     return matching.first_at_location(*_halves(p), ["name"])
 
 
+_RECORDS = f"select *, case when id % 7 = 0 then 'd' || ((id // 60) % 23) || '.example.com' else '' end as domain from ({_POINTS})"
+
+
+@query(["customer"], f"""
+  with recursive p as ({_RECORDS}), l as (select a.id as a, b.id as b from p a join p b on a.id < b.id and ((a.domain <> '' and a.domain = b.domain) or (a.name = b.name and abs(a.lat - b.lat) <= 0.003 and abs(a.lng - b.lng) <= 0.003))),
+  e as (select a, b from l union select b, a from l), c(r, m) as (select id, id from p union select c.r, e.b from c join e on c.m = e.a), k as (select r as id, min(m) as entity from c group by r)
+  select id, entity from k""")
+def u6_entities(customers):
+    """Records of one batch that are one: by website, or by name and place, through all links."""
+    p = _points(customers)
+    return entities.entities(p.withColumn("domain", F.when(F.col("id") % 7 == 0, F.concat(F.lit("d"), F.expr("(id div 60) % 23"), F.lit(".example.com"))).otherwise(""))).select("id", "entity")
+
+
 @query(["v_targets"])
 def j12_fuzzy_name(targets):
     """Best name of the same country and city by matching blocks."""

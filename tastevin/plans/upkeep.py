@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import merge, selection
+from ..operators import merge, reviews, selection
 from .registry import query
 
 #: Countries as directories write them, and the code that each means in the city beside it.
@@ -43,8 +42,7 @@ def f6_shop_status(merchants, products):
 
 @query(["v_merchants"], "select id, row_number() over (order by coalesce(checked_at, ''), id) as turn from v_merchants where active and website <> '' and (checked_at is null or checked_at < '2026-01-15')")
 def f8_work_queue(merchants):
-    queue = selection.work_queue(merchants, F.lit("2026-01-15"))
-    return queue.withColumn("turn", F.row_number().over(W.orderBy(F.coalesce("checked_at", F.lit("")), "id"))).select("id", "turn")
+    return selection.queue_turns(merchants, F.lit("2026-01-15")).select("id", "turn")
 
 
 @query(["v_sources", "v_products"], """
@@ -68,8 +66,7 @@ def l4_sort(targets, sources):
     rows = targets.join(n, "id", "left")
     out = []
     for by, descending in (("city", False), ("matches", True)):
-        listed = selection.ordered(rows, by, descending).select("id").withColumn("k", F.monotonically_increasing_id())
-        out.append(listed.select(F.lit(by).alias("by"), "id", F.row_number().over(W.orderBy("k")).alias("turn")))
+        out.append(selection.turns(rows.select("id", "city", "matches"), by, descending).select(F.lit(by).alias("by"), "id", "turn"))
     return out[0].unionByName(out[1])
 
 
@@ -188,3 +185,32 @@ def u17_location_audit(targets, sources):
     audited = merge.location_audit(rows, looked)
     left = merge.orphaned_by(sources, audited, "target_id").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("lists"))
     return audited.join(left, "id", "left").select("id", F.round("lat", 6).alias("lat"), "changed", "status", F.coalesce("lists", F.lit(0)).alias("lists"))
+
+
+_RUN = "select id as merchant_id, case (id + {k}) % 4 when 0 then 'found' when 1 then 'review' else 'rejected' end as status, case when id % 3 = 0 then '' else 'error ' || (id + {k}) % 5 end as error from v_merchants where (id + {k}) % 4 < 3"
+_TIMES = ["2026-02-01 00:00:00", "2026-02-02 00:00:00", "2026-02-03 00:00:00"]
+
+
+def _cycle(k: int) -> str:
+    """SQL of the queue q{k + 1} after run k on q{k}."""
+    at = f"timestamp '{_TIMES[k]}'"
+    return f"""
+  r{k} as ({_RUN.format(k=k)}),
+  e{k} as (select merchant_id, 'business_identity_mismatch' as reason, coalesce(nullif(error, ''), 'Official website belongs to a different business.') as detail, true as opens from r{k} where status = 'rejected'
+    union all select merchant_id, 'inventory_fetch_failed', coalesce(nullif(error, ''), 'Unknown error'), true from r{k} where status = 'review' union all select merchant_id, 'inventory_fetch_failed', null, false from r{k} where status <> 'review'),
+  q{k + 1} as (select * from q{k} where status <> 'open'
+    union all select q.merchant_id, q.reason, q.detail, q.opened_at, q.valid_from, case when e.opens is null then q.valid_to else {at} end, case when e.opens is null then 'open' when e.opens then 'refreshed' else 'resolved' end from q{k} q left join e{k} e using (merchant_id, reason) where q.status = 'open'
+    union all select e.merchant_id, e.reason, e.detail, coalesce(q.opened_at, {at}), {at}, null, 'open' from e{k} e left join (select * from q{k} where status = 'open') q using (merchant_id, reason) where e.opens)"""
+
+
+@query(["v_merchants"], f"""
+  with q0 as (select 0::bigint as merchant_id, '' as reason, '' as detail, null::timestamp as opened_at, null::timestamp as valid_from, null::timestamp as valid_to, '' as status where false), {_cycle(0)}, {_cycle(1)}, {_cycle(2)}
+  select * from q3""")
+def u9_review_queue(merchants):
+    """Three runs, one after the other: reviews open, are refreshed, resolved and opened again, each with its time."""
+    spark = merchants.sparkSession
+    queue = spark.createDataFrame([], reviews.SCHEMA)
+    for k, at in enumerate(_TIMES):
+        results = merchants.selectExpr("id as merchant_id", f"case (id + {k}) % 4 when 0 then 'found' when 1 then 'review' else 'rejected' end as status", f"case when id % 3 = 0 then '' else 'error ' || cast((id + {k}) % 5 as string) end as error").where(f"(merchant_id + {k}) % 4 < 3")
+        queue = reviews.after_run(queue, results, F.lit(at).cast("timestamp"))
+    return queue

@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,3 +62,16 @@ def claimed(spark: SparkSession, path: str) -> bool:
     where, fs = _at(spark, path)
     fs.mkdirs(where.getParent())
     return fs.createNewFile(where)
+
+
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "turn") -> DataFrame:
+    """rows with their number in rising order, from 1. order has to be total for the numbers to be the same in every run.
+
+    Ranges of the order are written with their number and counted; the counts before a range are summed over the ranges, so no
+    task sees more than its range, and a lost executor changes nothing."""
+    keys = {f"_o{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
+    ranged = stored(rows.withColumns(keys).repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    within = F.row_number().over(W.partitionBy("_p").orderBy(*keys))
+    return ranged.withColumn("_w", within).join(before, "_p").withColumn(name, (F.col("_before") + F.col("_w")).cast("long")).drop("_p", "_w", "_before", *keys)

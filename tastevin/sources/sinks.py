@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import shared
 from .files import gzipped
 
 
 def chunked(rows: DataFrame, order: list[str], size: int = 50) -> DataFrame:
     """Rows with the number of their chunk of `size` in order.
 
-    The global rank comes from range partitions: counts by partition are summed, so no task sees all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    kept = ranged.checkpoint() if rows.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else ranged.cache()
-    counts = kept.groupBy("_p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return kept.withColumn("_w", within).join(counts, "_p").withColumn("chunk", F.floor((F.col("before") + F.col("_w") - 1) / size)).drop("_p", "_w", "n", "before")
+    The rank comes from ranges of the order, so no task sees all rows."""
+    return shared.numbered(rows, order, "_turn").withColumn("chunk", F.floor((F.col("_turn") - 1) / size)).drop("_turn")
 
 
 def packed(rows: DataFrame, order: list[str], size: int = 50) -> DataFrame:
