@@ -116,6 +116,11 @@ def word_pattern(words: list[str], loose_hyphens: bool = True) -> str:
     return "\\b(?:" + "|".join(w.replace("\\-", "[-\\s]?") if loose_hyphens else w for w in written) + ")\\b"
 
 
+def has_word(column: Column, words: list[str]) -> Column:
+    """Any of the words, whole, in a lower-case text."""
+    return column.rlike(word_pattern(words, loose_hyphens=False))
+
+
 def part_pattern(parts: list[str]) -> str:
     return "|".join(map(re.escape, parts))
 

@@ -213,7 +213,7 @@ def external_site(links: DataFrame, key: str, own: str) -> DataFrame:
     from ..functions import web
 
     target = F.coalesce(F.nullif(F.url_decode(F.regexp_extract("href", "[?&](?:url|u|target|redirect)=(https?(?:%3A|:)[^&]+)", 1)), F.lit("")), F.col("href"))
-    fine = links.withColumn("site", web.normalize_url(target)).where(F.col("href").rlike("^https?://") & (web.domain(F.col("site")) != web.domain(F.col(own))) & ~web.domain(F.col("site")).rlike(rules.SOCIAL_HOSTS))
+    fine = links.withColumn("site", web.normalize_url(target)).where(F.col("href").rlike("^https?://") & (web.domain(F.col("site")) != web.domain(F.col(own))) & ~web.domain(F.col("site")).rlike(text.part_pattern(rules.SOCIAL_HOSTS)))
     score = F.when(F.lower("text").rlike("website|web site|homepage|official"), 0).otherwise(1)
     path = F.length(F.regexp_extract("site", "^[a-z]+://[^/]*(.*)$", 1))
     return fine.groupBy(key).agg(F.min(F.struct(score.alias("s"), path.alias("p"), F.col("site"))).alias("x")).select(key, F.col("x.site").alias("site"))

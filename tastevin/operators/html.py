@@ -143,6 +143,27 @@ def page_facts(pages: DataFrame, key: str, body: str = "html") -> DataFrame:
     return _mapped(pages, key, body, facts, FACTS)
 
 
+PROFILE = "title string, meta string, links array<struct<href:string,text:string>>, body string"
+_LINK = pa.struct([("href", pa.string()), ("text", pa.string())])
+
+
+def page_profiles(pages: DataFrame, key: str, url: str, body: str = "html") -> DataFrame:
+    """key, url and a page's title and headings, meta values, links and visible text, one row for each page."""
+
+    def each(batches):
+        for batch in batches:
+            rows = []
+            for page in batch.column("html").to_pylist():
+                found = facts(page)
+                pick = lambda *kinds: " ".join(v for k, _, v in found if k in kinds)  # noqa: B023, E731
+                rows.append((pick("title", "heading"), pick("meta"), [{"href": n, "text": v} for k, n, v in found if k == "link"], " ".join(visible_lines(page))))
+            title, meta, links, text_ = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch({key: batch.column(key), "url": batch.column("url"), "title": pa.array(title, pa.string()), "meta": pa.array(meta, pa.string()), "links": pa.array(links, pa.list_(_LINK)), "body": pa.array(text_, pa.string())})
+
+    rows = pages.select(F.col(key), F.col(url).cast("string").alias("url"), F.col(body).cast("string").alias("html"))
+    return rows.mapInArrow(each, f"`{key}` {rows.schema[0].dataType.simpleString()}, url string, {PROFILE}")
+
+
 class _Facts:
     def eval(self, page: str):
         for k, (kind, name, value) in enumerate(facts(page)):

@@ -149,14 +149,20 @@ def parsed_watches(spark: SparkSession, raw: str | None = None, path: str | None
     return spark.createDataFrame(rows, "keyword string, vintage string")
 
 
+def retail_name(name: Column) -> Column:
+    """A name with a word of the trade, or a part of one where words aren't divided."""
+    low = F.lower(name)
+    return text.has_word(low, rules.RETAIL_WORDS) | low.rlike(text.part_pattern(rules.RETAIL_PARTS))
+
+
 def candidate_records(rows: DataFrame) -> DataFrame:
     """Retail candidates out of a directory's rows: why they are one, their category, an address put together where there is
     none, and a hash of the record. Rows without an id or a name, or of other trades, are left out."""
     clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     lead = F.lower(F.concat_ws(" ", "old_primary", "basic_category", "taxonomy_primary"))
     every = F.lower(F.concat_ws(" ", "old_primary", "categories_json", "basic_category", "taxonomy_primary", "taxonomy_json"))
-    category = lead.rlike(rules.RETAIL_CATEGORY)
-    named = F.lower("name").rlike(rules.RETAIL_NAME) & ~every.rlike(rules.NOT_RETAIL)
+    category = text.has_word(lead, rules.RETAIL_CATEGORIES)
+    named = retail_name(F.col("name")) & ~text.has_word(every, rules.OTHER_TRADES)
     parts = F.filter(F.array(clean("city"), clean("region"), clean("postcode"), clean("country_code")), lambda x: x != "")
     out = rows.where(F.coalesce(category | named, F.lit(False)) & (clean("id") != "") & (clean("name") != "")).select(
         clean("id").alias("provider_place_id"), clean("name").alias("name"), F.when(category, "retail_primary_category").otherwise("retail_name").alias("candidate_reason"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text, web
-from ..operators import extract, html
+from ..functions import rules, text, web
+from ..operators import extract, html, identity
 from ..sources import files
 from .registry import query
 
@@ -97,6 +97,52 @@ def x27_signals(pages):
     return pages.select("page_id", F.size(F.filter(marks, lambda w: F.contains(F.lower("html"), w))).cast("long").alias("signals"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
 
 
+#: Put before each page's text, by its number: another business; that with a shop's word; too few signals; a story; a shop.
+_SAID = [
+    "<h1>Harness racing</h1><p>Race results at the racetrack, estimated purse", "<p>Harness racing, race results, raceway. Our WINE SHOP</p>", "<p>horse racing, post position</p>",
+    "<h2>News</h2><p>Buy now</p>", "<p>Add to cart</p>", "<a href='/wines/red_wine'>Shop</a><p>racetrack raceway jugette</p>", "",
+]
+_AT = ["/store/a", "/x/wine/1", "/journal", "/shop/b", "/y"]
+
+
+def _profiled(pages):
+    said, at = F.array(*map(F.lit, _SAID)), F.array(*map(F.lit, _AT))
+    k = F.col("page_id").cast("int")
+    rows = pages.where("page_id is not null").select("page_id", F.concat(F.lit("https://a.example"), F.get(at, k % len(_AT))).alias("url"), F.concat(F.get(said, k % len(_SAID)), F.coalesce("html", F.lit(""))).alias("html"))
+    return html.page_profiles(rows, "page_id", "url")
+
+
+@query(["pages"], """
+  select page_id, case page_id % 7 when 0 then 'Official website is a horse-racing business, not a wine retailer (estimated purse, harness racing, race results, racetrack).' else '' end as rejection from pages where page_id is not null""", heavy=True)
+def x27_identity(pages):
+    """Sites of another business, by what whole pages say."""
+    return identity.rejection(_profiled(pages)).select("page_id", "rejection")
+
+
+@query(["pages"], """
+  with p as (select page_id, ['/store/a', '/x/wine/1', '/journal', '/shop/b', '/y'][page_id % 5 + 1] as path, page_id % 4 as n, page_id % 3 as priced, page_id % 7 = 3 as story, page_id % 7 in (3, 4, 5) as sells from pages where page_id is not null)
+  select page_id, n > 0 and not story and path <> '/journal' and ((path in ('/store/a', '/shop/b') and (priced >= 1 or n >= 3)) or (path = '/x/wine/1' and priced >= 1) or (priced >= 2 and sells)) as catalogue from p""", heavy=True)
+def x27_catalogue(pages):
+    """Pages whose products count as a shop's."""
+    counted = _profiled(pages).withColumns({"products": F.col("page_id") % 4, "priced": F.col("page_id") % 3})
+    return identity.is_catalogue(counted).select("page_id", "catalogue")
+
+
+_SCORE = " + ".join(f"case when contains(hay, '{w}') then 8 else 0 end" for w in rules.SHOP_LINK)
+
+
+@query(["pages"], f"""
+  with l as (select regexp_extract(url, '^https?://([^/?#]*)', 1) as site, unnest(regexp_extract_all(html, '(?is)<a [^>]*href="([^"]+)"[^>]*>.*?</a>', 1)) as href from pages), h as (select distinct site, replace(href, '&amp;', '&') as href from l),
+  s as (select site, href, lower(strip_accents(href)) as hay from h), p as (select site, href, {_SCORE} as words, hay from s),
+  t as (select site, href, words + case when regexp_matches(lower(href), '^[^?#]*\\.(pdf|csv|xlsx|xls)$') or regexp_matches(lower(href), '^[^?#]*\\.(pdf|csv|xlsx|xls)[?#]') then case when words > 0 then 6 else -6 end else 0 end
+    + case when regexp_matches(hay, 'menu|download|shop|product|collection') then 3 else 0 end - case when regexp_matches(hay, 'privacy|terms|login|account|cart|checkout|blog|news') then 12 else 0 end as priority from p),
+  r as (select *, row_number() over (partition by site order by priority desc, href) as rank from t) select site, href, priority, rank from r where rank <= 60""", heavy=True)
+def x26_shop_links(pages):
+    """The sixty links of each site that are followed first."""
+    links = html.page_facts(pages.select("url", "html"), "url").where("kind = 'link'").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("site"), F.col("name").alias("href"), F.lit("").alias("text"))
+    return identity.best_links(links, "site").select("site", "href", "priority", "rank")
+
+
 _ENT = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&euro;', '€'), '&pound;', '£'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import misc, money, places, text, web
+from ..functions import misc, money, places, rules, text, web
+from ..operators import selection
 from .registry import query
 
 
@@ -141,12 +142,10 @@ def x39_maps_url(targets):
 @query(["v_merchants"], "select id from v_merchants where (regexp_matches(lower(name), 'supplier') and not regexp_matches(case id % 3 when 0 then 'bar' when 1 then 'shop' else 'hotel' end, '(^|[^a-z0-9_])(bar|pub|restaurant|winery|vineyard|hotel|lounge)($|[^a-z0-9_])')) or id % 5 = 0")
 def f7_retail_candidates(merchants):
     """Primary category, or a retail name without a category of another trade."""
-    from ..functions import rules
-
     category = F.when(F.col("id") % 3 == 0, "bar").when(F.col("id") % 3 == 1, "shop").otherwise("hotel")
     primary = F.when(F.col("id") % 5 == 0, "wine_shop").otherwise(F.lit(""))
-    named = F.replace(F.lower("name"), F.lit("supplier#"), F.lit("fine wines ")).rlike(rules.RETAIL_NAME)
-    return merchants.where(primary.rlike(rules.RETAIL_CATEGORY) | named & ~category.rlike(rules.NOT_RETAIL)).select("id")
+    named = selection.retail_name(F.replace(F.lower("name"), F.lit("supplier#"), F.lit("fine wines ")))
+    return merchants.where(text.has_word(primary, rules.RETAIL_CATEGORIES) | named & ~text.has_word(category, rules.OTHER_TRADES)).select("id")
 
 
 @query(["v_targets"], "select id, list_sort(list_distinct(list_filter([name || ', ' || city || ', ' || country, name || ', ' || country, name, case when website <> '' then website end], lambda x: x is not null))) as queries from v_targets")
