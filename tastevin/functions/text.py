@@ -77,26 +77,39 @@ def _whole_words(forms: list[str]) -> str:
 
 
 def run_patterns(token: str) -> tuple[str, str]:
-    """Patterns of the token (or it with a swap of neighbours) written as a run of whole words: of any number of them, which
-    fails early on most texts, and of one to three."""
-    loose, exact = [], []
-    for word in transpositions(token):
-        loose.append(f"(?:{_GAP})?".join(map(re.escape, word)))
-        cuts = [(), *((a,) for a in range(1, len(word))), *((a, b) for a in range(1, len(word)) for b in range(a + 1, len(word)))]
-        exact += [_GAP.join(re.escape(word[x:y]) for x, y in zip((0, *c), (*c, len(word)), strict=True)) for c in cuts]
-    return _whole_words(loose), _whole_words(exact)
+    """Patterns of the token (or it with a swap of neighbours) written as a run of whole words, of any number of them: one that fails
+    early on most texts, one that captures the run at each place, overlapping ones too. They grow with the square of the token's length."""
+    forms = [f"(?:{_GAP})?".join(map(re.escape, word)) for word in transpositions(token)]
+    whole = _whole_words(forms)
+    before, rest = whole[: whole.index("(?:")], whole[whole.index("(?:") :]
+    return whole, f"{before}(?=({rest}))"
+
+
+#: From this length on a token may be divided or have a swap of neighbours.
+LOOSE = 5
+
+
+def joined_runs(words: Column, least: int = LOOSE) -> Column:
+    """Distinct runs of two and three neighbouring words, joined, of so many letters or more."""
+    join = lambda a, b: F.concat(a, b)
+    n = F.size(words)
+    two = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), join)
+    three = F.zip_with(F.slice(two, F.lit(1), F.greatest(n - 2, F.lit(0))), F.slice(words, F.lit(3), F.greatest(n - 2, F.lit(0))), join)
+    return F.filter(F.array_distinct(F.concat(two, three)), lambda r: F.length(r) >= least)
 
 
 def matches_all(tokens: list[str], folded: Column) -> Column:
     """Every token is a substring, or (five letters on) is a run of up to three words but for one swap of neighbours.
 
-    A run is looked for by parts that stand with a gap between them, so no list of a text's word runs is made."""
+    A run is found by its letters with gaps of any number between them; those of up to two gaps count. No list of a text's word runs
+    is made."""
     out = F.lit(True)
     for token in tokens:
         one = folded.contains(token)
         if len(token) >= 5:
-            loose, exact = run_patterns(token)
-            one = one | folded.rlike(loose) & folded.rlike(exact)
+            loose, each = run_patterns(token)
+            few = F.exists(F.regexp_extract_all(folded, F.lit(each), F.lit(1)), lambda run: F.regexp_count(run, F.lit(_GAP)) <= 2)
+            one = one | F.when(folded.rlike(loose), few).otherwise(False)
         out = out & one
     return out
 

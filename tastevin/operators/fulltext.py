@@ -24,19 +24,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources import shared
 
-#: From this length on a token may be divided or have a swap of neighbours.
-LOOSE = 5
-
-
-def joined_runs(words: Column) -> Column:
-    """Distinct runs of two and three neighbouring words, joined, of LOOSE letters or more."""
-    join = lambda a, b: F.concat(a, b)
-    n = F.size(words)
-    two = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), join)
-    three = F.zip_with(F.slice(two, F.lit(1), F.greatest(n - 2, F.lit(0))), F.slice(words, F.lit(3), F.greatest(n - 2, F.lit(0))), join)
-    return F.filter(F.array_distinct(F.concat(two, three)), lambda r: F.length(r) >= LOOSE)
-
-
 def grams(word: Column) -> Column:
     """Distinct runs of two and three characters."""
     of = lambda k: F.when(F.length(word) >= k, F.transform(F.sequence(F.lit(1), F.length(word) - k + 1), lambda i: F.substring(word, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
@@ -44,10 +31,10 @@ def grams(word: Column) -> Column:
 
 
 def spellings(token: Column) -> Column:
-    """The token and, from LOOSE letters on, the token with each pair of neighbours swapped."""
+    """The token and, from text.LOOSE letters on, the token with each pair of neighbours swapped."""
     n = F.length(token)
     swap = lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.lit(1)), F.substring(token, i, F.lit(1)), F.substring(token, i + 2, n))
-    return F.array_distinct(F.concat(F.array(token), F.when(n >= LOOSE, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), swap)).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(token), F.when(n >= text.LOOSE, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), swap)).otherwise(F.array().cast("array<string>"))))
 
 
 class KeptIndex:
@@ -93,7 +80,7 @@ class KeptIndex:
     def _postings(self, rows: DataFrame, key: str, body: str, g: int) -> None:
         split = shared.stored(rows.select(F.col(key).alias("key"), text.words_of(text.fold(body)).alias("w")), "index-words")
         self._write(split.select("key", F.explode(F.array_distinct("w")).alias("term")), "words", g, "term")
-        self._write(split.select("key", F.explode(joined_runs(F.col("w"))).alias("term")), "runs", g, "term")
+        self._write(split.select("key", F.explode(text.joined_runs(F.col("w"))).alias("term")), "runs", g, "term")
         shared.removed(self.spark, split.stored_at)
         self._grams(self._table("words", [g]), g)
 
@@ -166,7 +153,7 @@ class KeptIndex:
 
     def matched_terms(self, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(token, term) of words that contain a token or are a spelling of it, and of runs that are one. tokens: token, distinct."""
-        forms = tokens.where(F.length("token") >= LOOSE).select("token", F.explode(spellings(F.col("token"))).alias("term"))
+        forms = tokens.where(F.length("token") >= text.LOOSE).select("token", F.explode(spellings(F.col("token"))).alias("term"))
         all_grams = self._table("grams").select("gram", "term").distinct()
         # of its longest letters the rarest; a token with letters that no word has is in none
         longest = F.when(F.length("token") >= 3, 3).otherwise(2)

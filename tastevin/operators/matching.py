@@ -64,13 +64,31 @@ def name_score(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)])
 
 
+def _characters(name: Column) -> Column:
+    """How often each character of a normalised name is in it, in a fixed order."""
+    return F.transform(F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), ""), lambda c: F.length(name) - F.length(F.replace(name, c)))
+
+
 def best_names(left: DataFrame, right: DataFrame, block: str, least: float = 0.55) -> DataFrame:
     """For each left row the best right row of its block: of those whose name score is good enough the one of greatest score
-    with bonuses, a quarter for a website and 0.15 for an address (where right has these columns). The score given is the name's."""
+    with bonuses, a quarter for a website and 0.15 for an address (where right has these columns). The score given is the name's.
+
+    Names meet once however many rows have them. Matching blocks can't have more characters than both names share, so pairs that these
+    bounds (of lengths, then of each character's count) keep under `least` aren't scored unless one name contains the other."""
     has = lambda c, k: F.when(F.trim(c) != "", k).otherwise(0.0) if c in right.columns else F.lit(0.0)
-    r = right.select(F.col("id").alias("match_id"), F.col(block).alias("_block"), F.col("name").alias("_name"), (has("website", 0.25) + has("address", 0.15)).alias("_bonus"))
-    scored = left.join(r, F.col(block) == F.col("_block")).withColumn("score", name_score(text.normalize_name("name"), text.normalize_name("_name")))
-    return scored.where(F.col("score") >= least).groupBy(left["id"]).agg(F.max_by(F.struct("match_id", "score"), F.struct(F.col("score") + F.col("_bonus"), -F.col("match_id"))).alias("b")).select("id", "b.match_id", "b.score")
+    keyed = lambda df: df.withColumns({"_block": F.col(block), "_name": text.normalize_name("name")})
+    lefts, rights = keyed(left).select("id", "_block", "_name"), keyed(right).select(F.col("id").alias("match_id"), "_block", F.col("_name").alias("_other"), (has("website", 0.25) + has("address", 0.15)).alias("_bonus"))
+    # of the rows of a name the one with the greatest bonus, then the least id, is the best for all
+    rights = rights.groupBy("_block", "_other").agg(F.max(F.struct("_bonus", (-F.col("match_id")).alias("id"))).alias("r")).select("_block", "_other", F.col("r._bonus").alias("_bonus"), (-F.col("r.id")).alias("match_id"))
+    names = lambda df, c: df.select("_block", c).where(F.col(c) != "").distinct().withColumns({f"{c}_n": F.length(c), f"{c}_c": _characters(F.col(c))})
+    pairs = names(lefts, "_name").join(names(rights, "_other"), "_block")
+    inside = F.contains("_name", F.col("_other")) | F.contains("_other", F.col("_name"))
+    both = F.col("_name_n") + F.col("_other_n")
+    shared = F.aggregate(F.zip_with("_name_c", "_other_c", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    likely = pairs.where(inside | ((2 * F.least("_name_n", "_other_n") >= least * both) & (2 * shared >= least * both))).select("_block", "_name", "_other")
+    scored = likely.withColumn("score", name_score("_name", "_other")).where(F.col("score") >= least)
+    best = scored.join(rights, ["_block", "_other"]).groupBy("_block", "_name").agg(F.max_by(F.struct("match_id", "score"), F.struct(F.col("score") + F.col("_bonus"), -F.col("match_id"))).alias("b"))
+    return lefts.join(best, ["_block", "_name"]).select("id", "b.match_id", "b.score")
 
 
 def line_tokens(column: Column) -> Column:

@@ -1,7 +1,9 @@
 """Keyword watches against lines.
 
-A watch can only hit a line that has the first letters of its longest token, so lines and watches meet by an equi-join on
-runs of up to three characters, whatever the number of watches; all tokens and the vintage are tested on the pairs that meet.
+A watch can only hit a line that has the first letters (a gram) of its longest token. Lines and watches meet by an equi-join on
+grams; all tokens and the vintage are tested on the pairs that meet. Up to LITERAL distinct grams, counted first, are part of the
+plan: a line looks for these alone and is copied once for each that it has. With more of them lines are joined by all
+their runs of characters that long, whatever the number of watches.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from ..functions import text
 
 #: Characters that lines and watches are joined by.
 GRAM = 3
+#: Distinct grams of watches that lines look for one by one, and that a plan holds at most.
+FEW, LITERAL = 64, 1000
 
 
 def normalized(column: Column) -> Column:
@@ -45,13 +49,21 @@ def matches(lines: DataFrame, watches: DataFrame, body: str = "text", how: str =
     w = watches.withColumn("needle", normal(F.col("keyword"))).withColumnRenamed("vintage", "watch_vintage").where("needle <> ''").withColumn("tokens", words(F.col("needle")))
     longest = F.get(F.array_sort("tokens", lambda x, y: F.length(y) - F.length(x)), F.lit(0))
     w = w.withColumn("gram", F.substring(longest, 1, GRAM))
-    sizes = sorted(r[0] for r in w.select(F.length("gram")).distinct().collect())  # three values at most
-    if not sizes:
+    known = [r[0] for r in w.select("gram").distinct().limit(LITERAL + 1).collect()]  # LITERAL + 1 short strings at most
+    if not known:
         return lines.join(w.drop("gram", "needle", "tokens"), F.lit(False))
+    hay, asked = F.col("hay"), F.array(*map(F.lit, sorted(known)))
+    if len(known) <= FEW:
+        grams = F.filter(asked, lambda g: F.contains(hay, g))
+    elif len(known) <= LITERAL:
+        grams = F.array_intersect(_grams(hay, sorted({len(g) for g in known})), asked)
+    else:
+        sizes = sorted(r[0] for r in w.select(F.length("gram")).distinct().collect())  # three values at most
+        grams = _grams(hay, sizes)
     test = F.forall("tokens", lambda t: F.contains(F.col("hay"), t)) if how == "tokens" else F.contains(F.col("hay"), F.col("needle"))
     year = (F.col("watch_vintage") == "") | F.contains(F.col(body), F.col("watch_vintage"))
     seen = lines.withColumn("hay", normal(F.col(body)))
-    met = seen.withColumn("gram", F.explode(_grams(F.col("hay"), sizes))).join(w, "gram")
+    met = seen.withColumn("gram", F.explode(grams)).join(w, "gram")
     return met.where(test & year).drop("hay", "needle", "tokens", "gram")
 
 

@@ -85,4 +85,6 @@ def oracle(names: list[str], sql: str) -> str:
 
     bodies = ", ".join(f"{n} as ({body(n)})" for n in names)
     rest = sql.strip()
+    if rest.startswith("with recursive "):
+        return f"with recursive {bodies}, {rest[15:]}"
     return f"with {bodies}, {rest[5:]}" if rest.startswith("with ") else f"with {bodies} {rest}"
