@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, web
-from ..operators import extract, html, identity
+from ..operators import extract, html, identity, nested
 from ..sources import files
 from .registry import query
 
@@ -223,3 +223,17 @@ def x37_line_tokens(docs):
     from ..operators.matching import line_tokens
 
     return docs.select("doc_id", F.size(F.array_distinct(line_tokens(F.coalesce("text", F.lit(""))))).cast("long").alias("n"))
+
+
+_NESTED = "'{\"event\": ' || event_id || ', \"tags\": [' || props || ', \"' || event_type || '\", [1, {\"deep\": [' || event_id % 7 || ', null, true, [], {}]}]], \"user\": {\"id\": ' || user_id || ', \"more\": {\"last\": \"x\"}}}'"
+
+
+@query(["events"], f"""
+  with e as (select event_id, {_NESTED} as body from events where event_id is not null)
+  select event_id, case when t.type in ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') then lower(t.type) when t.type = 'VARCHAR' then 'string' else 'number' end as kind, t.fullkey as path,
+    case when t.type in ('OBJECT', 'ARRAY', 'NULL') then null when t.type = 'VARCHAR' then t.value->>'$' else t.value::varchar end as value
+  from e, json_tree(e.body) t""", heavy=True)
+def x23_nested(events):
+    """Every value of nested documents, however deep."""
+    found = nested.nodes(events.where("event_id is not null").selectExpr("event_id", f"{_NESTED} as body"), "event_id", "body")
+    return found.select("event_id", "kind", "path", "value")
