@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, rules, text
+from ..sources import shared
 
 
 def document_lines(docs: DataFrame, key: str, body: str = "text") -> DataFrame:
@@ -221,27 +222,27 @@ def external_site(links: DataFrame, key: str, own: str) -> DataFrame:
 
 def best_first(links: DataFrame, pages: int = 60, depth: int = 5) -> DataFrame:
     """Crawl order over a recorded link graph (site, source, url, score; a null source is a start): the open page of the highest
-    score is visited next, up to `pages` pages and `depth` links from the start. One site's graph is one task's."""
-
-    def crawl(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        out: dict = {}
-        for s, u, score in zip(pdf["source"], pdf["url"], pdf["score"], strict=True):
-            out.setdefault(None if pd.isna(s) else s, []).append((-float(score), u))
-        heap = [(p, 0, u) for p, u in out.get(None, [])]
-        heapq.heapify(heap)
-        seen, order = set(), []
-        while heap and len(order) < pages:
-            _, d, u = heapq.heappop(heap)
-            if u in seen:
-                continue
-            seen.add(u)
-            order.append((pdf["site"].iloc[0], u, len(order), d))
-            if d < depth:
-                for p, v in out.get(u, []):
-                    if v not in seen:
-                        heapq.heappush(heap, (p, d + 1, v))
-        return pd.DataFrame(order, columns=["site", "url", "turn", "depth"])
-
-    return links.select("site", "source", "url", "score").groupBy("site").applyInPandas(crawl, "site string, url string, turn int, depth int")
+    score is visited next, up to `pages` pages and `depth` links from the start; ties go to the fewest links, then the address.
+
+    All sites take their next page in the same round: the best of each site's open pages is an aggregate, and the graph is asked for the
+    links of these pages alone. The open pages are a table that each round writes anew; no task holds a site."""
+    spark = links.sparkSession
+    graph = shared.stored(links.where("site is not null and url is not null").select("site", "source", "url", (-F.col("score").cast("double")).alias("p")), "crawl-links")
+    open_ = shared.stored(graph.where("source is null").select("site", "p", F.lit(0).alias("d"), "url"), "crawl-open")
+    visits = []
+    for turn in range(1, pages + 1):
+        best = open_.groupBy("site").agg(F.min(F.struct("p", "d", "url")).alias("b"))
+        now = shared.stored(best.select("site", "b.url", F.lit(turn).alias("turn"), F.col("b.d").alias("depth")), "crawl-visits")
+        if now.isEmpty():
+            shared.removed(spark, now.stored_at)
+            break
+        visits.append(now.stored_at)
+        seen = spark.read.schema(now.schema).parquet(*visits)
+        going = now.where(F.col("depth") < depth).select("site", F.col("url").alias("source"), (F.col("depth") + 1).alias("d"))
+        new = graph.join(going, ["site", "source"]).select("site", "p", "d", "url")
+        left = open_.unionByName(new).groupBy("site", "url").agg(F.min(F.struct("p", "d")).alias("m")).join(seen.select("site", "url"), ["site", "url"], "left_anti")
+        last, open_ = open_, shared.stored(left.select("site", "m.p", "m.d", "url"), "crawl-open")
+        shared.removed(spark, last.stored_at)
+    shared.removed(spark, open_.stored_at, graph.stored_at)
+    empty = spark.createDataFrame([], "site string, url string, turn int, depth int")
+    return spark.read.schema(empty.schema).parquet(*visits) if visits else empty
