@@ -111,7 +111,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for name_ in ("documents", "embeddings"):
+    for name_ in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {name_} as select * from '{SF}/{name_}.parquet'")
     got = registry.queries()[name](spark, SF)
     result = con.execute(registry.oracle_sql()[name])
