@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import clean_text, fold, word_pattern
+from .text import clean_text, fold, part_pattern, word_pattern
 
 
 def normalize_url(column: Column) -> Column:
@@ -38,6 +38,31 @@ def is_safe_url(column: Column) -> Column:
     return (host != "") & ~host.rlike("^(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.|0\\.|172\\.(1[6-9]|2\\d|3[01])\\.|\\[|.*\\.local$)")
 
 
+def valid_website(column: Column) -> Column:
+    """An address with a host that is a place's own: no social network, directory or ordering service."""
+    host = domain(column)
+    return (host != "") & ~host.rlike(part_pattern(rules.BLOCKED_HOSTS))
+
+
+def joined_url(base: Column, href: Column) -> Column:
+    """href as seen from a page at base, without a fragment: absolute, of the same scheme, from the root, relative, or a query alone; steps
+    up and dots are resolved. '' for what isn't a page's address, and where base has no host."""
+    to = F.regexp_replace(F.trim(F.coalesce(href, F.lit(""))), "#.*$", "")
+    part = lambda k: F.regexp_extract(F.coalesce(base, F.lit("")), "^(https?:)(//[^/?#]+)([^?#]*)(\\?[^#]*)?", k)
+    root, path = F.concat(part(1), part(2)), F.when(part(3) == "", "/").otherwise(part(3))
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    full = F.when(to.startswith("/"), to).otherwise(F.concat(folder, to))
+    place, query = F.regexp_extract(full, "^[^?]*", 0), F.regexp_extract(full, "\\?.*$", 0)
+    steps = F.split(F.regexp_replace(place, "^/", ""), "/")
+    walked = F.reduce(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    ends = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
+    relative = F.concat(root, F.lit("/"), F.array_join(walked, "/"), ends, query)
+    return (
+        F.when(F.trim(F.coalesce(href, F.lit(""))) == "", "").when(to.rlike("(?i)^https?://[^/?#]"), to).when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "").when(part(2) == "", "")
+        .when(to.startswith("//"), F.concat(part(1), to)).when(to == "", F.concat(root, part(3), part(4))).when(to.startswith("?"), F.concat(root, part(3), to)).otherwise(relative)
+    )
+
+
 def link_score(text: Column, host: Column, path: Column) -> Column:
     """Additive score of a link: list files, list hosts, strong and weak words, other menus."""
     hay = F.replace(fold(F.concat_ws(" ", text, F.lower(host), F.lower(path))), F.lit("_"), F.lit("-"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import places
+from ..sources import shared
 
 
 def when_sum(test: Column) -> Column:
@@ -114,6 +115,50 @@ def recent_rate(samples: DataFrame, run: str, most: int = 500) -> DataFrame:
     return last.groupBy(run).agg(F.count("*").alias("n"), F.when(span > 0, (F.count("*") - 1) / span).alias("rate"))
 
 
+def remaining_seconds(samples: DataFrame, run: str, total: Column, now: Column, most: int = 500) -> DataFrame:
+    """Rows done, rate a second and whole seconds left of each run: the rate of its last samples, of all its time to now where these
+    have none, null where there is none at all. `done` is a sample's count of rows so far."""
+    w = W.partitionBy(run).orderBy(F.col("ts").desc(), F.col("id").desc())
+    last = samples.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    ends = last.groupBy(run).agg(F.max("done").alias("done"), F.min("done").alias("least"), F.max("ts").alias("to"), F.min("ts").alias("since"))
+    rows = ends.join(samples.groupBy(run).agg(F.min("ts").alias("started")), run).withColumn("total", total)
+    gained, span, elapsed = F.col("done") - F.col("least"), seconds(F.col("to")) - seconds(F.col("since")), F.floor(seconds(now) - seconds(F.col("started")))
+    recent = F.when(gained > 0, gained / F.greatest(F.lit(0.001), span))
+    rate = F.coalesce(recent, F.when((F.col("done") > 0) & (elapsed > 0), F.col("done") / elapsed))
+    left = F.when(F.col("total") <= 0, None).when(F.col("done") >= F.col("total"), 0).otherwise(F.floor((F.col("total") - F.col("done")) / rate))
+    return rows.select(run, "done", rate.alias("rate"), left.cast("long").alias("seconds_left"))
+
+
+def evenly_spaced(samples: DataFrame, run: str, order: list[str], most: int = 250) -> DataFrame:
+    """All samples of runs of up to `most`, of longer ones as many, evenly spaced from the first to the last.
+
+    Places come from one numbering of all samples by run and order; a run's places are its own less those before it."""
+    turned = shared.numbered(samples.where(F.col(run).isNotNull()), [run, *order], "_turn")
+    spans = turned.groupBy(run).agg(F.min("_turn").alias("_first"), F.count("*").alias("_n"))
+    step = (F.col("_n") - 1) / (most - 1)
+    wanted = F.when(F.col("_n") <= most, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * step + 0.5)))
+    picked = spans.select(run, F.explode(F.transform(wanted, lambda k: k + F.col("_first"))).alias("_turn"))
+    return turned.join(picked, [run, "_turn"], "left_semi").drop("_turn")
+
+
+def source_places(sources: DataFrame, places_: DataFrame, key: str) -> DataFrame:
+    """code, name and the number of places of every source, 0 for those without."""
+    counts = places_.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    return sources.join(counts, "id", "left").select("code", "name", F.coalesce("n", F.lit(0)).alias("places"))
+
+
+def top_targets(targets: DataFrame, most: int = 120) -> DataFrame:
+    return targets.orderBy(F.desc("priority"), "name", "id").limit(most)
+
+
+def latest_entries(entries: DataFrame, targets: DataFrame, most: int = 300) -> DataFrame:
+    """The last seen lines with their target's name and place. The lines are chosen before they meet the targets."""
+    known = entries.join(targets.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    last = known.orderBy(F.desc("last_seen"), "id", "text").limit(most)
+    return last.join(targets.select(F.col("id").alias("target_id"), "name", "city", "country"), "target_id")
+
+
 def blocked_streaks(rows: DataFrame, run: str, blocked: Column, limit: int) -> DataFrame:
     """Longest run of consecutive blocked answers, and whether it reaches the limit: gaps and islands."""
     w = W.partitionBy(run).orderBy("ts", "id")

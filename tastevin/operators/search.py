@@ -64,11 +64,17 @@ def shop_search(products: DataFrame, merchants: DataFrame, p: SearchParams) -> D
     return found.orderBy(*price_first(F.col("seen_at").desc(), F.col("merchant"), F.col("id"))).limit(p.most)
 
 
-def first_per_source(rows: DataFrame, p: SearchParams, source: str, order: list[str], body: str) -> DataFrame:
-    """Matches of a full scan, the first of each source."""
-    hits = rows.where(text.matches_all(p.tokens, text.fold(body)))
-    first = F.row_number().over(W.partitionBy(source).orderBy(*order))
-    return hits.withColumn("rn", first).where("rn = 1").drop("rn").orderBy(*order).limit(p.most)
+def list_address(url: str, name: str, city: str, country: str) -> Column:
+    """What makes a row's source the same: its list's address whatever the case, else its place."""
+    address = F.lower(F.trim(F.coalesce(F.col(url), F.lit(""))))
+    return F.when(address != "", address).otherwise(F.concat_ws("|", *(text.fold(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in (name, city, country))))
+
+
+def first_per_source(rows: DataFrame, p: SearchParams, source: Column | str, order: list[str], body: str) -> DataFrame:
+    """Matches of a full scan, the first of each source: an aggregate, so a source of many rows is summed up where they lie."""
+    hits = rows.where(text.matches_all(p.tokens, text.fold(body))).withColumn("_source", F.col(source) if isinstance(source, str) else source)
+    first = hits.groupBy("_source").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("row"))
+    return first.select("row.*").orderBy(*order).limit(p.most)
 
 
 def ranked_union(arms: list[tuple[DataFrame, list[Column]]], limit: int) -> DataFrame:

@@ -213,7 +213,35 @@ def a20_offer_history(rows):
 def a21_status_export(targets, sources):
     n = sources.groupBy("target_id").agg(F.count("*").alias("n"))
     out = targets.join(n, targets["id"] == n["target_id"], "left").withColumn("priority", F.coalesce("n", F.lit(0)))
-    return out.orderBy(F.desc("priority"), "name", "id").limit(120).select("id", "name", "priority")
+    return dashboard.top_targets(out).select("id", "name", "priority")
+
+
+@query(["v_countries", "v_merchants"], "select 'c' || c.id as code, c.name, count(m.id) as places from v_countries c left join v_merchants m on m.country = c.name and m.id % 2 = 1 group by 1, 2")
+def a21_source_places(countries, merchants):
+    """Places of every source, of those without too."""
+    at = merchants.where("id % 2 = 1").join(countries.select(F.col("id").alias("source_id"), F.col("name").alias("country")), "country")
+    return dashboard.source_places(countries.select("id", F.concat(F.lit("c"), "id").alias("code"), "name"), at, "source_id")
+
+
+@query(["v_entries", "v_targets"], "select e.id, e.text, e.last_seen, t.name, t.city, t.country from (select * from v_entries where target_id in (select id from v_targets) order by last_seen desc, id, text limit 300) e join v_targets t on t.id = e.target_id")
+def a21_latest_entries(entries, targets):
+    return dashboard.latest_entries(entries, targets).select("id", "text", "last_seen", "name", "city", "country")
+
+
+@query(["v_samples"], """
+  with d as (select run_id, id, ts, row_number() over (partition by run_id order by ts, id) as done from v_samples), a as (select run_id, min(ts) as started, count(*) as all_ from v_samples group by 1),
+  k as (select 500 as most union all select 1), l as (select *, row_number() over (partition by most, run_id order by ts desc, id desc) as rn from d, k),
+  e as (select most, run_id, max(done) as done, min(done) as least, epoch_us(max(ts)) / 1e6 as u, epoch_us(min(ts)) / 1e6 as s from l where rn <= most group by 1, 2),
+  r as (select e.*, coalesce(case when done > least then (done - least) / greatest(0.001, u - s) end, done / floor(epoch_us(timestamp '2030-01-01') / 1e6 - epoch_us(started) / 1e6)) as rate from e join a using (run_id))
+  select most, run_id, done, round(rate, 9) as rate, floor((2 * done - done) / rate)::bigint as seconds_left from r""")
+def n3_seconds_left(samples):
+    """Time left by the last samples' rate, and by the overall rate where one sample alone is looked at."""
+    from pyspark.sql import Window as W
+
+    done = samples.withColumn("done", F.row_number().over(W.partitionBy("run_id").orderBy("ts", "id")).cast("long"))
+    now = F.lit("2030-01-01").cast("timestamp")
+    parts = [dashboard.remaining_seconds(done, "run_id", 2 * F.col("done"), now, most).withColumn("most", F.lit(most)) for most in (500, 1)]
+    return parts[0].unionByName(parts[1]).withColumn("rate", F.round("rate", 9))
 
 
 @query(["v_samples"], """

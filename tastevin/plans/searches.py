@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import fulltext, search, watch
+from ..operators import dashboard, fulltext, search, watch
 from ..operators.search import SearchParams
 from ..sources import shared
 from .registry import query
@@ -42,6 +42,19 @@ def t7_first_per_source(docs):
     return search.distinct_by(hits, [F.col("source")], [F.desc("n_chars"), F.col("doc_id")])
 
 
+@query(["v_entries", "v_sources", "v_targets"], """
+  with h as (select e.id, t.name, s.id as source_id, t.city, t.country, case when s.id % 4 = 0 then '' when s.id % 4 = 1 then upper(s.url) else s.url end as url from v_entries e join v_sources s on e.source_id = s.id join v_targets t on e.target_id = t.id where s.status = 'found' and contains(lower(e.text), 'blue')),
+  k as (select *, case when url <> '' then lower(url) else lower(concat_ws('|', name, city, country)) end as key from h), r as (select *, row_number() over (partition by key order by name, source_id, id) as rn from k)
+  select id, name, source_id from r where rn = 1 order by name, source_id, id limit 300""", heavy=True)
+def t7_found_lists(entries, sources, targets):
+    """Lines of lists that were found, the first of each list's address, or of its place where it has none."""
+    k, url = F.col("id") % 4, F.col("url")
+    lists = sources.where("status = 'found'").select(F.col("id").alias("source_id"), F.when(k == 0, "").when(k == 1, F.upper(url)).otherwise(url).alias("url"))
+    rows = entries.join(lists, "source_id").join(targets.select(F.col("id").alias("target_id"), "name", "city", "country"), "target_id")
+    p = SearchParams("blue", limit=300)
+    return search.first_per_source(rows, p, search.list_address("url", "name", "city", "country"), ["name", "source_id", "id"], "text").select("id", "name", "source_id")
+
+
 @query(["v_lines", "v_entries", "v_products"], """
   select * from (
     (select 0 as arm, id, row_number() over (order by price nulls last, id) as rank from v_lines where contains(lower(text), 'blue') and contains(lower(text), 'bolt') order by price nulls last, id limit 50)
@@ -192,3 +205,12 @@ def n2_latest_run(events):
 def n6_bounded_history(samples):
     w = W.partitionBy("run_id").orderBy(F.desc("ts"), F.desc("id"))
     return samples.withColumn("rn", F.row_number().over(w)).where("rn <= 250").select("run_id", "id")
+
+
+@query(["v_samples"], """
+  with r as (select run_id, id, row_number() over (partition by run_id order by ts, id) - 1 as k, count(*) over (partition by run_id) as n from v_samples),
+  i as (select unnest(range(250)) as i), w as (select distinct run_id, n, case when n <= 250 then null else floor(i * ((n - 1) / 249::double) + 0.5)::bigint end as k from (select distinct run_id, n from r), i)
+  select r.run_id, r.id from r left join w on w.run_id = r.run_id and w.k = r.k where r.n <= 250 or w.k is not null""")
+def n6_chart(samples):
+    """Each run's history at 250 evenly spaced samples."""
+    return dashboard.evenly_spaced(samples, "run_id", ["ts", "id"]).select("run_id", "id")

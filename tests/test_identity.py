@@ -1,8 +1,10 @@
 """Whose site it is, what counts as a catalogue and which links come first."""
 
+from urllib.parse import urljoin
+
 from pyspark.sql import functions as F
 
-from tastevin.functions import rules
+from tastevin.functions import rules, web
 from tastevin.operators import html, identity
 
 
@@ -47,3 +49,14 @@ def test_link_priority_and_top(spark):
     many = spark.range(500).select((F.col("id") % 2).alias("site"), F.concat(F.lit("/wine/"), (F.col("id") % 300).cast("string")).alias("href"), F.lit("").alias("text"))
     best = identity.best_links(many, "site").collect()
     assert len(best) == 120 and all(r["rank"] <= 60 for r in best) and len({(r["site"], r["href"]) for r in best}) == 120
+
+
+def test_websites_and_joined_addresses(spark):
+    sites = [("https://www.place.example", True), ("place.example/a", True), ("https://m.facebook.com/x", False), ("http://www.tripadvisor.fr/a", False), ("", False), (None, False), ("https://guide.michelin.com", False)]
+    got = spark.createDataFrame(sites, "u string, ok boolean").select(web.valid_website(F.col("u")).alias("got"), "ok").collect()
+    assert all(r["got"] == r["ok"] for r in got)
+    bases = ["https://a.example/x/y.html?q=1", "https://a.example", "http://a.example/x/"]
+    hrefs = ["b.html", "/c", "../d", "../../e/", "./f", "?p=2", "#top", "//other.example/z", "https://o.example/p#f", "g/./h/../i", "..", "a?x=../y", "j/"]
+    rows = [(b, h, urljoin(b, h).split("#")[0]) for b in bases for h in hrefs] + [(bases[0], x, "") for x in ("mailto:a@b.example", "javascript:void(0)", "TEL:1", "", None)] + [("", "a", ""), (None, "/a", "")]
+    got = spark.createDataFrame(rows, "b string, h string, want string").select("b", "h", web.joined_url(F.col("b"), F.col("h")).alias("got"), "want").collect()
+    assert [(r["b"], r["h"], r["got"]) for r in got] == [(r["b"], r["h"], r["want"]) for r in got]
