@@ -222,11 +222,11 @@ def repaired(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         edits = s.stored(dealt.mapInArrow(_edits(conv, arrow), f"conv_null boolean, conv_key string, {conv.schema[0]}, {columns}"), "talk-edits")
 
         span = turns.groupBy(*_KEY).agg((F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("gaps"))
-        told = edits.where("figures is not null").join(span, _KEY)
+        told = edits.where("figures is not null").join(span.hint("merge"), _KEY)
         reports = stored(told.select(F.col("conv").alias("conv_id"), F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), "figures.*"), "talk-reports")
 
         real = turns.select(*_KEY, "k", "turn", "role", "text", *more.all)
-        both = edits.join(real, [*_KEY, "k"], "left")
+        both = edits.join(real.hint("merge"), [*_KEY, "k"], "left")
         new = F.transform("before", lambda r: F.struct(r.alias("role"), F.lit("").alias("text"), F.lit("I").alias("edit")))
         kept = F.struct(F.coalesce("new_role", "role").alias("role"), F.col("text").alias("text"), F.right("letters", F.lit(1)).alias("edit"))
         all_ = F.concat(new, F.when(F.right("letters", F.lit(1)).isin("K", "R"), F.array(kept)).otherwise(F.array().cast("array<struct<role:string,text:string,edit:string>>")))
@@ -283,7 +283,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = conversations.select("conv_id").distinct()
     same = lambda other: every["conv_id"].eqNullSafe(other["conv_id"])
     shas = fingerprints(rows)
-    found = every.join(reports, same(reports), "left").join(shas, same(shas), "left")
+    # small in their files, not in memory: no table here has a bound
+    found = every.join(reports.hint("merge"), same(reports), "left").join(shas.hint("merge"), same(shas), "left")
     none = lambda c: F.coalesce(reports[c], F.lit(0)).cast("long").alias(c)
     empty = hashlib.sha256(b"").hexdigest()
     return found.select(every["conv_id"], *map(none, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.lit(empty)).alias("repaired_sha256"))
