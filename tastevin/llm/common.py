@@ -45,6 +45,11 @@ def removed(*paths: str, spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(path: str, spark: SparkSession) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 class Scratch:
     """Stored tables that go when the block ends; what a caller reads afterwards is stored by `stored` itself."""
 

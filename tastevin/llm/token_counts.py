@@ -1,9 +1,9 @@
 """Token counts through a digest cache.
 
 The content of a text is normalised as the tokenizer itself does first (runs of ASCII white space to one blank, none at
-the ends) and digested. The cache is a table (version, digest, n_tokens), version a digest of the tokenizer file. Digests are
-made distinct first, with map-side aggregation, so that copies of a text don't travel with it, and joined to the cache; the
-misses are encoded, one text for each digest, and the new counts are appended to the cache.
+the ends) and digested. The cache is a table (version, digest, n_tokens), version a digest of the tokenizer file. Where there is a
+cache, distinct digests alone are joined to it; the texts of those that it lacks are then picked out where they lie, if these
+are at most FEW, else by a shuffle. One text of each new digest is encoded, and the new counts are appended to the cache.
 
 The encoder counts with the library itself. As the tokenizer drops white space and no piece of it reaches across, a text's
 count is the sum over its blank-separated words, and counts of words are kept in a bounded table in each worker.
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACE, Carried, removed, shared_dir, stored, table, text_or_empty
+from .common import SPACE, Carried, exists, removed, shared_dir, stored, table, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
 OVER = 2048
 #: Words whose counts a worker keeps at most; beyond it the table starts anew.
 KEPT_WORDS = 400_000
+#: New digests (64 bytes each) that are sent to all executors at most; with more of them texts are shuffled to theirs.
+FEW = 100_000
 CACHE = StructType([StructField("version", StringType()), StructField("digest", StringType()), StructField("n_tokens", LongType())])
 
 
@@ -90,14 +92,16 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *carry: str) -> Dat
             found = counts(batch.column("content").to_pylist())
             yield pa.record_batch({"version": pa.array([version] * len(found)), "digest": batch.column("digest"), "n_tokens": pa.array(found, pa.int64())})
 
-    misses = digested.select("digest", "content").dropDuplicates(["digest"])
-    try:
-        cached().take(1)
-        misses = misses.join(cached().select("digest").distinct(), "digest", "left_anti")
-    except Exception as e:  # noqa: BLE001  a cache that nobody has written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    texts, new = digested.select("digest", "content"), None
+    if exists(cache_dir, spark):
+        # narrow first: where few digests are new, all other texts stay where they lie
+        new = stored(texts.select("digest").distinct().join(cached().select("digest").distinct().hint("merge"), "digest", "left_anti"), "token-new")
+        few = new.limit(FEW + 1).count() <= FEW
+        texts = texts.join(F.broadcast(new) if few else new.hint("merge"), "digest", "left_semi")
+    misses = texts.dropDuplicates(["digest"])
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_dir)
+    if new is not None:
+        removed(new.stored_at, spark=spark)
     counted = cached().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # a table of its own, so that both sides of the join are plain shuffles, of which Spark can split a hot digest
     counted = stored(counted, "token-counts")
