@@ -142,7 +142,10 @@ def fragments(body: Column, token: str, before: int = 40, after: int = 260) -> C
     """Array of the windows around each place of the folded token."""
     folded = text.fold(body)
     pieces = F.split(folded, F.lit("\\Q" + token + "\\E"), F.lit(-1))
-    places = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * len(token) + 1)
+    # one pass: each piece ends where the next place is
+    nowhere = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
+    ended = lambda done, p: F.struct((done.at + F.length(p) + len(token)).alias("at"), F.concat(done.places, F.array(done.at + F.length(p))).alias("places"))
+    places = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), nowhere, ended, lambda done: done.places)
     found = F.transform(places, lambda p: F.substring(body, F.greatest(F.lit(1), p - before), F.least(p - 1, F.lit(before)) + after))
     return F.when(F.size(pieces) > 1, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
