@@ -38,10 +38,13 @@ def spellings(token: Column) -> Column:
 
 
 class KeptIndex:
-    """The index in a folder. rows have a key column and a text; keys are unique."""
+    """The index in a folder. rows have a key column and a text; keys are unique.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    A bucket is written by up to `splits` tasks, so a frequent term is none's alone; both numbers should grow with the rows. Without `runs`
+    the index is a third as large and no batch finds divided words in it."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, splits: int = 8, runs: bool = True):
+        self.spark, self.path, self.buckets, self.splits, self.runs = spark, path.rstrip("/"), buckets, splits, runs
 
     # what is there
 
@@ -74,13 +77,14 @@ class KeptIndex:
         return (F.crc32(F.col(term).cast("binary")) % self.buckets).cast("int")
 
     def _write(self, df: DataFrame, name: str, g: int, term: str) -> None:
-        # a rebalance by bucket, in which Spark splits the bucket of a frequent term
-        df.withColumn("bucket", self._bucket(term)).hint("rebalance", "bucket").sortWithinPartitions("bucket", term).write.partitionBy("bucket").parquet(f"{self.path}/{name}/g={g}")
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(self.splits))
+        df.withColumn("bucket", self._bucket(term)).repartition("bucket", salt).sortWithinPartitions("bucket", term).write.partitionBy("bucket").parquet(f"{self.path}/{name}/g={g}")
 
     def _postings(self, rows: DataFrame, key: str, body: str, g: int) -> None:
         split = shared.stored(rows.select(F.col(key).alias("key"), text.words_of(text.fold(body)).alias("w")), "index-words")
         self._write(split.select("key", F.explode(F.array_distinct("w")).alias("term")), "words", g, "term")
-        self._write(split.select("key", F.explode(text.joined_runs(F.col("w"))).alias("term")), "runs", g, "term")
+        if self.runs:
+            self._write(split.select("key", F.explode(text.joined_runs(F.col("w"))).alias("term")), "runs", g, "term")
         shared.removed(self.spark, split.stored_at)
         self._grams(self._table("words", [g]), g)
 

@@ -92,8 +92,8 @@ def t4_index_search(lines):
     return search.index_search(search.index_terms(lines, "id", "text"), ["red", "gear"], "id")
 
 
-def _indexed(rows, label):
-    return fulltext.KeptIndex(rows.sparkSession, shared.scratch_path(rows.sparkSession, label), 16)
+def _indexed(rows, label, runs=True):
+    return fulltext.KeptIndex(rows.sparkSession, shared.scratch_path(rows.sparkSession, label), 16, runs=runs)
 
 
 def _done(index, found):
@@ -111,7 +111,7 @@ def _done(index, found):
 def t4_kept_index(docs):
     """An index of all documents, then the revision of a language and the end of another, searched before and after compaction."""
     rows = docs.where("doc_id is not null").select("doc_id", "text", "lang")
-    index = _indexed(docs, "t4").build(rows, "doc_id", "text")
+    index = _indexed(docs, "t4", runs=False).build(rows, "doc_id", "text")
     revised = rows.where("lang = 'de'").withColumn("text", F.concat(F.lit("revised "), F.replace("text", F.lit("and"), F.lit("und"))))
     index.merge(revised, "doc_id", "text", deleted=rows.where("lang = 'fr'"))
     found = [index.search(["of", "the"]).withColumn("search", F.lit("of the")), index.search(["und", "revised"]).withColumn("search", F.lit("revised und")), index.search(["and", "und"], every=False).withColumn("search", F.lit("and or und"))]
