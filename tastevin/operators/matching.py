@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import places, rules, text
+from ..sources import shared
 
 
 def nearest_by_name(left: DataFrame, right: DataFrame, name: str, box: float = 0.003) -> DataFrame:
@@ -69,26 +70,98 @@ def _characters(name: Column) -> Column:
     return F.transform(F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), ""), lambda c: F.length(name) - F.length(F.replace(name, c)))
 
 
+#: Names of up to so many characters are found by what is left of them with a few characters off, and by their parts.
+SHORT = 64
+#: So many characters may be off.
+MOST_OFF = 2
+_NAMES = ["_block", "_name"]
+_NEAR = 1e-9
+
+
+def _fewer(name: Column, most: int) -> Column:
+    """The name with up to `most` characters taken out, each outcome once."""
+    out = now = F.array(name)
+    for _ in range(most):
+        now = F.array_distinct(F.flatten(F.transform(now, lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v)))))))
+        out = F.concat(out, now)
+    return F.array_distinct(out)
+
+
+def _parts(name: Column, lengths: Column) -> Column:
+    """The name's substrings of these lengths, each once; none is longer than the name."""
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substring(name, i, k)))))
+
+
+def _inside(whole: DataFrame, name: str, parts: DataFrame, part: str) -> DataFrame:
+    """whole with each `part` of its block that its name contains, of names up to SHORT; parts has its length as {part}_n."""
+    there = parts.where(F.col(f"{part}_n") <= SHORT).groupBy("_block").agg(F.collect_set(f"{part}_n").alias("_all"))  # up to SHORT numbers a block
+    sized = whole.where(F.length(name) <= SHORT).join(there, "_block").withColumn("_all", F.filter("_all", lambda k: k <= F.length(name)))
+    return sized.select(*whole.columns, F.explode(_parts(F.col(name), F.col("_all"))).alias(part))
+
+
 def best_names(left: DataFrame, right: DataFrame, block: str, least: float = 0.55) -> DataFrame:
     """For each left row the best right row of its block: of those whose name score is good enough the one of greatest score
     with bonuses, a quarter for a website and 0.15 for an address (where right has these columns). The score given is the name's.
 
-    Names meet once however many rows have them. Matching blocks can't have more characters than both names share, so pairs that these
-    bounds (of lengths, then of each character's count) keep under `least` aren't scored unless one name contains the other."""
+    Names meet once however many rows have them. Names that contain one another meet by equal parts, then names that differ by one, and by two,
+    characters of either by what is left without them. What two names that haven't met yet can score at most follows from their lengths: matching
+    blocks are characters that both have in the same order. A name looks further only where that reaches the best it has. In the end
+    names meet all others of the lengths that are still open for them, and pairs that the characters' counts keep under `least`, or
+    under what is found, aren't scored."""
+    spark = left.sparkSession
     has = lambda c, k: F.when(F.trim(c) != "", k).otherwise(0.0) if c in right.columns else F.lit(0.0)
-    keyed = lambda df: df.withColumns({"_block": F.col(block), "_name": text.normalize_name("name")})
+    keyed = lambda df: df.withColumns({"_block": F.col(block), "_name": text.normalize_name("name")}).where(F.col("_block").isNotNull())
     lefts, rights = keyed(left).select("id", "_block", "_name"), keyed(right).select(F.col("id").alias("match_id"), "_block", F.col("_name").alias("_other"), (has("website", 0.25) + has("address", 0.15)).alias("_bonus"))
     # of the rows of a name the one with the greatest bonus, then the least id, is the best for all
     rights = rights.groupBy("_block", "_other").agg(F.max(F.struct("_bonus", (-F.col("match_id")).alias("id"))).alias("r")).select("_block", "_other", F.col("r._bonus").alias("_bonus"), (-F.col("r.id")).alias("match_id"))
-    names = lambda df, c: df.select("_block", c).where(F.col(c) != "").distinct().withColumns({f"{c}_n": F.length(c), f"{c}_c": _characters(F.col(c))})
-    pairs = names(lefts, "_name").join(names(rights, "_other"), "_block")
+    named = lambda df, c: df.where(F.col(c) != "").withColumns({f"{c}_n": F.length(c), f"{c}_k": F.xxhash64("_block", c)})
+    asked = shared.stored(named(lefts.select("_block", "_name").distinct(), "_name"), "names-asked")
+    given = shared.stored(named(rights, "_other"), "names-given")
+    tasks = 4 * spark.sparkContext.defaultParallelism  # short rows that cost much: sizes in bytes would give them few tasks
+    lengths = given.groupBy("_block", "_other_n").agg(F.max("_bonus").alias("_top"))
+    done = [asked, given]
+
+    def ranked(found: DataFrame) -> DataFrame:
+        """The best right row for each left name, with what it reaches."""
+        best = found.groupBy(*_NAMES).agg(F.max_by(F.struct("match_id", "score", "_sum"), F.struct("_sum", -F.col("match_id"))).alias("b"))
+        done.append(shared.stored(best.select(*_NAMES, "b.*"), "names-best"))
+        return done[-1]
+
+    def opened(best: DataFrame, off: int) -> DataFrame:
+        """Left names with the lengths of right ones that may reach more than is found, if up to `off` characters of either were tried."""
+        n, m = F.col("_name_n"), F.col("_other_n")
+        common = F.least(n, m, F.greatest(n, m) - off - 1)
+        bound = F.when(F.greatest(n, m) > SHORT, 1.0).otherwise(2.0 * common / (n + m))
+        far = asked.join(best.select(*_NAMES, F.col("_sum").alias("_best")), _NAMES, "left").join(lengths, "_block").withColumn("_bound", bound)
+        return far.where((F.col("_bound") >= least - _NEAR) & (F.col("_best").isNull() | (F.col("_bound") + F.col("_top") >= F.col("_best") - _NEAR)))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Of pairs that may reach more than is found those that are good enough."""
+        found = pairs.select(*_NAMES, "_other", "_bonus", "match_id").withColumn("score", name_score("_name", "_other")).where(F.col("score") >= least)
+        return found.select(*_NAMES, "match_id", "score", (F.col("score") + F.col("_bonus")).alias("_sum"))
+
+    may = F.col("_best").isNull() | (F.col("_bound") + F.col("_bonus") >= F.col("_best") - _NEAR)
+    # names in one another score 1: those of one part need only their best
+    longer = _inside(given.select("_block", "_other", "_bonus", "match_id"), "_other", asked, "_name").groupBy(*_NAMES).agg(F.max(F.struct("_bonus", (-F.col("match_id")).alias("id"))).alias("r"))
+    longer = asked.select(*_NAMES).join(longer.hint("merge"), _NAMES).select(*_NAMES, F.col("r._bonus").alias("_bonus"), (-F.col("r.id")).alias("match_id"))
+    shorter = _inside(asked.select(*_NAMES), "_name", given, "_other").hint("merge").join(given, ["_block", "_other"]).select(*_NAMES, "_bonus", "match_id")
+    best = ranked(longer.unionByName(shorter).where(F.lit(1.0) >= least).select(*_NAMES, "match_id", F.lit(1.0).alias("score"), (F.lit(1.0) + F.col("_bonus")).alias("_sum")))
+    for off in range(1, MOST_OFF + 1):
+        far = opened(best, off - 1).where((F.greatest("_name_n", "_other_n") <= SHORT) & (F.abs(F.col("_name_n") - F.col("_other_n")) <= off))
+        wanted = given.join(far.select("_block", "_other_n").distinct(), ["_block", "_other_n"], "left_semi")
+        cut = lambda df, c: df.select("_block", c, f"{c}_k").distinct().repartition(tasks, f"{c}_k").select(f"{c}_k", F.explode(_fewer(F.col(c), off)).alias("_cut"), "_block").select(f"{c}_k", F.xxhash64("_block", "_cut").alias("_cut"))  # noqa: B023, E731
+        met = cut(far, "_name").hint("merge").join(cut(wanted, "_other"), "_cut").select("_name_k", "_other_k").distinct()
+        pairs = met.hint("merge").join(far, "_name_k").join(given.drop("_other_n"), ["_block", "_other_k"]).where((F.col("_other_n") == F.length("_other")) & may)
+        best = ranked(best.unionByName(scored(pairs)))
     inside = F.contains("_name", F.col("_other")) | F.contains("_other", F.col("_name"))
     both = F.col("_name_n") + F.col("_other_n")
-    shared = F.aggregate(F.zip_with("_name_c", "_other_c", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    likely = pairs.where(inside | ((2 * F.least("_name_n", "_other_n") >= least * both) & (2 * shared >= least * both))).select("_block", "_name", "_other")
-    scored = likely.withColumn("score", name_score("_name", "_other")).where(F.col("score") >= least)
-    best = scored.join(rights, ["_block", "_other"]).groupBy("_block", "_name").agg(F.max_by(F.struct("match_id", "score"), F.struct(F.col("score") + F.col("_bonus"), -F.col("match_id"))).alias("b"))
-    return lefts.join(best, ["_block", "_name"]).select("id", "b.match_id", "b.score")
+    shared_n = F.aggregate(F.zip_with("_name_c", "_other_c", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    far = opened(best, MOST_OFF).withColumn("_name_c", _characters(F.col("_name")))
+    rest = far.join(given.withColumn("_other_c", _characters(F.col("_other"))), ["_block", "_other_n"]).where(may)
+    rest = rest.withColumn("_bound", F.when(inside, 1.0).otherwise(2.0 * shared_n / both)).where((F.col("_bound") >= least - _NEAR) & may)
+    best = ranked(best.unionByName(scored(rest)))
+    shared.removed(spark, *(t.stored_at for t in done[:-1]))
+    return lefts.join(best, _NAMES).select("id", "match_id", "score")
 
 
 def line_tokens(column: Column) -> Column:

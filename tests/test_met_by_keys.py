@@ -5,6 +5,7 @@ import re
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from tastevin.functions import text
 from tastevin.operators import matching, watch
@@ -34,6 +35,40 @@ def test_best_names_equal_all_pairs(spark):
     assert {r["id"]: (r["match_id"], r["score"]) for r in got} == want and len(want) > 20
 
 
+def test_only_near_names_are_scored(spark, monkeypatch):
+    """Names that differ by a letter are found without a look at all others of the block."""
+    real, far = matching.name_score, lambda a, b: F.raise_error(F.concat(F.lit("scored: "), F.col(a), F.col(b)))
+    monkeypatch.setattr(matching, "name_score", lambda a, b: F.when(F.levenshtein(F.col(a), F.col(b)) > 2, far(a, b).cast("double")).otherwise(real(a, b)))
+    row = lambda i, end: (i, f"Wine bar {i % 1000:05d}{end}", "a", "https://s")
+    left, right = (spark.createDataFrame(rows, "id long, name string, block string, website string") for rows in ([row(i, "a") for i in range(300)], [row(i, "b") for i in range(1000, 1300)]))
+    assert {r["id"]: r["match_id"] for r in matching.best_names(left, right, "block").collect()} == {i: i + 1000 for i in range(300)}
+
+
+def test_best_names_long_short_and_one_in_another(spark):
+    rng = random.Random(11)
+    some = lambda: "".join(rng.choice("abc 1") for _ in range(rng.choice([1, 3, 8, 9, 10, 62, 64, 65, 70])))
+    names = [some() for _ in range(60)]
+    names += [n[1:] + "c" for n in names[:20]] + [n[: len(n) // 2] for n in names[:20]] + [n + some() for n in names[:20]]
+    rng.shuffle(names)
+    rows = [(i, n, "k", rng.choice(["", "https://s"])) for i, n in enumerate(names)]
+    left, right = rows[:50], rows[50:]
+    plain = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip(" ")
+    want = {}
+    for i, name, *_ in left:
+        a = plain(name)
+        good = []
+        for j, n, _, w in right:
+            b = plain(n)
+            score = 0.0 if not a or not b else 1.0 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+            if score >= 0.55:
+                good.append((score + (0.25 if w else 0.0), -j, score))
+        if good:
+            want[i] = (-max(good)[1], max(good)[2])
+    schema = "id long, name string, block string, website string"
+    got = matching.best_names(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "block").collect()
+    assert {r["id"]: (r["match_id"], r["score"]) for r in got} == want and len(want) > 30
+
+
 @pytest.mark.parametrize(("few", "literal"), [(64, 1000), (1, 1000), (1, 2)], ids=["one by one", "literal", "joined"])
 def test_watches_by_any_number(spark, monkeypatch, few, literal):
     monkeypatch.setattr(watch, "FEW", few)
