@@ -37,12 +37,33 @@ def same_location(country: Column, other_country: Column, address: Column, other
 
 
 def first_at_location(left: DataFrame, right: DataFrame, keys: list[str], most_km: float = 1.0) -> DataFrame:
-    """For each left row the first right row by id with equal keys at the same location."""
-    r = right.select(F.col("id").alias("match_id"), *(F.col(k).alias(f"_{k}") for k in keys), *(F.col(c).alias(f"_{c}") for c in ("country", "address", "lat", "lng")))
-    joined = left.join(r, [F.col(k) == F.col(f"_{k}") for k in keys])
-    km = places.haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
-    ok = same_location(F.col("country"), F.col("_country"), F.col("address"), F.col("_address"), km, most_km)
-    return joined.where(ok).groupBy(left["id"]).agg(F.min("match_id").alias("match_id"))
+    """For each left row the first right row by id with equal keys at the same location, as in `same_location`.
+
+    Rows don't meet one by one. Of an address, by country, the least id stands for all its rows; so it does for those of one place. Places
+    meet those of the cubes around theirs, `most_km` wide and taken in space, where poles and the date line are places like others."""
+    k, plain = [f"_k{n}" for n in range(len(keys))], [F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)]
+    spot = [*k, "_country", "_lat", "_lng"]
+    folded = lambda df: df.select("id", *plain, text.fold("country").alias("_country"), text.fold("address").alias("_address"), F.col("lat").cast("double").alias("_lat"), F.col("lng").cast("double").alias("_lng"))
+    lefts, rights = folded(left), folded(right).withColumnRenamed("id", "match_id")
+    least = F.min("match_id").alias("match_id")
+    # a country meets itself and none, none meets every country ('*')
+    own, other = F.array(F.col("_country"), F.lit("*")), F.when(F.col("_country") == "", F.array(F.lit("*"))).otherwise(F.array(F.col("_country"), F.lit("")))
+    there = rights.where("_address <> ''").groupBy(*k, "_address", "_country").agg(least).withColumn("_c", F.explode(own)).groupBy(*k, "_address", "_c").agg(least)
+    by_address = lefts.where("_address <> ''").withColumn("_c", F.explode(other)).join(there, [*k, "_address", "_c"]).select("id", "match_id")
+
+    def cubed(df: DataFrame) -> DataFrame:
+        a, b, side = F.radians("_lat"), F.radians("_lng"), most_km * (1 + 1e-6)
+        at = {"_x": F.cos(a) * F.cos(b), "_y": F.cos(a) * F.sin(b), "_z": F.sin(a)}
+        found = df.withColumns(at).where(" and ".join(f"{c} is not null and not isnan({c})" for c in at))
+        return found.withColumns({c: F.floor(F.col(c) * places.EARTH_KM / side).cast("long") for c in at})
+
+    around = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1))))
+    cubes = cubed(rights.groupBy(*spot).agg(least)).withColumn("_d", around)
+    cubes = cubes.select(*k, "match_id", F.col("_country").alias("_c"), F.col("_lat").alias("_la"), F.col("_lng").alias("_ln"), *((F.col(f"_{c}") + F.col(f"_d.{c}")).alias(f"_{c}") for c in "xyz"))
+    met = cubed(lefts.select(*spot).distinct()).join(cubes.hint("merge"), [*k, "_x", "_y", "_z"])
+    near = met.where(((F.col("_country") == "") | (F.col("_c") == "") | (F.col("_country") == F.col("_c"))) & (places.haversine_km(F.col("_lat"), F.col("_lng"), F.col("_la"), F.col("_ln")) <= most_km))
+    by_place = lefts.join(near.groupBy(*spot).agg(least), spot).select("id", "match_id")
+    return by_address.unionByName(by_place).groupBy("id").agg(least)
 
 
 def variants(rows: DataFrame, name: Column, order: list[Column], key: list[str], most: int = 8) -> DataFrame:

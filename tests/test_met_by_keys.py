@@ -1,5 +1,6 @@
 """Joins by keys and bounds against all pairs: fuzzy names, watches of any number, joined and swapped words."""
 
+import math
 import random
 import re
 from difflib import SequenceMatcher
@@ -7,7 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from tastevin.functions import text
+from tastevin.functions import places, text
 from tastevin.operators import matching, watch
 
 
@@ -69,6 +70,29 @@ def test_best_names_long_short_and_one_in_another(spark):
     assert {r["id"]: (r["match_id"], r["score"]) for r in got} == want and len(want) > 30
 
 
+def test_first_at_location_equals_all_pairs_and_looks_near(spark, monkeypatch):
+    rng = random.Random(12)
+    spots = [(48.85, 2.35), (48.8541, 2.35), (48.859, 2.351), (0.0, 179.9999), (0.0, -179.9999), (89.9999, 0.0), (89.9999, 180.0), (-45.0, 10.0), (None, 2.0), (float("nan"), 2.0), (10.0, 20.0)]
+    row = lambda i: (i, rng.choice(["a", "b", None]), *rng.choice(spots), rng.choice(["", "FR", "fr", "DE", None]), rng.choice(["", "", "Road 1", "road 1", None]))
+    left, right = [row(i) for i in range(150)], [row(i) for i in range(1000, 1120)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    def same(x, y):
+        c, d, e, f = (text.fold_py(v) for v in (x[4], y[4], x[5], y[5]))
+        close = None not in (*x[2:4], *y[2:4]) and km(*x[2:4], *y[2:4]) <= 1.0
+        return x[1] is not None and x[1] == y[1] and not (c and d and c != d) and ((e != "" and e == f) or close)
+
+    want = {x[0]: min(found) for x in left if (found := [y[0] for y in right if same(x, y)])}
+    real = places.haversine_km
+    monkeypatch.setattr(places, "haversine_km", lambda a, b, c, d: F.when(F.abs(a - c) > 1, F.raise_error(F.lit("far places met")).cast("double")).otherwise(real(a, b, c, d)))
+    schema = "id long, name string, lat double, lng double, country string, address string"
+    got = matching.first_at_location(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["name"]).collect()
+    assert {r["id"]: r["match_id"] for r in got} == want and len(got) == len(want) > 60
+
+
 @pytest.mark.parametrize(("few", "literal"), [(64, 1000), (1, 1000), (1, 2)], ids=["one by one", "literal", "joined"])
 def test_watches_by_any_number(spark, monkeypatch, few, literal):
     monkeypatch.setattr(watch, "FEW", few)
