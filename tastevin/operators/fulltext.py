@@ -37,6 +37,11 @@ def spellings(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), F.when(n >= text.LOOSE, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), swap)).otherwise(F.array().cast("array<string>"))))
 
 
+def loose_forms(tokens: DataFrame) -> DataFrame:
+    """(token, term): the spellings of the tokens that may be divided or misspelt."""
+    return tokens.where(F.length("token") >= text.LOOSE).select("token", F.explode(spellings(F.col("token"))).alias("term"))
+
+
 class KeptIndex:
     """The index in a folder. rows have a key column and a text; keys are unique.
 
@@ -80,11 +85,12 @@ class KeptIndex:
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(self.splits))
         df.withColumn("bucket", self._bucket(term)).repartition("bucket", salt).sortWithinPartitions("bucket", term).write.partitionBy("bucket").parquet(f"{self.path}/{name}/g={g}")
 
-    def _postings(self, rows: DataFrame, key: str, body: str, g: int) -> None:
+    def _postings(self, rows: DataFrame, key: str, body: str, g: int, asked: DataFrame | None = None) -> None:
         split = shared.stored(rows.select(F.col(key).alias("key"), text.words_of(text.fold(body)).alias("w")), "index-words")
         self._write(split.select("key", F.explode(F.array_distinct("w")).alias("term")), "words", g, "term")
         if self.runs:
-            self._write(split.select("key", F.explode(text.joined_runs(F.col("w"))).alias("term")), "runs", g, "term")
+            runs = split.select("key", F.explode(text.joined_runs(F.col("w"))).alias("term"))
+            self._write(runs if asked is None else runs.join(asked, "term", "left_semi"), "runs", g, "term")
         shared.removed(self.spark, split.stored_at)
         self._grams(self._table("words", [g]), g)
 
@@ -104,19 +110,26 @@ class KeptIndex:
             raise RuntimeError(f"version {version} of {self.path} is another writer's: merge again")
         shared.claimed(self.spark, f"{self.path}/_live/v_{version:09d}_{'_'.join(map(str, live))}")
 
-    def build(self, rows: DataFrame, key: str, body: str) -> KeptIndex:
-        """The first generation."""
-        return self.merge(rows, key, body)
+    def build(self, rows: DataFrame, key: str, body: str, tokens: DataFrame | None = None) -> KeptIndex:
+        """The first generation. With tokens (token, of all batches to come) its runs are those alone that spell one, which no other
+        token finds; words are all there."""
+        if tokens is None:
+            return self.merge(rows, key, body)
+        asked = shared.stored(loose_forms(tokens.select("token").distinct()).select("term").distinct(), "index-forms")
+        self.merge(rows, key, body, asked=asked)
+        shared.removed(self.spark, asked.stored_at)
+        return self
 
-    def merge(self, changed: DataFrame, key: str, body: str, deleted: DataFrame | None = None) -> KeptIndex:
-        """Inserts the rows of new keys, replaces those of known ones, takes out deleted ones (a frame with the key)."""
+    def merge(self, changed: DataFrame, key: str, body: str, deleted: DataFrame | None = None, asked: DataFrame | None = None) -> KeptIndex:
+        """Inserts the rows of new keys, replaces those of known ones, takes out deleted ones (a frame with the key). asked: the runs (term)
+        that are kept, where not all are."""
         seen, g = self._versions(), self._next()
         live = seen[-1][1] if seen else []
         if live:
             gone = changed.select(F.col(key).alias("key"))
             gone = gone if deleted is None else gone.unionByName(deleted.select(F.col(key).alias("key")))
             gone.distinct().write.parquet(f"{self.path}/gone/g={g}")
-        self._postings(changed, key, body, g)
+        self._postings(changed, key, body, g, asked)
         self._commit(seen, [*live, g])
         return self
 
@@ -157,7 +170,7 @@ class KeptIndex:
 
     def matched_terms(self, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(token, term) of words that contain a token or are a spelling of it, and of runs that are one. tokens: token, distinct."""
-        forms = tokens.where(F.length("token") >= text.LOOSE).select("token", F.explode(spellings(F.col("token"))).alias("term"))
+        forms = loose_forms(tokens)
         all_grams = self._table("grams").select("gram", "term").distinct()
         # of its longest letters the rarest; a token with letters that no word has is in none
         longest = F.when(F.length("token") >= 3, 3).otherwise(2)

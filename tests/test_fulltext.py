@@ -95,3 +95,14 @@ def test_nothing_indexed(spark, tmp_path):
     empty = index.build(spark.createDataFrame([], "id long, body string"), "id", "body")
     assert empty.search(["a"]).collect() == []
     assert empty.batch(spark.createDataFrame([(1, "ab")], "q int, token string"), "q", "token").collect() == []
+
+
+def test_runs_of_asked_tokens_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red wi ne of the house"), (2, "redwine"), (3, "re dw ien"), (4, "nothing here at all"), (5, None)], "id long, text string")
+    queries = spark.createDataFrame([(7, "redwine"), (8, "ofthe"), (8, "red"), (9, "at")], "q long, token string")
+    whole = KeptIndex(spark, str(tmp_path / "whole"), 4).build(rows, "id", "text")
+    asked = KeptIndex(spark, str(tmp_path / "asked"), 4).build(rows, "id", "text", tokens=queries)
+    found = lambda index: sorted(tuple(r) for r in index.batch(queries, "q", "token").collect())
+    assert found(asked) == found(whole) == [(7, 1), (7, 2), (7, 3), (8, 1), (9, 4)]
+    kept = lambda index: {r["term"] for r in index._table("runs").collect()}
+    assert kept(asked) == {"redwine", "redwien", "ofthe"} and kept(asked) < kept(whole)
